@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import html
+import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,11 +39,14 @@ def _fold_udf(unescape: bool, nfkc: bool):
     copy of this package.
     """
 
+    def fold_value(value: str | None) -> str | None:
+        if value is None:
+            return None
+        decoded = html.unescape(value) if unescape and "&" in value else value
+        return unicodedata.normalize("NFKC", decoded) if nfkc else decoded
+
     def fold(values: pa.Array) -> pa.Array:
-        if unescape:
-            decoded = [None if v is None else html.unescape(v) for v in values.to_pylist()]
-            values = pa.array(decoded, pa.string())
-        return pc.utf8_normalize(values, form="NFKC") if nfkc else values
+        return pa.array([fold_value(v) for v in values.to_pylist()], pa.string())
 
     return F.arrow_udf(fold, StringType())
 
