@@ -12,48 +12,76 @@ from needwell.functions import lexicon as lx
 from needwell.functions.patterns import any_of, jvm
 
 
-def _lowered(text: Column) -> Column:
+def lowered(text: Column) -> Column:
+    """The form all signals are searched in; NULL counts as empty text."""
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def occurs(low: Column, patterns: Sequence[str]) -> Column:
+    """At least one pattern of a group occurs in lower-cased text."""
+    return low.rlike(any_of(patterns))
+
+
 def signals_any(text: Column, patterns: Sequence[str]) -> Column:
-    """At least one pattern of a group occurs; NULL counts as empty text."""
-    return _lowered(text).rlike(any_of(patterns))
+    """At least one pattern of a group occurs."""
+    return occurs(lowered(text), patterns)
 
 
 def signal_hits(text: Column, patterns: Sequence[str]) -> Column:
     """First match of each pattern, white space collapsed, without repeats."""
-    lowered = _lowered(text)
+    low = lowered(text)
     firsts = [
-        F.trim(F.regexp_replace(F.regexp_extract(lowered, jvm(p), 0), r"(?U)\s+", " "))
+        F.trim(F.regexp_replace(F.regexp_extract(low, jvm(p), 0), r"(?U)\s+", " "))
         for p in patterns
     ]
     return F.array_distinct(F.filter(F.array(*firsts), lambda hit: hit != ""))
 
 
+# Every group that is searched in the text of a post.
+TEXT_SIGNALS = (
+    *lx.JOB,
+    *lx.RECRUITER,
+    *lx.SELF_PROMOTION,
+    *lx.CONTENT_NOISE,
+    *lx.REQUEST,
+    *lx.CALL_TO_ACTION,
+)
+
+
+def has_request_lowered(low: Column) -> Column:
+    asks = occurs(low, lx.REQUEST) | occurs(low, lx.CALL_TO_ACTION)
+    return asks & occurs(low, lx.TARGET)
+
+
 def has_request(text: Column) -> Column:
     """A request or a call to action, together with something asked for."""
-    asks = signals_any(text, lx.REQUEST) | signals_any(text, lx.CALL_TO_ACTION)
-    return signals_any(text, lx.TARGET) & asks
+    return has_request_lowered(lowered(text))
 
 
-def category(text: Column, author_name: Column) -> Column:
-    """Category by precedence: each junk class outranks any request.
+def category_lowered(low: Column, low_author: Column) -> Column:
+    """:func:`category` over columns that are lower-cased already.
 
-    One ``CASE`` with one alternation per group, so later groups are only
-    searched when the earlier ones did not match.
+    One ``CASE`` with one expression per group, so later groups are only searched
+    when the earlier ones did not match. The first branch settles the bulk of
+    plain posts in one pass; on other posts it stops at the first signal.
     """
-    self_promoting = signals_any(author_name, lx.COMPANY_AUTHOR) | signals_any(text, lx.SELF_PROMOTION)
+    company = occurs(low_author, lx.COMPANY_AUTHOR)
     return (
-        F.when(signals_any(text, lx.JOB), c.JOB_POSTING)
-        .when(signals_any(text, lx.RECRUITER), c.RECRUITER_STAFFING)
-        .when(self_promoting, c.COMPETITOR_SELFPROMO)
-        .when(signals_any(text, lx.CONTENT_NOISE), c.CONTENT_NOISE)
-        .when(has_request(text), c.CLIENT_LEAD)
+        F.when(~occurs(low, TEXT_SIGNALS), F.when(company, c.COMPETITOR_SELFPROMO).otherwise(c.UNCLEAR))
+        .when(occurs(low, lx.JOB), c.JOB_POSTING)
+        .when(occurs(low, lx.RECRUITER), c.RECRUITER_STAFFING)
+        .when(company | occurs(low, lx.SELF_PROMOTION), c.COMPETITOR_SELFPROMO)
+        .when(occurs(low, lx.CONTENT_NOISE), c.CONTENT_NOISE)
+        .when(has_request_lowered(low), c.CLIENT_LEAD)
         .otherwise(c.UNCLEAR)
     )
 
 
+def category(text: Column, author_name: Column) -> Column:
+    """Category by precedence: each junk class outranks any request."""
+    return category_lowered(lowered(text), lowered(author_name))
+
+
 def is_client(category_col: Column) -> Column:
     """The only category that keeps a real score."""
     return category_col == c.CLIENT_LEAD

@@ -66,7 +66,15 @@ def first_website(text: Column) -> Column:
 
     urls = F.transform(tokens, lambda t: normalize_url(absolute(t)))
     found = F.try_element_at(F.filter(urls, lambda u: u.isNotNull()), F.lit(1))
-    return F.when(text.rlike(r"(?i)https?://|www\."), found)
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit("://")) | F.contains(low, F.lit("www.")), found)
+
+
+def _contains_any(text: Column, *words: str) -> Column:
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | F.contains(text, F.lit(word))
+    return hit
 
 
 def _named_company(text: Column, pattern: str) -> Column:
@@ -76,8 +84,15 @@ def _named_company(text: Column, pattern: str) -> Column:
 
 
 def company_from_post(text: Column) -> Column:
-    """Company named as the subject of an ask, or by self-identification."""
-    return F.coalesce(_named_company(text, COMPANY_SUBJECT), _named_company(text, COMPANY_SELF))
+    """Company named as the subject of an ask, or by self-identification.
+
+    Substring tests for words each form must contain come before its regex.
+    """
+    subject = F.when(
+        _contains_any(text, "looking", "hiring", "seeking"), _named_company(text, COMPANY_SUBJECT)
+    )
+    selfid = F.when(_contains_any(text, "e're", "e are"), _named_company(text, COMPANY_SELF))
+    return F.coalesce(subject, selfid)
 
 
 def company_name(text: Column, headline: Column) -> Column:

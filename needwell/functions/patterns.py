@@ -6,7 +6,16 @@ Unicode-aware and ``d`` leaves ``\\n`` as the only line end.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
+from functools import lru_cache
+
+try:  # knows which texts can begin a match
+    import regex
+except ImportError:  # pragma: no cover
+    regex = None
+
+_FIRST = string.ascii_lowercase + string.digits
 
 
 def jvm(pattern: str, *, ignore_case: bool = False) -> str:
@@ -14,15 +23,33 @@ def jvm(pattern: str, *, ignore_case: bool = False) -> str:
     return f"(?{'i' if ignore_case else ''}Ud){pattern}"
 
 
-def any_of(patterns: Sequence[str]) -> str:
-    """One alternation for a whole signal group.
+def _by_first_letter(bodies: Sequence[str]) -> str:
+    """Word-anchored alternatives, tried only where the next letter can start them.
 
-    Alternatives that open with a word boundary share a single ``\\b``, so the
-    boundary is tested once per position rather than once per alternative.
+    A plain alternation tries every alternative at every word. Sorting them
+    under look-aheads for their first letters leaves one or two to try.
+    """
+    starts = {b: [c for c in _FIRST if regex.match(b, c, partial=True)] for b in bodies}
+    arms: dict[tuple[str, ...], str] = {}
+    for letter in _FIRST:
+        fitting = tuple(b for b in bodies if letter in starts[b])
+        if fitting:
+            arms[fitting] = arms.get(fitting, "") + letter
+    letters = "".join(sorted("".join(arms.values())))
+    tried = "|".join(f"(?=[{ls}])(?:{'|'.join(f'(?:{b})' for b in bs)})" for bs, ls in arms.items())
+    return rf"(?=[{letters}])\b(?:{tried})"
+
+
+@lru_cache(maxsize=64)
+def any_of(patterns: tuple[str, ...]) -> str:
+    """One expression for a whole signal group over lower-cased text.
+
+    Word-anchored patterns must begin with an ASCII letter or digit.
     """
-    word = [p[2:] for p in patterns if p.startswith(r"\b")]
-    free = [p for p in patterns if not p.startswith(r"\b")]
-    parts = [f"(?:{p})" for p in free]
-    if word:
-        parts.insert(0, r"\b(?:" + "|".join(f"(?:{p})" for p in word) + ")")
+    bodies = [p[2:] for p in patterns if p.startswith(r"\b")]
+    parts = [f"(?:{p})" for p in patterns if not p.startswith(r"\b")]
+    if bodies and regex is not None:
+        parts.insert(0, _by_first_letter(bodies))
+    elif bodies:
+        parts.insert(0, r"\b(?:" + "|".join(f"(?:{b})" for b in bodies) + ")")
     return jvm("|".join(parts))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needwell.config import ScoringConfig
 from needwell.functions import lexicon as lx
-from needwell.functions.classify import all_signals, has_request, is_client, signals_any
+from needwell.functions.classify import all_signals, has_request, is_client, occurs, signals_any
 from needwell.functions.text import content_tokens, strip
 
 SECONDS_PER_DAY = 86_400.0
@@ -51,22 +51,27 @@ def solicited(text: Column) -> Column:
     return signals_any(text, lx.SOLICITATION)
 
 
-def need_match_details(
-    need: Column, text: Column, cfg: ScoringConfig = ScoringConfig()
-) -> Column:
-    """STRUCT(score, full_phrase, matched_tokens, total_tokens, solicited)."""
-    phrase = F.lower(strip(F.coalesce(need, F.lit(""))))
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    tokens = content_tokens(phrase)
-    total = F.size(tokens)
-    usable = (total > 0) & (lowered != "")
-    full = usable & F.contains(lowered, phrase)
+def need_phrase(need: Column) -> Column:
+    """The need as it is searched: trimmed and lower-cased."""
+    return F.lower(strip(F.coalesce(need, F.lit(""))))
+
+
+def tokens_present(low: Column, tokens: Column) -> Column:
+    """The tokens that occur as whole words in lower-cased text."""
     # the plain substring test spares nearly every row the boundary regex
-    present = F.filter(
+    return F.filter(
         tokens,
-        lambda t: F.contains(lowered, t)
-        & F.regexp_like(lowered, F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b"))),
+        lambda t: F.contains(low, t) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b"), t, F.lit(r"\b"))),
     )
+
+
+def need_match_struct(
+    low: Column, phrase: Column, tokens: Column, present: Column, cfg: ScoringConfig = ScoringConfig()
+) -> Column:
+    """STRUCT(score, full_phrase, matched_tokens, total_tokens, solicited) from prepared parts."""
+    total = F.size(tokens)
+    usable = (total > 0) & (low != "")
+    full = usable & F.contains(low, phrase)
     matched = F.when(usable, F.size(present)).otherwise(F.lit(0))
     base = (
         F.when(full, F.lit(cfg.need_full_phrase))
@@ -74,7 +79,7 @@ def need_match_details(
         .when(matched > 0, F.lit(cfg.need_partial_cap) * (matched / total))
         .otherwise(F.lit(cfg.need_topic_floor))
     )
-    asks = usable & (matched > 0) & solicited(text)
+    asks = usable & (matched > 0) & occurs(low, lx.SOLICITATION)
     bonus = F.when(
         asks,
         F.when(base >= cfg.need_all_tokens, F.lit(cfg.need_solicitation_bonus)).otherwise(
@@ -90,9 +95,27 @@ def need_match_details(
     )
 
 
-def need_match(need: Column, text: Column, cfg: ScoringConfig = ScoringConfig()) -> Column:
-    """Need-match score 0..100."""
-    return need_match_details(need, text, cfg)["score"]
+def with_need_match(
+    df: DataFrame,
+    low: str,
+    need: str,
+    out: str,
+    cfg: ScoringConfig = ScoringConfig(),
+) -> DataFrame:
+    """Adds the need-match struct ``out`` from a lower-cased text column.
+
+    Tokens and their hits are columns of their own, so each is computed once per row.
+    """
+    return (
+        df.withColumn("_phrase", need_phrase(F.col(need)))
+        .withColumn("_tokens", content_tokens(F.col("_phrase")))
+        .withColumn("_present", tokens_present(F.col(low), F.col("_tokens")))
+        .withColumn(
+            out,
+            need_match_struct(F.col(low), F.col("_phrase"), F.col("_tokens"), F.col("_present"), cfg),
+        )
+        .drop("_phrase", "_tokens", "_present")
+    )
 
 
 def clamp_quality(score: Column) -> Column:

@@ -9,40 +9,52 @@ from needwell.config import CATEGORIES, ScoringConfig
 from needwell.functions import classify, contact, scoring
 
 
-def score_leads(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """Category, freshness, lead score and status of every row at one clock."""
-    staged = leads.withColumns(
+def with_factors(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """Adds ``_category``, ``_fresh`` and ``_need`` to leads; the text is lower-cased once."""
+    lowered = leads.withColumns(
         {
-            "category": classify.category(F.col("post_text"), F.col("author_name")),
-            "freshness_score": scoring.freshness(F.col("posted_at"), F.col("first_seen"), now, cfg),
-            "_need": scoring.need_match(F.col("need_category"), F.col("post_text"), cfg),
+            "_low": classify.lowered(F.col("post_text")),
+            "_low_author": classify.lowered(F.col("author_name")),
         }
     )
+    staged = scoring.with_need_match(lowered, "_low", "need_category", "_need", cfg)
+    return staged.withColumns(
+        {
+            "_category": classify.category_lowered(F.col("_low"), F.col("_low_author")),
+            "_fresh": scoring.freshness_details(F.col("posted_at"), F.col("first_seen"), now, cfg),
+        }
+    ).drop("_low", "_low_author")
+
+
+def score_leads(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """Category, freshness, lead score and status of every row at one clock."""
+    staged = with_factors(leads, now, cfg)
     score = scoring.lead_score(
-        F.col("category"), F.col("freshness_score"), F.col("_need"), F.col("data_quality_score"), cfg
+        F.col("_category"), F.col("_fresh.score"), F.col("_need.score"), F.col("data_quality_score"), cfg
     )
-    return staged.withColumns({"lead_score": score, "status": F.lit("scored")}).drop("_need")
+    return staged.withColumns(
+        {
+            "category": F.col("_category"),
+            "freshness_score": F.col("_fresh.score"),
+            "lead_score": score,
+            "status": F.lit("scored"),
+        }
+    ).drop("_category", "_fresh", "_need")
 
 
 def explain_scores(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Leads with a ``breakdown`` struct that shows where each score comes from."""
-    staged = leads.withColumns(
-        {
-            "_category": classify.category(F.col("post_text"), F.col("author_name")),
-            "_fresh": scoring.freshness_details(F.col("posted_at"), F.col("first_seen"), now, cfg),
-            "_need": scoring.need_match(F.col("need_category"), F.col("post_text"), cfg),
-        }
-    )
     breakdown = scoring.score_breakdown(
         F.col("_category"),
         F.col("post_text"),
         F.col("author_name"),
         F.col("_fresh"),
-        F.col("_need"),
+        F.col("_need.score"),
         F.col("data_quality_score"),
         cfg,
     )
-    return staged.withColumn("breakdown", breakdown).drop("_category", "_fresh", "_need")
+    staged = with_factors(leads, now, cfg).withColumn("breakdown", breakdown)
+    return staged.drop("_category", "_fresh", "_need")
 
 
 def enrich_leads(leads: DataFrame) -> DataFrame:

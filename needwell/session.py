@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "needwell", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,3 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured or tempfile.mkdtemp(prefix="needwell-")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    Text stages are bound by CPU, and a file of one row group is one split. Large
+    inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

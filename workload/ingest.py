@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from needwell.config import CATEGORIES, ScoringConfig
 from needwell.functions import classify, dates, lexicon, quality, scoring, text
 from needwell.operators import ingest
+from needwell.operators.score import explain_scores, with_factors
 from needwell.sources.posts import enabled_sources
 from workload import dialect as q
 from workload.registry import query, table
@@ -346,8 +347,8 @@ NEED_SCORE_SQL = """CASE WHEN len(tok) = 0 THEN 0 ELSE least(100, greatest(0, ro
 def need_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit of each post to its need, with the parts of the score."""
     rows = cleaned(spark, sf_dir).where(F.col("post_text") != "")
-    details = scoring.need_match_details(F.col("need"), F.col("post_text"), CFG)
-    return rows.select("seq", details.alias("m")).select("seq", "m.*")
+    low = rows.withColumn("_low", classify.lowered(F.col("post_text")))
+    return scoring.with_need_match(low, "_low", "need", "m", CFG).select("seq", "m.*")
 
 
 @query(
@@ -387,17 +388,17 @@ SEEN_SQL = ("seen", "SELECT *, TIMESTAMP '2024-01-30 00:00:00' AS first_seen FRO
 
 
 def _scores(rows: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    staged = rows.withColumns(
-        {
-            "category": classify.category(F.col("post_text"), F.col("author_name")),
-            "freshness": scoring.freshness(F.col("posted_at"), F.col("first_seen"), now(), cfg),
-            "need_match": scoring.need_match(F.col("need_category"), F.col("post_text"), cfg),
-        }
-    )
+    staged = with_factors(rows, now(), cfg)
     score = scoring.lead_score(
-        F.col("category"), F.col("freshness"), F.col("need_match"), F.col("data_quality_score"), cfg
+        F.col("_category"), F.col("_fresh.score"), F.col("_need.score"), F.col("data_quality_score"), cfg
+    )
+    return staged.select(
+        "seq",
+        F.col("_category").alias("category"),
+        F.col("_fresh.score").alias("freshness"),
+        F.col("_need.score").alias("need_match"),
+        score.alias("lead_score"),
     )
-    return staged.select("seq", "category", "freshness", "need_match", score.alias("lead_score"))
 
 
 _SCORES_SQL = "SELECT seq, new_category AS category, fresh AS freshness, need_score AS need_match, new_lead_score AS lead_score FROM scored"
@@ -430,8 +431,6 @@ def lead_scores_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each post scores what it scores."""
-    from needwell.operators.score import explain_scores
-
     rows = explain_scores(flat_leads(clean_posts(spark, sf_dir)), now(), CFG)
     b = F.col("breakdown")
     return rows.select(

@@ -166,7 +166,7 @@ BYLINES = (
 )
 def named_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``<name> on <platform>: <body>`` split, with the plausible-name test."""
-    line = F.concat(choose(BYLINES, F.col("doc_id")), F.col("text"))
+    line = F.concat(choose(BYLINES, "doc_id"), F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.split_named_body(line, "LinkedIn").alias("s"))
     return docs.select(
         "doc_id",
@@ -203,7 +203,7 @@ EMAIL_FORMS = (" User{n}@Example.COM ", "missing-at{n}.com", "a@b", "x @y.co", "
 )
 def customer_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address normalisation over every customer."""
-    raw = F.replace(choose(EMAIL_FORMS, F.col("c_custkey")), F.lit("{n}"), F.col("c_custkey").cast("string"))
+    raw = F.replace(choose(EMAIL_FORMS, "c_custkey"), F.lit("{n}"), F.col("c_custkey").cast("string"))
     return table(spark, sf_dir, "customer").select("c_custkey", contact.normalize_email(raw).alias("email"))
 
 
@@ -250,7 +250,7 @@ def website_sql(text_column: str) -> str:
 )
 def document_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First explicit URL in each text."""
-    lead = F.replace(choose(SITES, F.col("doc_id")), F.lit("{n}"), F.col("doc_id").cast("string"))
+    lead = F.replace(choose(SITES, "doc_id"), F.lit("{n}"), F.col("doc_id").cast("string"))
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", contact.first_website(F.concat(lead, "text")).alias("website"))
 
@@ -273,7 +273,7 @@ PHONES = ("(415) 555-{n}", "+91 98765 1{n}", "+44 20 7946 {n}", "12", "abc", "+1
 def customer_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers to E.164 over every customer."""
     tail = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    raw = F.replace(choose(PHONES, F.col("c_custkey")), F.lit("{n}"), tail)
+    raw = F.replace(choose(PHONES, "c_custkey"), F.lit("{n}"), tail)
     return table(spark, sf_dir, "customer").select("c_custkey", contact.normalize_phone(raw).alias("phone"))
 
 
@@ -314,7 +314,7 @@ def post_company_sql(text_column: str) -> str:
 )
 def post_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company stated in the post, else in the headline."""
-    t = F.concat(choose(COMPANY_LEADS, F.col("doc_id")), "text")
+    t = F.concat(choose(COMPANY_LEADS, "doc_id"), "text")
     headline = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Founder at "), "source"))
     docs = table(spark, sf_dir, "documents")
     return docs.select(
@@ -364,7 +364,7 @@ DATE_FORMS = (
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamps read from text; naive ones are UTC, unreadable ones NULL."""
     day = F.lpad((F.col("event_id") % 28 + 1).cast("string"), 2, "0")
-    raw = F.replace(choose(DATE_FORMS, F.col("event_id")), F.lit("{d}"), day)
+    raw = F.replace(choose(DATE_FORMS, "event_id"), F.lit("{d}"), day)
     return table(spark, sf_dir, "events").select("event_id", F.unix_micros(dates.parse_iso(raw)).alias("micros"))
 
 
@@ -381,7 +381,7 @@ def recency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows such as ``7d`` to days and buckets."""
     e = F.col("event_id")
     since = F.when(e % 11 == 0, "soon").otherwise(
-        F.concat(F.lit(" "), (e % 60).cast("string"), choose(("d", "W", "m", "Y"), e))
+        F.concat(F.lit(" "), (e % 60).cast("string"), choose(("d", "W", "m", "Y"), "event_id"))
     )
     events = table(spark, sf_dir, "events").select("event_id", since.alias("since"))
     return events.select(

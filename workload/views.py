@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from needwell.config import NEEDS, Platform
 from needwell.functions.dates import clock
 from workload.dialect import folded, lit, pick
+from needwell.session import spread
 from workload.registry import table
 
 NOW = "2024-01-31T00:00:00Z"
@@ -68,10 +69,16 @@ HEADLINES = (
 PROFILES = (None, "https://social.example/in/maria", "not-a-url", "", " HTTP://Social.Example/in/x ")
 
 
-def choose(values: Sequence[str | None], index: Column) -> Column:
-    """The element of a constant list that a zero-based index selects."""
-    constants = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.element_at(constants, (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
+def _spark_lit(text: str | None) -> str:
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def choose(values: Sequence[str | None], index: str) -> Column:
+    """The element of a constant list that a zero-based index column selects."""
+    constants = ", ".join(_spark_lit(v) for v in values)
+    return F.expr(f"element_at(array({constants}), CAST(pmod({index}, {len(values)}) + 1 AS INT))")
 
 
 def now() -> Column:
@@ -80,10 +87,10 @@ def now() -> Column:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat derived posts: one per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     d = F.col("doc_id")
-    sentence = choose([s for s, _ in TEMPLATES], d)
-    with_text = choose(["y" if follow else "n" for _, follow in TEMPLATES], d) == "y"
+    sentence = choose(_SENTENCES, "doc_id")
+    with_text = choose(_FLAGS, "doc_id") == "y"
     key = F.when(d % 10 == 9, d - 9).otherwise(d)
     posted = (
         F.timestamp_seconds(F.lit(1706745600))  # 2024-02-01
@@ -92,12 +99,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         d.alias("seq"),
         F.col("source"),
-        choose(AUTHORS, d).alias("author_name"),
-        choose(HEADLINES, d).alias("author_headline"),
-        choose(PROFILES, d).alias("author_profile_url"),
+        choose(AUTHORS, "doc_id").alias("author_name"),
+        choose(HEADLINES, "doc_id").alias("author_headline"),
+        choose(PROFILES, "doc_id").alias("author_profile_url"),
         F.when(with_text, F.concat(sentence, F.lit(" "), F.col("text"))).otherwise(sentence).alias("post_text"),
         F.when(d % 7 != 0, posted).alias("posted_at"),
-        choose(NEEDS, d).alias("need"),
+        choose(NEEDS, "doc_id").alias("need"),
         F.concat(
             F.lit("https://social.example/posts/user-"), (key % 7).cast("string"), F.lit("_"), key.cast("string")
         ).alias("post_url"),
