@@ -31,12 +31,9 @@ def folded(text: str | None) -> str | None:
 
 
 def re2(pattern: str) -> str:
-    """A neutral pattern with explicit Unicode word boundaries."""
+    """A neutral pattern without its outer word boundaries, inner ones spelled out."""
     out = pattern.replace(r"\b[^.!?\n]*\b", BETWEEN)
-    if out.startswith(r"\b"):
-        out = START + out[2:]
-    if out.endswith(r"\b"):
-        out = out[:-2] + END
+    out = out.removeprefix(r"\b").removesuffix(r"\b")
     return out.replace(r"co\b|", f"co{END}|").replace(r"\w", f"[{WORD}]").replace(r"\d", r"\p{Nd}")
 
 
@@ -54,7 +51,12 @@ def re2_capture(pattern: str) -> str:
 
 def matches_any(text: str, patterns: Sequence[str]) -> str:
     """SQL boolean: one of the patterns occurs in the lower-cased text."""
-    joined = "|".join(f"(?:{re2(p)})" for p in patterns)
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for p in patterns:
+        groups.setdefault((p.startswith(r"\b"), p.endswith(r"\b")), []).append(f"(?:{re2(p)})")
+    joined = "|".join(
+        f"{START if start else ''}(?:{'|'.join(ps)}){END if end else ''}" for (start, end), ps in groups.items()
+    )
     return f"regexp_matches(lower(coalesce({text}, '')), {lit(joined)})"
 
 
@@ -66,7 +68,6 @@ def strip(text: str) -> str:
 
 def collapse(text: str) -> str:
     """Control characters dropped, white-space runs to one space, ends trimmed."""
-    no_control = f"regexp_replace({text}, {lit(chr(92) + 'x00')}, '', 'g')"
     no_control = rf"regexp_replace({text}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
     return f"trim(regexp_replace({no_control}, {lit(SPACE_CLASS + '+')}, ' ', 'g'))"
 
