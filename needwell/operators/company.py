@@ -100,22 +100,13 @@ def merge_companies(companies: DataFrame, by: str) -> DataFrame:
         *[F.max_by(F.col(c), F.when(present(c), F.col("_order"))).alias(c) for c in scalars]
     )
     if lists:
-        items = keyed.select(
-            "_key",
-            F.inline(
-                F.flatten(
-                    F.array(
-                        *[
-                            F.transform(
-                                F.coalesce(F.col(c), F.array().cast("array<string>")),
-                                lambda x, c=c: F.struct(F.lit(c).alias("_field"), x.alias("_item")),
-                            )
-                            for c in lists
-                        ]
-                    )
-                )
-            ),
-        ).distinct()
+
+        def labelled(name: str) -> Column:
+            values = F.coalesce(F.col(name), F.array().cast("array<string>"))
+            return F.transform(values, lambda x: F.struct(F.lit(name).alias("_field"), x.alias("_item")))
+
+        stacked = F.flatten(F.array(*[labelled(c) for c in lists]))
+        items = keyed.select("_key", F.inline(stacked)).distinct()
         united = items.groupBy("_key").agg(
             *[F.array_sort(F.collect_set(F.when(F.col("_field") == c, F.col("_item")))).alias(c) for c in lists]
         )
