@@ -147,7 +147,7 @@ def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
     refused = F.count_if(_is(OK) & rejected)
     aborted = F.max("seq") == F.max("abort_seq")
     full = F.max("limit_seq")
-    capped = F.max("cap_seq").isNotNull() & (full.isNull() | (full > F.max("cap_seq")))
+    capped = F.max("cap_seq").isNotNull() & (full.isNull() | (full >= F.max("cap_seq")))
     grouped = stopped.groupBy("run_id", "source", "query").agg(
         F.count(F.lit(1)).alias("pages_visited"),
         F.count_if(_is(OK)).alias("leads_found"),

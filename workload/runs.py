@@ -78,7 +78,7 @@ _SUMMARY_SQL = (
       count_if(outcome = 'parse_error') + count_if(outcome = 'ok' AND rejected) AS rejects,
       count_if(outcome = 'transient') AS errors, min(ts) AS started_at, max(ts) AS finished_at,
       CASE WHEN max(seq) = max(abort_seq) THEN 'aborted after {LIMITS.block_limit} consecutive blocks'
-        WHEN max(cap_seq) IS NOT NULL AND (max(limit_seq) IS NULL OR max(limit_seq) > max(cap_seq))
+        WHEN max(cap_seq) IS NOT NULL AND (max(limit_seq) IS NULL OR max(limit_seq) >= max(cap_seq))
         THEN 'daily request cap reached ({LIMITS.daily_cap})' END AS error_message
       FROM stopped GROUP BY run_id, source, query""",
 )
