@@ -70,7 +70,7 @@ def main_text(html: Column) -> Column:
     """Text of the first ``<article>``, else ``<main>``; NULL when neither holds text."""
 
     def element(name: str) -> Column:
-        pattern = rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)"
+        pattern = rf"(?is)<{name}\b{_ATTRS}>(.*?)(?:</{name}\s*>|\z)"
         found = html.rlike(rf"(?i)<{name}\b")
         return F.when(found, visible_text(F.regexp_extract(html, pattern, 1)))
 
