@@ -48,7 +48,9 @@ def _fold_udf(unescape: bool, nfkc: bool):
     def fold(values: pa.Array) -> pa.Array:
         return pa.array([fold_value(v) for v in values.to_pylist()], pa.string())
 
-    return F.arrow_udf(fold, StringType())
+    # marked so that a filter on its result is not pushed below it, which would
+    # send every text through Python twice
+    return F.arrow_udf(fold, StringType()).asNondeterministic()
 
 
 def _only_where(needed: Column, udf, text: Column) -> Column:
@@ -103,6 +105,12 @@ def tidy(folded: Column) -> Column:
     return F.coalesce(collapse_whitespace(strip_control_chars(folded)), F.lit(""))
 
 
+def has_content(folded: Column) -> Column:
+    """Cleaning will leave something; stops at the first visible character."""
+    blank = r"\x00-\x20\x7f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return F.coalesce(folded.rlike(f"[^{blank}]"), F.lit(False))
+
+
 def clean_text(text: Column) -> Column:
     """Entities, NFKC, control characters, white space, in this order; NULL gives ''."""
     return tidy(fold_text(text))

@@ -85,22 +85,22 @@ def assess_posts(mapped: DataFrame) -> DataFrame:
     fields = ("author_name", "author_headline", "company", "need_text", "post_text")
     # one projection, so all five share a single Arrow round trip
     folded = mapped.withColumns({f: text.fold_text(F.col(f)) for f in fields})
-    cleaned = folded.withColumns(
+    named = folded.withColumn("author_name", text.tidy_author_name(F.col("author_name")))
+    reason = F.when(F.col("author_name") == "", REASON_NO_AUTHOR).when(
+        ~text.has_content(F.col("post_text")), REASON_NO_TEXT
+    )
+    cleaned = named.withColumns(
         {
-            "author_name": text.tidy_author_name(F.col("author_name")),
+            "reject_reason": F.coalesce("reject_reason", reason),
+            "reject_stage": F.coalesce("reject_stage", F.when(reason.isNotNull(), VALIDATION)),
             "author_headline": F.nullif(text.tidy(F.col("author_headline")), F.lit("")),
             "company": F.nullif(text.tidy(F.col("company")), F.lit("")),
             "need_text": text.tidy(F.col("need_text")),
             "post_text": text.tidy(F.col("post_text")),
         }
     )
-    reason = F.when(F.col("author_name") == "", REASON_NO_AUTHOR).when(
-        F.col("post_text") == "", REASON_NO_TEXT
-    )
     checked = cleaned.withColumns(
         {
-            "reject_reason": F.coalesce("reject_reason", reason),
-            "reject_stage": F.coalesce("reject_stage", F.when(reason.isNotNull(), VALIDATION)),
             "need_text": F.coalesce(F.nullif(F.col("need_text"), F.lit("")), F.col("post_text")),
             "_quality": quality(
                 F.col("author_name"),

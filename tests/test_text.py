@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from needwell.functions import text
 
@@ -84,3 +85,15 @@ def test_split_named_body(apply):
 
 def test_plausible_name(apply):
     assert apply(text.plausible_name, ["Ana", "a b c d e f g", "a b c d e f g h", "x" * 61, ""]) == [True, True, False, False, False]
+
+
+def test_has_content_agrees_with_cleaning(apply):
+    given = ["", " \t\n", "\x00\x07", "\xa0　", "a", " \x1f.", "​", None]
+    assert apply(text.has_content, given) == [v != "" for v in apply(text.tidy, given)]
+
+
+def test_text_crosses_to_python_once(spark):
+    df = spark.createDataFrame([("a &amp; b",), ("&nbsp;",)], "t STRING").select(text.clean_text(F.col("t")).alias("t"))
+    plan = df.where("t <> ''")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert df.where("t <> ''").count() == 1
