@@ -32,6 +32,11 @@ def newer_than(leads: DataFrame, cutoff: Column | None) -> DataFrame:
     return leads.where(F.coalesce("posted_at", "first_seen") >= cutoff)
 
 
+def at_least_fresh(leads: DataFrame, minimum: int) -> DataFrame:
+    """Rows whose freshness score reaches a minimum."""
+    return leads.where(F.col("freshness_score") >= minimum)
+
+
 def recent_order() -> list[Column]:
     return [F.col("first_seen").desc(), F.col("id").asc()]
 

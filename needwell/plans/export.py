@@ -39,3 +39,13 @@ def export_leads(
         writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     else:
         writer.json(path)
+
+
+def export_explained(
+    explained: DataFrame, path: str, category: str = CLIENT_LEAD, cutoff: Column | None = None
+) -> None:
+    """Ranked JSON records with the score breakdown of each lead."""
+    ranked = rank.ranked(explained, category, cutoff)
+    posted = iso_text(F.col("posted_at")).alias("posted_at")
+    record = [posted if c == "posted_at" else F.col(c) for c in (*rank.EXPORT_COLUMNS, "breakdown")]
+    ranked.select(*record).write.mode("overwrite").json(path)

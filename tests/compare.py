@@ -18,7 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+        return None if math.isnan(value) else value
     if isinstance(value, list | tuple):
         return tuple(_plain(v) for v in value)
     return value

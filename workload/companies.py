@@ -126,11 +126,11 @@ _FUZZY_NAME = """concat(CASE WHEN c_custkey % 2 = 0 THEN 'The ' ELSE '' END, 'Br
       s AS (SELECT city, tok, min(id) AS id FROM c GROUP BY city, tok),
       p AS (SELECT a.id AS id_a, b.id AS id_b, len(a.tok) + len(b.tok) AS n, len(list_intersect(a.tok, b.tok)) AS m
             FROM s a JOIN s b ON a.city = b.city AND a.id < b.id)
-    SELECT id_a, id_b, round(200.0::DOUBLE * m / n, 4) AS similarity FROM p WHERE 200 * m >= 92 * n
-    UNION ALL SELECT s.id, c.id, 100.0 FROM c JOIN s ON s.city = c.city AND s.tok = c.tok WHERE c.id <> s.id""",
+    SELECT id_a, id_b, round(20000.0::DOUBLE * m / n)::BIGINT AS similarity FROM p WHERE 200 * m >= 92 * n
+    UNION ALL SELECT s.id, c.id, 10000 FROM c JOIN s ON s.city = c.city AND s.tok = c.tok WHERE c.id <> s.id""",
 )
 def similar_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nearly equal names inside one city."""
+    """Pairs of nearly equal names inside one city, similarity in hundredths of a percent."""
     c = table(spark, sf_dir, "customer").select(
         F.expr("concat('c', c_custkey)").alias("id"),
         F.expr(_FUZZY_NAME).alias("business_name"),
@@ -138,7 +138,7 @@ def similar_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("land").alias("country"),
     )
     pairs = company.similar_names(c)
-    return pairs.withColumn("similarity", F.round("similarity", 4))
+    return pairs.withColumn("similarity", F.round(F.col("similarity") * 100).cast("bigint"))
 
 
 PROFILES = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from needwell import schemas
 from needwell.functions import dates
 from needwell.operators import discover, merge, rank, score
+from needwell.plans.export import export_explained, export_leads, export_view
 from workload import dialect as q
 from workload.ingest import (
     CFG,
@@ -18,7 +19,7 @@ from workload.ingest import (
     clean_posts,
     score_ctes,
 )
-from workload.registry import query, table
+from workload.registry import query, table, work_dir
 from workload.text import EMAIL_SQL, headline_company_sql, post_company_sql, website_sql
 from workload.views import NOW_SQL, now, ts_text, ts_text_sql
 
@@ -314,11 +315,37 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the export file: ISO time stamps, missing ones as empty cells."""
-    from needwell.plans.export import export_view
-
     return export_view(rank.ranked(rescored(spark, sf_dir)))
 
 
+@query(
+    "exported_file",
+    rf"""{q.with_ctes(*RESCORED)} SELECT author_name, new_lead_score::VARCHAR AS lead_score, new_category AS category, need_text,
+      post_url, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS posted_at, platform
+    FROM scored WHERE coalesce(posted_at, first_seen) >= {_CUTOFF_SQL}""",
+)
+def exported_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV export of all categories, written and read back; empty cells come back as NULL."""
+    path = work_dir(spark, "export")
+    export_leads(rescored(spark, sf_dir), path, category="all", cutoff=cutoff())
+    columns = ", ".join(f"{c} STRING" for c in rank.EXPORT_COLUMNS)
+    return spark.read.schema(columns).option("header", True).option("escape", '"').csv(path)
+
+
+@query(
+    "explained_file",
+    rf"""{q.with_ctes(*RESCORED)} SELECT post_url, new_lead_score::BIGINT AS lead_score, fresh::BIGINT AS freshness,
+      need_score::BIGINT AS need_match FROM scored WHERE new_category = 'client_lead' AND freshness_score >= 0""",
+)
+def explained_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records with breakdown, written and read back."""
+    path = work_dir(spark, "explained")
+    leads = rank.at_least_fresh(score.explain_scores(rescored(spark, sf_dir), now(), CFG), 0)
+    export_explained(leads, path)
+    schema = "post_url STRING, lead_score LONG, breakdown STRUCT<freshness: LONG, need_match: LONG>"
+    return spark.read.schema(schema).json(path).select("post_url", "lead_score", "breakdown.*")
+
+
 # --- other joins and rewrites ---------------------------------------------------
 
 

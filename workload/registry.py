@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from needwell.session import configure
+from needwell.session import configure, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,3 +34,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder of a query inside the shared folder."""
+    return f"{shared_dir(spark)}/needwell/{name}-{uuid.uuid4().hex}"

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needwell.operators import store
-from needwell.session import shared_dir
 from needwell.streaming import ingest as stream
 from workload import dialect as q
 from workload.ingest import INGEST_SQL, VALID_SQL
 from workload.leads import REDUCED_SQL
-from workload.registry import query
+from workload.registry import query, work_dir
 from workload.runs import ATTEMPTS_SQL, attempts
 from workload.views import now, raw_posts, ts_text, ts_text_sql
 
 
-def _work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/needwell/{name}-{uuid.uuid4().hex}"
-
-
 def _landed(df: DataFrame, path: str, parts: int, key: str) -> None:
     """A table as files, so that a stream can pick them up in several batches."""
     df.repartitionByRange(parts, key).write.parquet(path)
@@ -34,7 +27,7 @@ def _landed(df: DataFrame, path: str, parts: int, key: str) -> None:
 )
 def streamed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead table after the whole input went through the stream: as one batch would leave it."""
-    work = _work_dir(spark, "stream")
+    work = work_dir(spark, "stream")
     posts = raw_posts(spark, sf_dir)
     _landed(posts, f"{work}/in", 3, "seq")
     arriving = stream.read_posts(spark, f"{work}/in", schema=posts.schema)
@@ -52,7 +45,7 @@ def streamed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats dropped on arrival, per source; the watermark spans the whole log."""
-    work = _work_dir(spark, "arrivals")
+    work = work_dir(spark, "arrivals")
     log = attempts(spark, sf_dir).select(
         F.col("ts").alias("fetched_at"), "source", F.concat_ws("|", "source", "url").alias("source_url")
     )
@@ -72,7 +65,7 @@ def streamed_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_requests_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily requests kept up to date by a stream; the last update of each window counts."""
-    work = _work_dir(spark, "daily")
+    work = work_dir(spark, "daily")
     log = attempts(spark, sf_dir).select("source", "ts")
     _landed(log, f"{work}/in", 4, "ts")
     arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
@@ -95,7 +88,7 @@ def streamed_requests_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stored_snapshot_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store written by one batch and the same batch again: same leads, same rejects."""
-    work = _work_dir(spark, "store")
+    work = work_dir(spark, "store")
     raw = raw_posts(spark, sf_dir)
     store.store_batch(spark, work, raw, now(), "first")
     repeated = store.store_batch(spark, work, raw, now(), "first")
