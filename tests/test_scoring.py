@@ -110,7 +110,7 @@ def need(spark, need_text, post, cfg=ScoringConfig()):
         ("tea shop", "coffee, hire me", 10),
         ("seo", "seoul needed", 70),
         ("the of", "the end of it", 50),
-        ("a b c d", "want d", 55),
+        ("a b c d", "want d", 28),
         ("one two three", "need one", 28),
         (None, "x", 0),
         (" ", "x", 0),
