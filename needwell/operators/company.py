@@ -126,28 +126,46 @@ def merge_log(companies: DataFrame, by: str) -> DataFrame:
     return joined.select("kept_id", F.col("id").alias("merged_id"), F.lit(by).alias("rule"))
 
 
+def _without(sets: DataFrame, drops: int) -> DataFrame:
+    """Token sets with every choice of ``drops`` (0, 1 or 2) tokens left out, as ``key``."""
+    tokens = F.col("tokens")
+    if drops == 0:
+        return sets.select("country", "city", tokens.alias("key"), "id")
+    positions = F.sequence(F.lit(0), F.size(tokens) - 1)
+    if drops == 1:
+        choices = F.transform(positions, lambda i: F.array(i))
+    else:
+        later = F.transform(
+            positions, lambda i: F.transform(F.filter(positions, lambda j: j > i), lambda j: F.array(i, j))
+        )
+        choices = F.flatten(later)
+    chosen = sets.select("country", "city", "tokens", "id", F.explode(choices).alias("_out"))
+    kept = F.filter("tokens", lambda _, i: ~F.array_contains("_out", i))
+    return chosen.select("country", "city", kept.alias("key"), "id")
+
+
 def similar_names(companies: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """Pairs of companies of one city whose name tokens overlap by the threshold.
 
     Similarity is 200·common / (tokens of both). Equal token sets are collapsed to
     their smallest id first and reported against it. From there on every pair that
-    qualifies falls in exactly one of two joins:
+    qualifies falls in exactly one place by the number of tokens that differ:
 
-    * one name is the other plus a single token: the full set meets the sets with
-      one token left out. Full sets are unique, so the output is linear;
-    * anything else needs at least two differing tokens, hence long names: those
-      few share one of their rarest tokens (prefix filter).
+    * one or two: both sides offer the tokens they may have in common, and equal
+      offers are a match. Each joined row is a result, there are no candidates;
+    * three and more, possible for very long names only: names that share one of
+      their rarest tokens are compared (prefix filter).
     """
+    place = ["country", "city"]
     rows = companies.select(
         F.coalesce(F.lower("country"), F.lit("")).alias("country"),
         F.coalesce(F.lower("city"), F.lit("")).alias("city"),
         F.col("id"),
         name_tokens(F.col("business_name")).alias("tokens"),
     ).where(F.size("tokens") > 0)
-    place = ["country", "city"]
     sets = rows.groupBy(*place, "tokens").agg(F.min("id").alias("id"))
     kept = sets.select(*place, "tokens", F.col("id").alias("id_a"))
-    copies = (
+    found = (
         rows.join(kept, [*place, "tokens"])
         .where(F.col("id") != F.col("id_a"))
         .select("id_a", F.col("id").alias("id_b"), F.lit(100.0).alias("similarity"))
@@ -155,28 +173,40 @@ def similar_names(companies: DataFrame, threshold: int = FUZZY_THRESHOLD) -> Dat
 
     t = threshold / 100
     n = F.size("tokens")
-    shorter = sets.where(2 * n >= F.lit(t) * (2 * n + 1)).select(*place, "tokens", F.col("id").alias("id_s"))
-    longer = (
-        sets.where(2 * (n - 1) >= F.lit(t) * (2 * n - 1))
-        .withColumn("_drop", F.explode("tokens"))
-        .select(*place, F.array_remove(F.col("tokens"), F.col("_drop")).alias("tokens"), F.col("id").alias("id_l"))
-    )
-    by_one = shorter.join(longer, [*place, "tokens"]).select(
-        F.least("id_s", "id_l").alias("id_a"),
-        F.greatest("id_s", "id_l").alias("id_b"),
-        (F.lit(200.0) * n / (2 * n + 1)).alias("similarity"),
-    )
 
-    # two differing tokens need at least this many common ones
-    long_from = math.ceil(2 * t / (2 * (1 - t)) - 1e-9)
-    long_sets = sets.where(n >= long_from)
-    frequency = long_sets.select(*place, F.explode("tokens").alias("token")).groupBy(*place, "token").count()
+    def common_needed(differing: int) -> int:
+        return math.ceil(differing * t / (2 * (1 - t)) - 1e-9)
+
+    for left_drops, right_drops in ((0, 1), (0, 2), (1, 1)):
+        differing = left_drops + right_drops
+        least = common_needed(differing)
+        left = _without(sets.where(n >= least + left_drops), left_drops).withColumnRenamed("id", "id_l")
+        right = _without(sets.where(n >= least + right_drops), right_drops).withColumnRenamed("id", "id_r")
+        matched = left.join(right, [*place, "key"])
+        if left_drops == right_drops:
+            matched = matched.where(F.col("id_l") < F.col("id_r"))
+        common = F.size("key")
+        found = found.unionByName(
+            matched.select(
+                F.least("id_l", "id_r").alias("id_a"),
+                F.greatest("id_l", "id_r").alias("id_b"),
+                (F.lit(200.0) * common / (2 * common + differing)).alias("similarity"),
+            )
+        )
+    return found.unionByName(_similar_long_names(sets.where(n >= common_needed(3)), t))
+
+
+def _similar_long_names(sets: DataFrame, t: float) -> DataFrame:
+    """Pairs that differ in three tokens or more, among sets long enough for that."""
+    place = ["country", "city"]
+    single = sets.select(*place, "id", "tokens", F.explode("tokens").alias("token"))
+    frequency = single.groupBy(*place, "token").count()
     marked = (
-        long_sets.select(*place, "id", "tokens", F.explode("tokens").alias("token"))
-        .join(frequency, [*place, "token"])
+        single.join(frequency, [*place, "token"])
         .groupBy(*place, "id", "tokens")
         .agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("_rare"))
     )
+    n = F.size("tokens")
     needed = F.ceil(n * F.lit(t / (2 - t)) - 1e-9)
     prefix = F.slice(F.transform("_rare", lambda r: r["token"]), 1, (n - needed + 1).cast("int"))
     blocks = marked.select(*place, "id", "tokens", F.explode(prefix).alias("token"))
@@ -184,15 +214,14 @@ def similar_names(companies: DataFrame, threshold: int = FUZZY_THRESHOLD) -> Dat
     b = blocks.select(*place, "token", F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
     both = F.size("ta") + F.size("tb")
-    by_more = (
+    return (
         a.join(b, [*place, "token"])
         .where(F.col("id_a") < F.col("id_b"))
         .where(F.abs(F.size("ta") - F.size("tb")) <= F.lit(1 - t) * both)
-        .where((both - 2 * common >= 2) & (200 * common >= F.lit(float(threshold)) * both))
+        .where((both - 2 * common >= 3) & (F.lit(200.0) * common >= F.lit(100 * t) * both))
         .select("id_a", "id_b", (F.lit(200.0) * common / both).alias("similarity"))
         .distinct()
     )
-    return copies.unionByName(by_one).unionByName(by_more)
 
 
 # --- profile fit ------------------------------------------------------------------

@@ -28,12 +28,12 @@ def test_merge_fills_gaps_and_unites_lists(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_similar_names_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    pool = [f"w{i}" for i in range(18)]
-    base = [rng.sample(pool, rng.choice([2, 6, 7, 12, 14, 16])) for _ in range(8)]
+    pool = [f"w{i:02d}" for i in range(30)]
+    base = [rng.sample(pool, rng.choice([2, 6, 7, 12, 14, 16, 20, 24])) for _ in range(8)]
     rows = []
-    for i in range(90):
+    for i in range(120):
         words = list(rng.choice(base))
-        for _ in range(rng.randrange(3)):
+        for _ in range(rng.randrange(4)):
             if rng.random() < 0.5:
                 words.append(rng.choice(pool))
             else:

@@ -405,9 +405,9 @@ _PAGES_SQL = (
 
 
 def _decoded_sql(text: str) -> str:
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
         text = f"replace({text}, '{entity}', {q.lit(char)})"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 _META = r"""nullif(trim({decoded}), '')"""
