@@ -36,8 +36,9 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def without_comments(html: Column) -> Column:
+    """Comments removed; one that never ends takes the rest of the page."""
     return F.when(
-        F.contains(html, F.lit("<!--")), F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+        F.contains(html, F.lit("<!--")), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     ).otherwise(html)
 
 
@@ -57,7 +58,7 @@ def meta_content(metas: Column, key: str) -> Column:
 
 def visible_text(fragment: Column) -> Column:
     """Text of a fragment: scripts and tags dropped, one space between pieces."""
-    no_code = F.regexp_replace(fragment, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    no_code = F.regexp_replace(fragment, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
     return collapse_whitespace(F.regexp_replace(no_code, rf"(?s)</?[A-Za-z]{_ATTRS}>", " "))
 
 

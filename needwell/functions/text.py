@@ -116,10 +116,18 @@ def clean_text(text: Column) -> Column:
     return tidy(fold_text(text))
 
 
+def last_without_digit(tokens: Column) -> Column:
+    """Position of the last token free of digits, 0 when there is none."""
+    positions = F.transform(tokens, lambda t, i: F.when(~t.rlike(r"(?U)\d"), i + 1))
+    return F.coalesce(F.array_max(positions), F.lit(0))
+
+
 def tidy_author_name(folded: Column) -> Column:
     """Display name of an author from folded text, trailing id tokens dropped."""
     name = collapse_whitespace(strip_emoji(tidy(folded)))
-    return F.regexp_replace(name, r"(?U)(?<=\S)(?: \S*\d\S*)+$", "")
+    tokens = F.split(name, " ", -1)
+    # the first token always stays; arrays, because a repeated regex group recurses per token
+    return F.array_join(F.slice(tokens, 1, F.greatest(last_without_digit(tokens), F.lit(1))), " ")
 
 
 def name_low_confidence(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from needwell.config import Platform
-from needwell.functions.text import strip
+from needwell.functions.text import last_without_digit, strip
 
 # Query parameters starting with one of these are tracking noise.
 TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "mc_", "ref", "trk", "originaltrk")
@@ -152,6 +152,6 @@ def author_from_slug(url: Column) -> Column:
     """Author name spelled in a post URL, trailing id tokens dropped."""
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     slug = F.regexp_extract(F.regexp_extract(path, r"/posts/([^/?#]+)", 1), r"^([^_]*)", 1)
-    words = F.btrim(F.regexp_replace(slug, "-+", "-"), F.lit("-"))
-    name = F.regexp_replace(words, r"(?U)(?:(?:^|-)[^-]*\d[^-]*)+$", "")
-    return F.nullif(F.initcap(F.replace(name, F.lit("-"), F.lit(" "))), F.lit(""))
+    words = F.filter(F.split(slug, "-", -1), lambda w: w != "")
+    name = F.array_join(F.slice(words, 1, last_without_digit(words)), " ")
+    return F.nullif(F.initcap(name), F.lit(""))

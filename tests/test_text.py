@@ -97,3 +97,7 @@ def test_text_crosses_to_python_once(spark):
     plan = df.where("t <> ''")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert df.where("t <> ''").count() == 1
+
+
+def test_very_long_names_are_handled(apply):
+    assert apply(text.clean_author_name, ["Ann " + "a1 " * 20000])[0].value == "Ann"
