@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_module
+from workload import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
@@ -16,7 +17,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     assert difference(df, con, entry_module.oracle_sql()[name]) is None
@@ -27,4 +28,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.SQL)
