@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import chat, pii, quality, sharding  # noqa: F401
+from . import bpe, chat, contamination, pii, quality, sharding  # noqa: F401
