@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import query, table
+from .staging import staged
 
 MIN_GROUP = 100
 FENCE = 3.0
@@ -193,18 +194,25 @@ def judge(measures: DataFrame, fences: DataFrame) -> DataFrame:
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _judged(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Measures and verdict of every row.
+
+    The measures are written once: a filter on a computed measure would be pushed below it and
+    compute it anew, and the verdict needs them a second time anyway.
+    """
+    measures = staged(with_measures(measure(docs, keep)), "quality")
+    return judge(measures, thresholds(sketches(measures)))
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed and kept of every row."""
-    measures = with_measures(measure(docs))
-    judged = judge(measures, thresholds(sketches(measures)))
-    return judged.select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
+    return _judged(docs, ("doc_id", "lang", "source")).select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of documents that pass, with their columns as they are."""
-    columns = docs.columns
-    measures = with_measures(measure(docs, tuple(columns)))
-    return judge(measures, thresholds(sketches(measures))).where("kept").select(*columns)
+    rows = docs.select("lang", "source", "text", F.struct(*docs.columns).alias("_row"))
+    return _judged(rows, ("lang", "source", "_row")).where("kept").select("_row.*")
 
 
 @query("op8_quality")
