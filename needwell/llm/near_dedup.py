@@ -10,11 +10,12 @@ probability 0.8, so a few values per document suffice: with KEYS values, one pai
 
 A value kept by over HOT nodes (a common passage, or one large group of copies) makes a list too long
 for all its pairs. Most holders of such a value have enough values that are not hot, and are compared
-through those: linked documents share some. Documents made mostly of hot values enter the hot lists,
-where each is first compared with the LEADERS most central ones, and components are built. Then only
-members outside a list's main component are compared with members of other components, through the
-first hot value that the two share. So a large group of copies costs a few comparisons per member,
-and no pair of different components is left out.
+through those: linked documents share some. Documents made mostly of hot values are crowded, and are
+compared through their whole sets: only shingles among the rarest that a link must share make lists,
+and what a document shares with any other bounds its similarity. In each list all are first compared
+with the LEADERS that share most, and components are built. Then only members outside a list's main
+component are compared with members of other components. So a large group of copies costs a few
+comparisons per member, and no pair of different components is left out.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing; a text of fewer
 words than a shingle is one shingle; rows with the same id count as one document; a row without id
@@ -131,6 +132,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, n, c, t: the shingles through which a crowded document can meet another one.
+
+    Shingles are counted over crowded documents. Those that no other one has can't be shared; c is
+    the number of the rest. In order of rarity, two sets of similarity 0.8 have one of the first
+    n - ceil(0.8 n) + 1 shingles in common, so only these, less the ones nobody shares, make lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text"), width))
+            for at in range(0, len(sets), 256):
+                part = sets[at : at + 256]
+                counts = np.array([len(x) for x in part])
+                nodes = batch.column("node").to_numpy()[at : at + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(part).view(np.int64))],
+                    ["node", "n", "t"],
+                )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowded, "node", "left_semi")
+    shingles = staged(texts.mapInArrow(run, "node long, n long, t long"), "shingles")
+    common = shingles.groupBy("t").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("node")
+    ranked = shingles.join(common, "t").select(
+        "node",
+        "n",
+        "t",
+        F.count("*").over(own).alias("c"),
+        F.row_number().over(own.orderBy("held", "t")).alias("place"),
+    )
+    return ranked.where(F.col("place") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select("node", "n", "c", "t")
+
+
+def _other() -> list[Column]:
+    return [F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("d")]
+
+
+def _fits() -> Column:
+    """Whether what two crowded documents can share at most is enough for their sizes."""
+    return (100 + SIMILARITY) * F.least("c", "d") >= SIMILARITY * (F.col("n") + F.col("m"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = staged(sketches(docs, width), "sketches")
@@ -144,7 +188,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     shared = values.join(spread, "v").groupBy("node").agg(
         F.array_sort(F.collect_list(F.when(F.col("held") <= HOT, F.col("v")))).alias("cool"),
         F.array_sort(F.collect_list(F.when(F.col("held") > HOT, F.col("v")))).alias("hot"),
-        F.avg(F.log("held")).alias("central"),
     )
     profiles = staged(nodes.join(shared, "node"), "profiles")
 
@@ -154,45 +197,40 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     pairs = entries.join(other, "v").where((F.col("node") < F.col("other")) & _similar_size("n", "m"))
     pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
 
-    # hot lists, of documents made mostly of hot values: leaders first
-    hot = profiles.where(F.size("hot") > F.least(F.col("n"), F.lit(SKETCH)) * HOT_SHARE).select(
-        "node", "n", "central", "sketch", F.slice("hot", 1, KEYS).alias("hot")
-    )
-    members = hot.select("node", "n", "central", F.explode("hot").alias("v"))
-    by_centre = Window.partitionBy("v").orderBy(F.desc("central"), "node")
+    # documents made mostly of hot values, compared with each other: leaders first
+    crowded = profiles.where(F.size("hot") > F.least(F.col("n"), F.lit(SKETCH)) * HOT_SHARE).select("node")
+    members = staged(_prefixes(crowded, docs, width), "members")
+    by_centre = Window.partitionBy("t").orderBy(F.desc(F.col("c") / F.col("n")), "node")
     leaders = members.withColumn("_place", F.row_number().over(by_centre)).where(F.col("_place") <= LEADERS)
-    stars = members.join(leaders.select("v", F.col("node").alias("other"), F.col("n").alias("m")), "v")
-    stars = stars.where((F.col("node") != F.col("other")) & _similar_size("n", "m"))
+    stars = members.join(leaders.select("t", *_other()), "t").where((F.col("node") != F.col("other")) & _fits())
     stars = stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
     sketch = lambda side: profiles.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    proposed = pairs.unionByName(stars).distinct().join(sketch("a"), "a").join(sketch("b"), "b")
-    likely = staged(proposed.where(_likely("sketch_a", "sketch_b")).select("a", "b"), "likely")
-    links = staged(_confirmed(likely, docs, width), "links")
+
+    def links_among(proposed: DataFrame) -> DataFrame:
+        both = proposed.distinct().join(sketch("a"), "a").join(sketch("b"), "b")
+        likely = staged(both.where(_likely("sketch_a", "sketch_b")).select("a", "b"), "likely")
+        return staged(_confirmed(likely, docs, width), "links")
+
+    links = links_among(pairs.unionByName(stars))
     labels = components(links)
 
     # what the leaders have left apart
-    labelled = staged(
-        hot.join(labels, "node", "left").select("node", "n", "sketch", "hot", F.coalesce("label", "node").alias("label")),
-        "labelled",
+    held = staged(
+        members.join(labels, "node", "left").select("node", "n", "c", "t", F.coalesce("label", "node").alias("label")), "held"
     )
-    held = labelled.select("*", F.explode("hot").alias("v"))
-    sizes = held.groupBy("v", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("v").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
-    split = held.join(main.where("parts > 1"), "v")
-    strays = split.where("label != main").select("v", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "sketch", "hot", "label")])
-    apart = strays.join(split, "v").where(
-        (F.col("label") != F.col("x_label"))
-        & ((F.col("label") == F.col("main")) | (F.col("x_node") < F.col("node")))
-        & _similar_size("n", "x_n")
-        & (F.array_min(F.array_intersect("hot", "x_hot")) == F.col("v"))
-        & _likely("sketch", "x_sketch")
+    sizes = held.groupBy("t", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("t").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
+    split = held.join(main.where("parts > 1"), "t")
+    strays = split.where("label != main").select("t", F.col("label").alias("other_label"), *_other())
+    apart = strays.join(split, "t").where(
+        (F.col("label") != F.col("other_label"))
+        & ((F.col("label") == F.col("main")) | (F.col("other") < F.col("node")))
+        & _fits()
     )
-    apart = staged(apart.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")), "apart")
-    if not apart.isEmpty():
-        more = staged(_confirmed(apart, docs, width), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = links_among(apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     placed = sets.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     joined = rows.join(placed, "set_key", "left")
