@@ -3,20 +3,23 @@
 Every window of LENGTH bytes holds an anchor: the GRAM-byte string with the smallest hash in it. Equal
 windows hold equal anchors, so suffixes need to start at anchors only, some six in a hundred bytes.
 
-1. Anchors that occur in one document only are dropped: (hash, document) rows are range-partitioned and
-   sorted, and a row stays if its neighbour has the same hash. The first and last hash of a batch
-   always stay, so a hash may be spread over any number of partitions.
-2. Around each other anchor, what a window can reach (LENGTH - GRAM bytes to both sides) is its
-   context. Equal contexts combine to one class with its smallest document before they move.
-3. Classes are sorted by anchor and right context: a suffix array, with the common-prefix lengths of
+1. What a window can reach around an anchor (LENGTH - GRAM bytes to both sides) is its context. A key holds
+   GROUP_BITS of the anchor's hash, then bits of the context's. Distinct (key, document) rows are
+   range-partitioned and sorted. A row after another document with the same key is a whole repeat. Of
+   the rest, anchors with one context only are dropped; a group of anchors cut by the border of a
+   batch stays in any case, so a group may be spread over any number of partitions.
+2. Each document gets back its keys of both kinds. The contexts of the kind that is left are cut out of
+   its text and sorted by anchor and right context: a suffix array, with the common-prefix lengths of
    neighbours beside it. The intervals of its common-prefix tree are visited by depth; inside one, the
    common lengths of the reversed left contexts tell where left extensions differ, and so which
    occurrences share a whole window. All occurrences count, not just neighbours. Depth is bounded, so
    the visit is a loop over LENGTH - GRAM + 1 levels for all intervals at once.
-   A group of anchors cut by a partition border, or with over BIG classes, is not held together: its
-   windows become rows and are aggregated, which combines before it moves.
-4. An occurrence is removed where a window of it has its class, or an equal window, in a document with
-   a smaller id. The reach of an anchor is one interval, for every window of it holds the anchor.
+   A group cut by a partition border, or with over BIG rows, is not held together: its windows become
+   rows and are aggregated, which combines before it moves.
+3. An occurrence is removed where a window of it is in a document with a smaller id. The reach of an
+   anchor is one interval, for every window of it holds the anchor.
+
+Strings are compared by 64-bit hashes of themselves or of parts of them.
 
 Defined cases: a null text is empty; texts under LENGTH bytes are left whole; a row without id is left
 whole and is no earlier document; rows of one id do not remove from each other, and a repeated row gets
@@ -35,12 +38,14 @@ from pyspark.sql import functions as F
 
 from .hashing import U64, chunks, mix, prefix_sums, run_hashes
 from .registry import query, table
+from .staging import staged
 
 LENGTH = 50
 GRAM = 16
 SIDE = LENGTH - GRAM
 WIDTH = 2 + 2 * SIDE
 BIG = 50_000
+GROUP_BITS = 40
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -74,30 +79,55 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _keys(hashes: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Bits of the anchor's hash before bits of its context's."""
+    edges = np.arange(len(context) + 1) * WIDTH
+    whole = mix(run_hashes(prefix_sums(context.reshape(-1)), edges[:-1], edges[1:]) + hashes)
+    low = U64(64 - GROUP_BITS)
+    return (hashes >> low << low) | (whole >> U64(GROUP_BITS))
+
+
+def _contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Bytes after each anchor, then those before it in reverse; each side after its length."""
+    right = _side(data, at + GRAM, 1, bounds[text + 1] - at - GRAM)
+    left = _side(data, at - 1, -1, at - bounds[text])
+    return np.concatenate([right, left], axis=1)
+
+
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (h, doc_id) of the anchors."""
+    """Distinct (key, doc_id) of the anchors."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for row, data, bounds in chunks(batch.column("text")):
-            _, text, hashes = anchors(data, bounds)
-            order = np.lexsort((hashes, text))
-            text, hashes = text[order], hashes[order]
+            at, text, hashes = anchors(data, bounds)
+            keys = _keys(hashes, _contexts(data, bounds, at, text))
+            order = np.lexsort((keys, text))
+            text, keys = text[order], keys[order]
             new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(hashes[new]), pa.array(ids[row + text[new]])], ["h", "doc_id"])
+            new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
+            yield pa.RecordBatch.from_arrays([_signed(keys[new]), pa.array(ids[row + text[new]])], ["key", "doc_id"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted batches whose hash a neighbour has too, and those of the first and last hash."""
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted batches that repeat an earlier document as a whole, or may in part."""
     for batch in batches:
-        h = batch.column("h").to_numpy()
-        if not len(h):
+        if not batch.num_rows:
             continue
-        same = h[1:] == h[:-1]
-        keep = (h == h[0]) | (h == h[-1])
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield batch.filter(pa.array(keep))
+        key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        runs = np.flatnonzero(new)
+        whole = doc > doc[runs][np.cumsum(new) - 1]
+        group = key >> (64 - GROUP_BITS)
+        border = np.ones(len(key), bool)
+        border[1:] = group[1:] != group[:-1]
+        number = np.cumsum(border) - 1
+        several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(border)) > 1
+        several[0] = several[-1] = True
+        keep = whole | several[number]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[keep]), pa.array(key[keep]), pa.array(whole[keep])], ["doc_id", "key", "whole"]
+        )
 
 
 def _text_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -115,43 +145,47 @@ def _side(data: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.n
     return out
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The anchors that other documents may hold: ids, positions, hashes, contexts, hashes of the whole texts."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        lists = batch.column("shared")
-        offsets, shared = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-        for row, data, bounds in chunks(batch.column("text")):
-            at, text, hashes = anchors(data, bounds)
-            first = np.searchsorted(text, np.arange(len(bounds)))
-            keep = np.zeros(len(at), bool)
-            for i in range(len(bounds) - 1):
-                own = shared[offsets[row + i] : offsets[row + i + 1]]
-                keep[first[i] : first[i + 1]] = np.isin(hashes[first[i] : first[i + 1]], own)
-            at, text, hashes = at[keep], text[keep], hashes[keep]
-            left = _side(data, at - 1, -1, at - bounds[text])
-            right = _side(data, at + GRAM, 1, bounds[text + 1] - at - GRAM)
-            context = np.concatenate([right, left], axis=1)
-            yield ids[row + text], at - bounds[text], hashes, context, _text_hashes(data, bounds)[text]
-
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of key lists; nulls are empty."""
+    column = batch.column(name)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), column.flatten().to_numpy().view(U64)
 
-def _context_hashes(hashes: np.ndarray, context: np.ndarray) -> np.ndarray:
-    edges = np.arange(len(context) + 1) * WIDTH
-    return mix(run_hashes(prefix_sums(context.reshape(-1)), edges[:-1], edges[1:]) + hashes)
 
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, _, hashes, context, _ in _occurrences(batches):
-        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(context), [None, pa.py_buffer(np.ascontiguousarray(context))])
-        yield pa.RecordBatch.from_arrays([_signed(hashes), fixed.cast(pa.binary()), pa.array(ids)], ["h", "context", "doc_id"])
+def _listed(keys: np.ndarray, first: np.ndarray, row: int, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which keys of texts are in the list of their row."""
+    bounds, values = lists
+    out = np.zeros(len(keys), bool)
+    for i in range(len(first) - 1):
+        own = values[bounds[row + i] : bounds[row + i + 1]]
+        if len(own):
+            out[first[i] : first[i + 1]] = np.isin(keys[first[i] : first[i + 1]], own)
+    return out
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, at, hashes, context, whole in _occurrences(batches):
-        yield pa.RecordBatch.from_arrays(
-            [_signed(_context_hashes(hashes, context)), pa.array(ids), pa.array(at.astype(np.int64)), _signed(whole)],
-            ["class", "doc_id", "at", "whole"],
-        )
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of texts that may repeat in part: h, context, doc_id, at, text hash."""
+    for batch in batches:
+        ids, lists = batch.column("doc_id").to_numpy(), _lists(batch, "parts")
+        for row, data, bounds in chunks(batch.column("text")):
+            at, text, hashes = anchors(data, bounds)
+            context = _contexts(data, bounds, at, text)
+            first = np.searchsorted(text, np.arange(len(bounds)))
+            keep = _listed(_keys(hashes, context), first, row, lists)
+            at, text, hashes, context = at[keep], text[keep], hashes[keep], context[keep]
+            fixed = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(WIDTH), len(context), [None, pa.py_buffer(np.ascontiguousarray(context))]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _signed(hashes),
+                    fixed.cast(pa.binary()),
+                    pa.array(ids[row + text]),
+                    pa.array((at - bounds[text]).astype(np.int64)),
+                    _signed(_text_hashes(data, bounds)[text]),
+                ],
+                ["h", "context", "doc_id", "at", "text_hash"],
+            )
 
 
 def _common(sides: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -175,9 +209,9 @@ def _order(sides: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def reach(group: np.ndarray, context: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each class, how far windows that a smaller document has too reach to the left and right of the anchor's start.
+    """For each row, how far windows that a smaller document has too reach before and after the anchor's start.
 
-    Classes of one group have the same anchor. Both are 0 where there is no such window.
+    Rows of one group have the same anchor. Both are 0 where there is no such window.
     """
     right, left = context[:, : SIDE + 1], context[:, SIDE + 1 :]
     back, ahead = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
@@ -217,151 +251,147 @@ def window_hashes(h: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(depths), np.concatenate(hashes)
 
 
-_REACH = "class long, least long, many boolean, back long, ahead long, window long, depth int"
+_REACH = "doc_id long, text_hash long, start long, end long, window long"
 
 
 def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes in order of anchor to their reach, or to their windows where a group is not whole in hand."""
-    held: list[tuple] = []
+    """Rows in order of anchor to their reach, or to their windows where a group is not whole in hand."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
     open_group = None  # the partition's first group, or one grown too big
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column("h").to_numpy()
         context = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        part = (h, context, batch.column("least").to_numpy(), batch.column("most").to_numpy())
+        part = (batch.column("h").to_numpy(), context, *(batch.column(c).to_numpy() for c in ("doc_id", "at", "text_hash")))
         if open_group is None:
-            open_group = h[0]
-        cut = int(np.searchsorted(h, h[-1]))
-        lead = int(np.searchsorted(h, open_group, "right"))
-        if not size and lead:
-            yield _as_windows([x[:lead] for x in part])
-            part, cut = [x[lead:] for x in part], cut - lead
+            open_group = part[0][0]
+        if not size:
+            lead = int(np.searchsorted(part[0], open_group, "right"))
+            if lead:
+                yield _as_windows(tuple(x[:lead] for x in part))
+                part = tuple(x[lead:] for x in part)
             if not len(part[0]):
                 continue
-        if cut > 0:
-            whole = [np.concatenate([*(p[i] for p in held), part[i][:cut]]) for i in range(4)]
-            yield _as_reach(whole)
-            held, size = [], 0
-            part = [x[cut:] for x in part]
-        held.append(tuple(part))
+        cut = int(np.searchsorted(part[0], part[0][-1]))
+        if cut or (size and held[-1][0][-1] != part[0][0]):
+            yield _as_reach(_together([*held, tuple(x[:cut] for x in part)]))
+            held, size, part = [], 0, tuple(x[cut:] for x in part)
+        held.append(part)
         size += len(part[0])
         if size > BIG:
-            yield _as_windows([np.concatenate([p[i] for p in held]) for i in range(4)])
+            yield _as_windows(_together(held))
             open_group, held, size = held[0][0][0], [], 0
     if size:
-        yield _as_windows([np.concatenate([p[i] for p in held]) for i in range(4)])
+        yield _as_windows(_together(held))
 
 
-def _rows(classes, least, many, back, ahead, window=None, depth=None) -> pa.RecordBatch:
-    n = len(classes)
+def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _rows(doc, text_hash, start, end, window) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [
-            _signed(classes),
-            pa.array(least),
-            pa.array(many),
-            pa.array(back),
-            pa.array(ahead),
-            pa.nulls(n, pa.int64()) if window is None else _signed(window),
-            pa.nulls(n, pa.int32()) if depth is None else pa.array(depth.astype(np.int32)),
-        ],
-        [c.split()[0] for c in _REACH.split(", ")],
+        [pa.array(x) for x in (doc, text_hash, start, end)] + [window], [c.split()[0] for c in _REACH.split(", ")]
     )
 
 
-def _as_reach(part) -> pa.RecordBatch:
-    h, context, least, most = part
-    classes = _context_hashes(h.view(U64), context)
-    back, ahead = reach(h, context, least)
-    keep = (most > least) | (ahead > 0)
-    return _rows(classes[keep], least[keep], (most > least)[keep], back[keep], ahead[keep])
+def _as_reach(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    h, context, doc, at, text_hash = part
+    back, ahead = reach(h, context, doc)
+    hit = ahead > 0
+    start, end = (at - back)[hit], (at + ahead)[hit]
+    return _rows(doc[hit], text_hash[hit], start, end, pa.nulls(len(start), pa.int64()))
 
 
-def _as_windows(part) -> pa.RecordBatch:
-    h, context, least, most = part
-    classes = _context_hashes(h.view(U64), context)
+def _as_windows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    h, context, doc, at, text_hash = part
     row, depth, window = window_hashes(h.view(U64), context)
-    zero = np.zeros(len(row), np.int64)
-    return _rows(classes[row], least[row], (most > least)[row], zero, zero, window, depth)
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, whole (hash of the text), start, end: what to remove, overlapping pieces included."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    holders = texts.mapInArrow(_holders, "h long, doc_id long")
-    ordered = holders.repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id")
-    shared = ordered.mapInArrow(_neighbours, "h long, doc_id long")
-    lists = shared.groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
-    candidates = texts.join(lists, "doc_id")
-
-    classes = (
-        candidates.mapInArrow(_contexts, "h long, context binary, doc_id long")
-        .groupBy("h", "context")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    )
-    ranged = classes.repartitionByRange("h", "context").sortWithinPartitions("h")
-    reaches = ranged.mapInArrow(_reaches, _REACH)
-    windows = reaches.where("window IS NOT NULL")
-    firsts = windows.groupBy("window").agg(F.min("least").alias("first"))
-    late = windows.join(firsts, "window").where("first < least OR many").select(
-        "class",
-        "least",
-        F.when(F.col("first") < F.col("least"), SIDE - F.col("depth")).otherwise(0).cast("long").alias("back"),
-        F.when(F.col("first") < F.col("least"), GRAM + F.col("depth")).otherwise(0).cast("long").alias("ahead"),
-    )
-    held = reaches.where("window IS NULL").select("class", "least", "back", "ahead")
-    result = held.unionByName(late).groupBy("class").agg(
-        F.min("least").alias("least"), F.max("back").alias("back"), F.max("ahead").alias("ahead")
+    start = at[row] - (SIDE - depth)
+    return _rows(doc[row], text_hash[row], start, start + LENGTH, _signed(window))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+
+def _key_lists(docs: DataFrame) -> DataFrame:
+    """doc_id, wholes, parts: the keys of a document's whole repeats, and of those that may be partial."""
+    holders = _texts(docs).mapInArrow(_holders, "key long, doc_id long")
+    ordered = holders.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    kinds = ordered.mapInArrow(_sorted_out, "doc_id long, key long, whole boolean")
+    return kinds.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("whole"), F.col("key"))).alias("wholes"),
+        F.collect_list(F.when(~F.col("whole"), F.col("key"))).alias("parts"),
     )
-    places = candidates.mapInArrow(_places, "class long, doc_id long, at long, whole long")
-    later = F.col("doc_id") > F.col("least")
-    hit = places.join(result, "class").where(later | (F.col("ahead") > 0))
-    return hit.select(
-        "doc_id",
-        "whole",
-        (F.col("at") - F.when(later, SIDE).otherwise(F.col("back"))).alias("start"),
-        (F.col("at") + F.when(later, LENGTH).otherwise(F.col("ahead"))).alias("end"),
+
+
+def _partial_spans(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, end of partial repeats, overlapping ones included."""
+    rows = texts.join(lists, "doc_id").mapInArrow(
+        _partial, "h long, context binary, doc_id long, at long, text_hash long"
     )
+    ordered = rows.repartitionByRange("h", "context", "doc_id").sortWithinPartitions("h")
+    reaches = ordered.mapInArrow(_reaches, _REACH)
+    windows = reaches.where("window IS NOT NULL")
+    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
+    late = windows.join(firsts, "window").where("doc_id > first").select("doc_id", "text_hash", "start", "end")
+    return reaches.where("window IS NULL").select("doc_id", "text_hash", "start", "end").unionByName(late)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their spans to what is left and how much went."""
+    """Texts, their keys of whole repeats and their other spans, to what is left and how much went."""
     for batch in batches:
-        spans = batch.column("spans").to_pylist()
-        texts = batch.column("text").cast(pa.binary())
+        spans, lists = batch.column("spans").to_pylist(), _lists(batch, "wholes")
         out: list[tuple] = []
         for row, data, bounds in chunks(batch.column("text")):
-            hashes = _text_hashes(data, bounds).view(np.int64)
+            at, text, hashes = anchors(data, bounds)
+            first = np.searchsorted(text, np.arange(len(bounds)))
+            whole = _listed(_keys(hashes, _contexts(data, bounds, at, text)), first, row, lists)
+            whole_texts = _text_hashes(data, bounds).view(np.int64)
             for i in range(len(bounds) - 1):
-                own = [s for s in spans[row + i] or () if s["whole"] == hashes[i]]
-                text = texts[row + i].as_py() or b""
+                size = int(bounds[i + 1] - bounds[i])
+                places = at[first[i] : first[i + 1]][whole[first[i] : first[i + 1]]] - bounds[i]
+                own = [(max(p - SIDE, 0), min(p + LENGTH, size)) for p in places.tolist()]
+                own += [(s["start"], s["end"]) for s in spans[row + i] or () if s["text_hash"] == whole_texts[i]]
                 merged: list[list[int]] = []
-                for start, end in sorted((max(s["start"], 0), min(s["end"], len(text))) for s in own):
+                for start, end in sorted(own):
                     if merged and start <= merged[-1][1]:
                         merged[-1][1] = max(end, merged[-1][1])
                     else:
                         merged.append([start, end])
-                left, at = [], 0
+                here, left, last = data[bounds[i] : bounds[i + 1]].tobytes(), [], 0
                 for start, end in merged:
-                    left.append(text[at:start])
-                    at = end
-                kept = b"".join([*left, text[at:]])
-                out.append((len(text), len(text) - len(kept), len(merged), kept))
-        columns = [pa.array([o[i] for o in out], pa.int64()) for i in range(3)] + [
-            pa.array([hashlib.sha256(o[3]).hexdigest() for o in out], pa.string())
-        ]
+                    left.append(here[last:start])
+                    last = end
+                kept = b"".join([*left, here[last:]])
+                out.append((size, size - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
+        columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate([pa.int64()] * 3 + [pa.string()])]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("whole", "start", "end")).alias("spans"))
-    both = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    The texts move once, by id; both readers of the key lists share that exchange.
+    """
+    texts = _texts(docs)
+    lists = staged(_key_lists(docs), "keys")
+    spans = _partial_spans(texts, lists).distinct().groupBy("doc_id").agg(
+        F.collect_list(F.struct("text_hash", "start", "end")).alias("spans")
+    )
+    known = texts.join(lists, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "text", "wholes", "spans")
+    other = docs.where("doc_id IS NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.lit(None).cast("array<bigint>").alias("wholes"),
+        F.lit(None).cast("array<struct<text_hash:bigint,start:bigint,end:bigint>>").alias("spans"),
+    )
+    return known.unionByName(other).mapInArrow(
+        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
 
 
 @query("op10_repeats")
