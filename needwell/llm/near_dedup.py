@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ LEADERS = 2
 MARGIN = 0.35
 SIMILARITY = 80
 SHINGLE = 5
+#: how much a Python worker holds at a time
+PAIRS_AT_ONCE = 128
+SETS_AT_ONCE = 64
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -103,26 +107,26 @@ def _likely(a: str, b: str) -> Column:
     return shared >= F.size(union) * (SIMILARITY / 100 - MARGIN)
 
 
+def _checked(pairs: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """The pairs whose full sets reach the similarity; neighbours with the same first text share its set."""
+    new = np.ones(pairs.num_rows, bool)
+    new[1:] = np.diff(pairs.column("a").to_numpy()) != 0
+    left = list(shingle_sets(pairs.column("text_a").filter(pa.array(new)), width))
+    linked = []
+    for i, y in zip(np.cumsum(new) - 1, shingle_sets(pairs.column("text_b"), width), strict=True):
+        x = left[i]
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        linked.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
+    return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; their texts move, nobody else's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for node, text in (("a", "text_a"), ("b", "text_b")):
-                _, first, back = np.unique(batch.column(node).to_numpy(), return_index=True, return_inverse=True)
-                # rows of one id with several texts are told apart
-                if len(first) < batch.num_rows and node == "b":
-                    first = back = np.arange(batch.num_rows)
-                sides.append((list(shingle_sets(batch.column(text).take(pa.array(first)), width)), back))
-            (left, at_left), (right, at_right) = sides
-            linked = []
-            for i, j in zip(at_left, at_right, strict=True):
-                x, y = left[i], right[j]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
-            mask = pa.array(linked, pa.bool_())
-            yield batch.select(["a", "b"]).filter(mask)
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                yield _checked(batch.slice(at, PAIRS_AT_ONCE), width)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -142,15 +146,15 @@ def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), width))
-            for at in range(0, len(sets), 256):
-                part = sets[at : at + 256]
+            ids, sets, at = batch.column("node").to_numpy(), shingle_sets(batch.column("text"), width), 0
+            while part := list(islice(sets, SETS_AT_ONCE)):
                 counts = np.array([len(x) for x in part])
-                nodes = batch.column("node").to_numpy()[at : at + 256]
+                nodes = ids[at : at + len(part)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(part).view(np.int64))],
                     ["node", "n", "t"],
                 )
+                at += len(part)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowded, "node", "left_semi")
     shingles = staged(texts.mapInArrow(run, "node long, n long, t long"), "shingles")
