@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import bpe, chat, contamination, lines, near_dedup, pii, quality, repeats, sharding  # noqa: F401
+from . import bpe, chat, contamination, licenses, lines, near_dedup, pii, quality, repeats, sharding  # noqa: F401
