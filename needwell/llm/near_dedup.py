@@ -137,11 +137,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """node, n, c, t: the shingles through which a crowded document can meet another one.
+    """node, n, t, c: the shingles through which a crowded document can meet another one.
 
-    Shingles are counted over crowded documents. Those that no other one has can't be shared; c is
-    the number of the rest. In order of rarity, two sets of similarity 0.8 have one of the first
-    n - ceil(0.8 n) + 1 shingles in common, so only these, less the ones nobody shares, make lists.
+    Shingles are counted over crowded documents. Those that no other one has can't be shared. In order
+    of rarity, two sets of similarity 0.8 have one of the first n - ceil(0.8 n) + 1 shingles in
+    common, so only these, less the ones nobody shares, make lists. c is the number of shared ones
+    from t on: all that two documents can have in common if t is the first that they have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,9 @@ def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         F.count("*").over(own).alias("c"),
         F.row_number().over(own.orderBy("held", "t")).alias("place"),
     )
-    return ranked.where(F.col("place") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select("node", "n", "c", "t")
+    return ranked.where(F.col("place") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select(
+        "node", "n", "t", (F.col("c") - F.col("place") + 1).alias("c")
+    )
 
 
 def _other() -> list[Column]:
@@ -175,7 +178,7 @@ def _other() -> list[Column]:
 
 
 def _fits() -> Column:
-    """Whether what two crowded documents can share at most is enough for their sizes."""
+    """Whether what two crowded documents can share from a shingle on is enough for their sizes."""
     return (100 + SIMILARITY) * F.least("c", "d") >= SIMILARITY * (F.col("n") + F.col("m"))
 
 
