@@ -14,8 +14,8 @@ windows hold equal anchors, so suffixes need to start at anchors only, some six
    common lengths of the reversed left contexts tell where left extensions differ, and so which
    occurrences share a whole window. All occurrences count, not just neighbours. Depth is bounded, so
    the visit is a loop over LENGTH - GRAM + 1 levels for all intervals at once.
-   A group cut by a partition border, or with over BIG rows, is not held together: its windows become
-   rows and are aggregated, which combines before it moves.
+   A group cut by a partition border, or with over BIG rows, is not held together: what its rows in
+   hand leave open among themselves becomes rows of windows, which are aggregated.
 3. An occurrence is removed where a window of it is in a document with a smaller id. The reach of an
    anchor is one interval, for every window of it holds the anchor.
 
@@ -58,31 +58,32 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, text numbers and hashes of the anchors of some texts laid end to end."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, text numbers and hashes of the anchors of some texts laid end to end, and the prefix sums of the bytes."""
+    sums = prefix_sums(data)
     windows = SIDE + 1
     if len(data) < LENGTH:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), sums
     starts = np.arange(len(data) - GRAM + 1)
-    hashes = run_hashes(prefix_sums(data), starts, starts + GRAM)
+    hashes = run_hashes(sums, starts, starts + GRAM)
     least = _slide(hashes, windows, np.minimum)
     edge = np.zeros(windows - 1, U64)
     chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), windows, np.maximum) == hashes)
     text = np.searchsorted(bounds, chosen, "right") - 1
     inside = (chosen + GRAM <= bounds[text + 1]) & (bounds[text + 1] - bounds[text] >= LENGTH)
     chosen, text = chosen[inside], text[inside]
-    return chosen, text, hashes[chosen]
+    return chosen, text, hashes[chosen], sums
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _keys(hashes: np.ndarray, context: np.ndarray) -> np.ndarray:
+def _keys(sums: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Bits of the anchor's hash before bits of its context's."""
-    edges = np.arange(len(context) + 1) * WIDTH
-    whole = mix(run_hashes(prefix_sums(context.reshape(-1)), edges[:-1], edges[1:]) + hashes)
+    start = np.maximum(at - SIDE, bounds[text])
+    end = np.minimum(at + LENGTH, bounds[text + 1])
+    whole = mix(run_hashes(sums, start, end) + (at - start).astype(U64))
     low = U64(64 - GROUP_BITS)
     return (hashes >> low << low) | (whole >> U64(GROUP_BITS))
 
@@ -99,8 +100,8 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for row, data, bounds in chunks(batch.column("text")):
-            at, text, hashes = anchors(data, bounds)
-            keys = _keys(hashes, _contexts(data, bounds, at, text))
+            at, text, hashes, sums = anchors(data, bounds)
+            keys = _keys(sums, bounds, at, text, hashes)
             order = np.lexsort((keys, text))
             text, keys = text[order], keys[order]
             new = np.ones(len(text), bool)
@@ -130,10 +131,6 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _text_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return run_hashes(prefix_sums(data), bounds[:-1], bounds[1:])
-
-
 def _side(data: np.ndarray, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
     """Up to SIDE bytes from `at` on in one direction, padded, after their number."""
     out = np.zeros((len(at), SIDE + 1), np.uint8)
@@ -168,11 +165,11 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, lists = batch.column("doc_id").to_numpy(), _lists(batch, "parts")
         for row, data, bounds in chunks(batch.column("text")):
-            at, text, hashes = anchors(data, bounds)
-            context = _contexts(data, bounds, at, text)
+            at, text, hashes, sums = anchors(data, bounds)
             first = np.searchsorted(text, np.arange(len(bounds)))
-            keep = _listed(_keys(hashes, context), first, row, lists)
-            at, text, hashes, context = at[keep], text[keep], hashes[keep], context[keep]
+            keep = _listed(_keys(sums, bounds, at, text, hashes), first, row, lists)
+            at, text, hashes = at[keep], text[keep], hashes[keep]
+            context = _contexts(data, bounds, at, text)
             fixed = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(WIDTH), len(context), [None, pa.py_buffer(np.ascontiguousarray(context))]
             )
@@ -182,7 +179,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fixed.cast(pa.binary()),
                     pa.array(ids[row + text]),
                     pa.array((at - bounds[text]).astype(np.int64)),
-                    _signed(_text_hashes(data, bounds)[text]),
+                    _signed(run_hashes(sums, bounds[:-1], bounds[1:])[text]),
                 ],
                 ["h", "context", "doc_id", "at", "text_hash"],
             )
@@ -208,46 +205,51 @@ def _order(sides: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.lexsort([sides[:, 0], *(numbers[:, j] for j in range(numbers.shape[1] - 1, -1, -1)), group])
 
 
-def reach(group: np.ndarray, context: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reach(
+    group: np.ndarray, context: np.ndarray, doc: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """For each row, how far windows that a smaller document has too reach before and after the anchor's start.
 
-    Rows of one group have the same anchor. Both are 0 where there is no such window.
+    Rows of one group have the same anchor. Both are 0 where there is no such window. At last, for each
+    number of bytes after the anchor, the rows of which no smaller document here has the window.
     """
     right, left = context[:, : SIDE + 1], context[:, SIDE + 1 :]
     back, ahead = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
     by_right, by_left = _order(right, group), _order(left, group)
     common_right, common_left = _common(right, group, by_right), _common(left, group, by_left)
     right_id, left_id = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
+    first_rows = []
     for depth in range(SIDE + 1):
         # intervals of the common-prefix tree at this depth, and of the reversed left contexts at the rest
         right_id[by_right] = np.cumsum(common_right < depth)
         left_id[by_left] = np.cumsum(common_left < SIDE - depth)
         whole = np.flatnonzero((right[:, 0] >= depth) & (left[:, 0] >= SIDE - depth))
+        first_rows.append(whole)
         if not len(whole):
             continue
         window = right_id[whole] * (len(group) + 1) + left_id[whole]
         _, inverse = np.unique(window, return_inverse=True)
         first = np.full(inverse.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, inverse, least[whole])
-        hit = whole[first[inverse] < least[whole]]
+        np.minimum.at(first, inverse, doc[whole])
+        late = first[inverse] < doc[whole]
+        hit, first_rows[-1] = whole[late], whole[~late]
         back[hit] = np.maximum(back[hit], SIDE - depth)
         ahead[hit] = np.maximum(ahead[hit], GRAM + depth)
-    return back, ahead
+    return back, ahead, first_rows
 
 
-def window_hashes(h: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, depth and hash of every whole window of some contexts."""
+def window_hashes(
+    h: np.ndarray, context: np.ndarray, rows: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, depth and hash of the windows of some rows, given by depth."""
     right, left = (np.ascontiguousarray(context[:, s : s + SIDE + 1]) for s in (0, SIDE + 1))
     sums = [prefix_sums(side.reshape(-1)) for side in (right, left)]
-    base = np.arange(len(context)) * (SIDE + 1) + 1
-    rows, depths, hashes = [], [], []
-    for depth in range(SIDE + 1):
-        whole = np.flatnonzero((right[:, 0] >= depth) & (left[:, 0] >= SIDE - depth))
-        at = base[whole]
+    depths, hashes = [], []
+    for depth, own in enumerate(rows):
+        at = own * (SIDE + 1) + 1
         parts = run_hashes(sums[0], at, at + depth) * U64(3) + run_hashes(sums[1], at, at + SIDE - depth) * U64(5)
-        rows.append(whole)
-        depths.append(np.full(len(whole), depth))
-        hashes.append(mix(h[whole] + mix(parts + U64(depth))))
+        depths.append(np.full(len(own), depth))
+        hashes.append(mix(h[own] + mix(parts + U64(depth))))
     return np.concatenate(rows), np.concatenate(depths), np.concatenate(hashes)
 
 
@@ -269,7 +271,7 @@ def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not size:
             lead = int(np.searchsorted(part[0], open_group, "right"))
             if lead:
-                yield _as_windows(tuple(x[:lead] for x in part))
+                yield from _as_windows(tuple(x[:lead] for x in part))
                 part = tuple(x[lead:] for x in part)
             if not len(part[0]):
                 continue
@@ -280,10 +282,10 @@ def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(part)
         size += len(part[0])
         if size > BIG:
-            yield _as_windows(_together(held))
+            yield from _as_windows(_together(held))
             open_group, held, size = held[0][0][0], [], 0
     if size:
-        yield _as_windows(_together(held))
+        yield from _as_windows(_together(held))
 
 
 def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -296,19 +298,27 @@ def _rows(doc, text_hash, start, end, window) -> pa.RecordBatch:
     )
 
 
-def _as_reach(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    h, context, doc, at, text_hash = part
-    back, ahead = reach(h, context, doc)
+def _spans(part: tuple[np.ndarray, ...], back: np.ndarray, ahead: np.ndarray) -> pa.RecordBatch:
+    _, _, doc, at, text_hash = part
     hit = ahead > 0
     start, end = (at - back)[hit], (at + ahead)[hit]
     return _rows(doc[hit], text_hash[hit], start, end, pa.nulls(len(start), pa.int64()))
 
 
-def _as_windows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    h, context, doc, at, text_hash = part
-    row, depth, window = window_hashes(h.view(U64), context)
-    start = at[row] - (SIDE - depth)
-    return _rows(doc[row], text_hash[row], start, start + LENGTH, _signed(window))
+def _as_reach(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    back, ahead, _ = reach(part[0], part[1], part[2])
+    return _spans(part, back, ahead)
+
+
+def _as_windows(part: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """What the rows in hand settle among themselves, and the windows that other rows may still settle."""
+    for low in range(0, len(part[0]), BIG):
+        own = tuple(x[low : low + BIG] for x in part)
+        back, ahead, firsts = reach(own[0], own[1], own[2])
+        yield _spans(own, back, ahead)
+        row, depth, window = window_hashes(own[0].view(U64), own[1], firsts)
+        start = own[3][row] - (SIDE - depth)
+        yield _rows(own[2][row], own[4][row], start, start + LENGTH, _signed(window))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -345,10 +355,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, lists = batch.column("spans").to_pylist(), _lists(batch, "wholes")
         out: list[tuple] = []
         for row, data, bounds in chunks(batch.column("text")):
-            at, text, hashes = anchors(data, bounds)
+            at, text, hashes, sums = anchors(data, bounds)
             first = np.searchsorted(text, np.arange(len(bounds)))
-            whole = _listed(_keys(hashes, _contexts(data, bounds, at, text)), first, row, lists)
-            whole_texts = _text_hashes(data, bounds).view(np.int64)
+            whole = _listed(_keys(sums, bounds, at, text, hashes), first, row, lists)
+            whole_texts = run_hashes(sums, bounds[:-1], bounds[1:]).view(np.int64)
             for i in range(len(bounds) - 1):
                 size = int(bounds[i + 1] - bounds[i])
                 places = at[first[i] : first[i + 1]][whole[first[i] : first[i + 1]]] - bounds[i]
