@@ -202,26 +202,26 @@ ENRICHED_SQL = (
     "enriched",
     f"""SELECT post_url, coalesce(nullif(company, ''), {post_company_sql('post_text')}, {headline_company_sql('author_headline')}) AS company,
       coalesce(nullif(lower(regexp_extract(post_text, {EMAIL_SQL}, 0)), ''), contact_email) AS contact_email,
-      coalesce({website_sql('post_text')}, website) AS website FROM stored""",
+      coalesce({website_sql('post_text')}, website) AS website FROM merged""",
 )
 
 
-@query("reenriched_leads", f"{q.with_ctes(*INGEST_SQL, VALID_SQL, STORED_SQL, ENRICHED_SQL)} SELECT * FROM enriched")
+@query("reenriched_leads", f"{q.with_ctes(*UPSERT_SQL, ENRICHED_SQL)} SELECT * FROM enriched")
 def reenriched_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored leads re-enriched: company only filled, email and website replaced."""
-    leads = score.enrich_leads(stored_leads(clean_posts(spark, sf_dir)))
+    """All leads re-enriched: company only filled, email and website replaced."""
+    leads = score.enrich_leads(merged_leads(spark, sf_dir))
     return leads.select("post_url", "company", "contact_email", "website")
 
 
 @query(
     "enrichment_tally",
-    f"""{q.with_ctes(*INGEST_SQL, VALID_SQL, STORED_SQL, ENRICHED_SQL)} SELECT count(*) AS total,
+    f"""{q.with_ctes(*UPSERT_SQL, ENRICHED_SQL)} SELECT count(*) AS total,
       count(nullif(company, '')) AS with_company, count(nullif(contact_email, '')) AS with_email,
       count(nullif(website, '')) AS with_website FROM enriched""",
 )
 def enrichment_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many stored leads carry each fact."""
-    return score.enrichment_tally(score.enrich_leads(stored_leads(clean_posts(spark, sf_dir))))
+    """How many leads carry each fact."""
+    return score.enrichment_tally(score.enrich_leads(merged_leads(spark, sf_dir)))
 
 
 @query(

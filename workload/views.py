@@ -2,7 +2,8 @@
 
 The given texts hold no asks and no links, so each document is put behind one
 template sentence, author, headline and need. Every row and every text is used
-whole; the same derivation exists as SQL.
+whole; where the sentence is blank, there is one more post of that sentence
+alone. The same derivation exists as SQL.
 """
 
 from __future__ import annotations
@@ -22,25 +23,25 @@ NOW = "2024-01-31T00:00:00Z"
 FIRST_SEEN = "2024-01-30T00:00:00Z"
 PLATFORM = Platform()
 
-# (sentence, followed by the document text)
-TEMPLATES: tuple[tuple[str, bool], ...] = (
-    ("We are looking for a marketing agency to grow our bakery.", True),
-    ("Need a freelancer for our launch. Please email me: Owner@Bakery-Shop.example today.", True),
-    ("We&#39;re hiring a full-time social media manager, apply now.", True),
-    ("New role at our firm, salary and benefits package included.", True),
-    ("Come join us and our roster of SEO experts.", True),
-    ("I am seeking designers on a freelance basis for our talent pool.", True),
-    ("Why hire an SEO agency? Top 5 reasons inside.", True),
-    ("How to choose a vendor with the right web design agency budget.", True),
-    ("Hot take: this article on a branding agency is worth reading.", True),
-    ("My journey so far. In 2022 I sat down reflecting on a website developer.", True),
-    ("Great weather in town today.", True),
-    ("Our office moved &amp; tea is good, see www.Quiet-Office.example/News?utm_source=x&id=7&lang=en.", True),
-    ("", False),
-    ("  \t ", False),
-    ("&nbsp; &nbsp;", False),
-    ("Bright Oak Studio is looking for a PPC agency. \U0001d40b\U0001d428\U0001d428\U0001d424 here, we need help \U0001f680 soon.", True),
+TEMPLATES = (
+    "We are looking for a marketing agency to grow our bakery.",
+    "Need a freelancer for our launch. Please email me: Owner@Bakery-Shop.example today.",
+    "We&#39;re hiring a full-time social media manager, apply now.",
+    "New role at our firm, salary and benefits package included.",
+    "Come join us and our roster of SEO experts.",
+    "I am seeking designers on a freelance basis for our talent pool.",
+    "Why hire an SEO agency? Top 5 reasons inside.",
+    "How to choose a vendor with the right web design agency budget.",
+    "Hot take: this article on a branding agency is worth reading.",
+    "My journey so far. In 2022 I sat down reflecting on a website developer.",
+    "Great weather in town today.",
+    "Our office moved &amp; tea is good, see www.Quiet-Office.example/News?utm_source=x&id=7&lang=en.",
+    "",
+    "  \t ",
+    "&nbsp; &nbsp;",
+    "Bright Oak Studio is looking for a PPC agency. \U0001d40b\U0001d428\U0001d428\U0001d424 here, we need help \U0001f680 soon.",
 )
+BLANK = tuple(i for i, sentence in enumerate(TEMPLATES) if not sentence.replace("&nbsp;", "").strip())
 AUTHORS = (
     "Maria Keller",
     "Aiden Novak 8aa8977",
@@ -86,28 +87,31 @@ def now() -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat derived posts: one per document."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    d = F.col("doc_id")
-    sentence = choose(_SENTENCES, "doc_id")
-    with_text = choose(_FLAGS, "doc_id") == "y"
+    """Flat derived posts: one per document, and one more per blank sentence."""
+    given = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d, blank = F.col("doc_id"), F.col("blank")
+    copies = F.when((d % len(TEMPLATES)).isin(*BLANK), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    docs = given.select("*", F.explode(copies).alias("blank"))
+    sentence = choose(TEMPLATES, "doc_id")
     key = F.when(d % 10 == 9, d - 9).otherwise(d)
     posted = (
         F.timestamp_seconds(F.lit(1706745600))  # 2024-02-01
         - F.make_dt_interval(days=(d % 45).cast("int"), hours=(F.col("n_chars") % 24).cast("int"))
     )
     return docs.select(
-        d.alias("seq"),
+        F.when(blank, -d - 1).otherwise(d).alias("seq"),
         F.col("source"),
         choose(AUTHORS, "doc_id").alias("author_name"),
         choose(HEADLINES, "doc_id").alias("author_headline"),
         choose(PROFILES, "doc_id").alias("author_profile_url"),
-        F.when(with_text, F.concat(sentence, F.lit(" "), F.col("text"))).otherwise(sentence).alias("post_text"),
+        F.when(blank, sentence).otherwise(F.concat(sentence, F.lit(" "), F.col("text"))).alias("post_text"),
         F.when(d % 7 != 0, posted).alias("posted_at"),
         choose(NEEDS, "doc_id").alias("need"),
-        F.concat(
-            F.lit("https://social.example/posts/user-"), (key % 7).cast("string"), F.lit("_"), key.cast("string")
-        ).alias("post_url"),
+        F.when(blank, F.concat(F.lit("https://social.example/posts/blank-"), d.cast("string")))
+        .otherwise(
+            F.concat(F.lit("https://social.example/posts/user-"), (key % 7).cast("string"), F.lit("_"), key.cast("string"))
+        )
+        .alias("post_url"),
     )
 
 
@@ -124,34 +128,32 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SENTENCES = [s for s, _ in TEMPLATES]
-_FLAGS = ["y" if follow else "n" for _, follow in TEMPLATES]
-
-
 def _posts_body(sentences: Sequence[str], authors: Sequence[str], headlines: Sequence[str | None]) -> str:
     text = pick(sentences, "doc_id")
     return f"""
-  SELECT doc_id AS seq, source,
+  SELECT CASE WHEN blank THEN -doc_id - 1 ELSE doc_id END AS seq, source,
          {pick(authors, 'doc_id')} AS author_name,
          {pick(headlines, 'doc_id')} AS author_headline,
          {pick(PROFILES, 'doc_id')} AS author_profile_url,
-         CASE WHEN {pick(_FLAGS, 'doc_id')} = 'y' THEN {text} || ' ' || text ELSE {text} END AS post_text,
-         {text} AS sentence, {pick(_FLAGS, 'doc_id')} = 'y' AS follows, text AS doc_text,
+         CASE WHEN blank THEN {text} ELSE {text} || ' ' || text END AS post_text,
+         {text} AS sentence, NOT blank AS follows, text AS doc_text,
          CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((doc_id % 45)::INTEGER)
               - to_hours(n_chars % 24) END AS posted_at,
          {pick(NEEDS, 'doc_id')} AS need,
+         CASE WHEN blank THEN 'https://social.example/posts/blank-' || doc_id ELSE
          'https://social.example/posts/user-' || ((CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END) % 7)
-           || '_' || (CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END) AS post_url,
-         {pick(_SENTENCES, 'doc_id')} AS raw_sentence
-  FROM documents"""
+           || '_' || (CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END) END AS post_url,
+         {pick(TEMPLATES, 'doc_id')} AS raw_sentence
+  FROM (SELECT *, false AS blank FROM documents
+        UNION ALL SELECT *, true FROM documents WHERE doc_id % {len(TEMPLATES)} IN {BLANK}) AS given"""
 
 
 # raw values as they arrive
-POSTS_SQL = ("posts", _posts_body(_SENTENCES, AUTHORS, HEADLINES))
+POSTS_SQL = ("posts", _posts_body(TEMPLATES, AUTHORS, HEADLINES))
 # the same rows with entities and styled letters of the constants already folded
 FOLDED_SQL = (
     "folded",
-    _posts_body([folded(s) for s in _SENTENCES], [folded(a) for a in AUTHORS], [folded(h) for h in HEADLINES]),
+    _posts_body([folded(s) for s in TEMPLATES], [folded(a) for a in AUTHORS], [folded(h) for h in HEADLINES]),
 )
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 FIRST_SEEN_SQL = "TIMESTAMP '2024-01-30 00:00:00'"
