@@ -107,7 +107,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(blank, sentence).otherwise(F.concat(sentence, F.lit(" "), F.col("text"))).alias("post_text"),
         F.when(d % 7 != 0, posted).alias("posted_at"),
         choose(NEEDS, "doc_id").alias("need"),
-        F.when(blank, F.concat(F.lit("https://social.example/posts/blank-"), d.cast("string")))
+        F.when(blank, F.concat(F.lit("https://social.example/posts/blank-1_"), d.cast("string")))
         .otherwise(
             F.concat(F.lit("https://social.example/posts/user-"), (key % 7).cast("string"), F.lit("_"), key.cast("string"))
         )
@@ -140,7 +140,7 @@ def _posts_body(sentences: Sequence[str], authors: Sequence[str], headlines: Seq
          CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-02-01' - to_days((doc_id % 45)::INTEGER)
               - to_hours(n_chars % 24) END AS posted_at,
          {pick(NEEDS, 'doc_id')} AS need,
-         CASE WHEN blank THEN 'https://social.example/posts/blank-' || doc_id ELSE
+         CASE WHEN blank THEN 'https://social.example/posts/blank-1_' || doc_id ELSE
          'https://social.example/posts/user-' || ((CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END) % 7)
            || '_' || (CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id END) END AS post_url,
          {pick(TEMPLATES, 'doc_id')} AS raw_sentence
