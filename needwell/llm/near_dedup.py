@@ -120,23 +120,22 @@ def _checked(pairs: pa.RecordBatch, width: int) -> pa.RecordBatch:
     return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; their texts move, nobody else's."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, made again from texts (node, text), reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
                 yield _checked(batch.slice(at, PAIRS_AT_ONCE), width)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(needed, "doc_id", "left_semi")
-    with_b = pairs.join(own.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    both = with_b.join(own.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = texts.join(needed, "node", "left_semi")
+    with_b = pairs.join(own.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    both = with_b.join(own.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _prefixes(texts: DataFrame, width: int) -> DataFrame:
     """node, n, t, c: the shingles through which a crowded document can meet another one.
 
     Shingles are counted over crowded documents. Those that no other one has can't be shared. In order
@@ -157,7 +156,6 @@ def _prefixes(crowded: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 )
                 at += len(part)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(crowded, "node", "left_semi")
     shingles = staged(texts.mapInArrow(run, "node long, n long, t long"), "shingles")
     common = shingles.groupBy("t").agg(F.count("*").alias("held")).where("held > 1")
     own = Window.partitionBy("node")
@@ -203,23 +201,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     other = entries.withColumnsRenamed({"node": "other", "n": "m"})
     pairs = entries.join(other, "v").where((F.col("node") < F.col("other")) & _similar_size("n", "m"))
     pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    sketch = lambda side: profiles.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
 
-    # documents made mostly of hot values, compared with each other: leaders first
+    def likely(proposed: DataFrame) -> DataFrame:
+        both = proposed.distinct().join(sketch("a"), "a").join(sketch("b"), "b")
+        return staged(both.where(_likely("sketch_a", "sketch_b")).select("a", "b"), "likely")
+
+    cool = likely(pairs)
+
+    # only documents that may have a link are read again: their texts move once
     crowded = profiles.where(F.size("hot") > F.least(F.col("n"), F.lit(SKETCH)) * HOT_SHARE).select("node")
-    members = staged(_prefixes(crowded, docs, width), "members")
+    crowded = staged(crowded, "crowded")
+    wanted = crowded.unionByName(cool.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = staged(named.join(wanted, "node", "left_semi"), "texts")
+
+    # documents made mostly of hot values, compared with each other: leaders first
+    members = staged(_prefixes(texts.join(crowded, "node", "left_semi"), width), "members")
     by_centre = Window.partitionBy("t").orderBy(F.desc(F.col("c") / F.col("n")), "node")
     leaders = members.withColumn("_place", F.row_number().over(by_centre)).where(F.col("_place") <= LEADERS)
     stars = members.join(leaders.select("t", *_other()), "t").where((F.col("node") != F.col("other")) & _fits())
     stars = stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    sketch = lambda side: profiles.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-
-    def links_among(proposed: DataFrame) -> DataFrame:
-        both = proposed.distinct().join(sketch("a"), "a").join(sketch("b"), "b")
-        likely = staged(both.where(_likely("sketch_a", "sketch_b")).select("a", "b"), "likely")
-        return staged(_confirmed(likely, docs, width), "links")
-
-    links = links_among(pairs.unionByName(stars))
+    links = staged(_confirmed(cool.unionByName(likely(stars)).distinct(), texts, width), "links")
     labels = components(links)
 
     # what the leaders have left apart
@@ -235,7 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         & ((F.col("label") == F.col("main")) | (F.col("other") < F.col("node")))
         & _fits()
     )
-    more = links_among(apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    apart = likely(apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    more = staged(_confirmed(apart, texts, width), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
