@@ -19,7 +19,6 @@ PROVENANCE = ("id", "first_seen", "last_updated")
 ALWAYS_SET = (
     "author_name",
     "need_text",
-    "need_category",
     "post_text",
     "platform",
     "data_quality_score",

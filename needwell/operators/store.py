@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from needwell import schemas
 from needwell.operators import ingest, merge
@@ -17,7 +18,7 @@ from needwell.operators import ingest, merge
 _COMMITS = "version LONG, batch_id STRING"
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType, fmt: str) -> DataFrame:
     try:
         return spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as exc:
@@ -27,7 +28,7 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str) -> Dat
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    return _read_or_empty(spark, f"{root}/commits", _COMMITS, "json")
+    return read_or_empty(spark, f"{root}/commits", _COMMITS, "json")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -78,13 +79,11 @@ def store_batch(spark: SparkSession, root: str, raw: DataFrame, now: Column, bat
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
-    """All rejected rows kept so far."""
-    try:
-        return spark.read.parquet(f"{root}/rejects").drop("batch")
-    except AnalysisException as exc:
-        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], schemas.REJECTS)
+    """The rejected rows of all committed batches."""
+    fields = [*schemas.REJECTS.fields, StructField("batch", StringType())]
+    rows = read_or_empty(spark, f"{root}/rejects", StructType(fields), "parquet")
+    done = commits(spark, root).select(F.col("batch_id").alias("batch")).distinct()
+    return rows.join(done, "batch", "left_semi").drop("batch")
 
 
 def save_bucketed(leads: DataFrame, table: str, path: str, buckets: int) -> None:

@@ -1,4 +1,7 @@
-"""Raw posts as a stream into the lead store."""
+"""Streams of posts and attempts, file by file, into tables.
+
+A micro-batch is known by its feed and number; whatever order files arrive in, none is dropped.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from needwell import schemas
 from needwell.operators import store
+from needwell.operators.runs import requests_per_day
 
 
 def read_posts(
@@ -27,41 +31,79 @@ def read_posts(
     return reader.load(path)
 
 
-def suppress_repeats(posts: DataFrame, delay: str = "1 day", key: str = "source_url") -> DataFrame:
-    """Drops arrivals of a URL seen within the watermark; state stays bounded by it.
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the feed that a checkpoint belongs to: survives restarts, new with each new checkpoint."""
+    return spark.read.schema("id STRING").json(f"{checkpoint}/metadata").first()["id"]
 
-    Later repeats reach the store, where the upsert settles them.
-    """
-    return posts.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark([key])
+
+def _start(
+    rows: DataFrame, checkpoint: str, apply: Callable[[DataFrame, str], None], available_now: bool, interval: str
+) -> StreamingQuery:
+    """Hand every micro-batch to ``apply``, with an id that no other feed or batch has."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        apply(batch, f"{feed_id(batch.sparkSession, checkpoint)}-{number}")
+
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
 def start_ingest(
     posts: DataFrame,
     root: str,
     checkpoint: str,
-    clock: Callable[[int], Column],
+    clock: Callable[[], Column],
     available_now: bool = True,
     interval: str = "1 minute",
 ) -> StreamingQuery:
     """Upsert every micro-batch into the store at ``root``.
 
     Delivery is at least once: a batch id that is committed already is skipped,
-    and applying one twice would change nothing.
+    and applying one twice would change nothing. Several feeds may share a
+    store, one after the other.
+    """
+
+    def apply(batch: DataFrame, batch_id: str) -> None:
+        store.store_batch(batch.sparkSession, root, batch, clock(), batch_id)
+
+    return _start(posts, checkpoint, apply, available_now, interval)
+
+
+def start_first_arrivals(
+    rows: DataFrame, out: str, checkpoint: str, key: list[str], available_now: bool = True, interval: str = "1 minute"
+) -> StreamingQuery:
+    """Keep one row per key at ``out``: a key is held back by what is stored, however late it comes.
+
+    A repeated batch writes its own folder again, compared with all the others.
+    """
+
+    def apply(batch: DataFrame, batch_id: str) -> None:
+        spark = batch.sparkSession
+        schema = StructType([*batch.schema.fields, StructField("batch", StringType())])
+        known = store.read_or_empty(spark, out, schema, "parquet")
+        others = known.where(F.col("batch") != batch_id).select(*key)
+        fresh = batch.dropDuplicates(key).join(others, key, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(rows, checkpoint, apply, available_now, interval)
+
+
+def start_daily_requests(
+    attempts: DataFrame, out: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute"
+) -> StreamingQuery:
+    """Count requests per source and UTC day of every micro-batch into its own folder at ``out``.
+
+    There is no watermark, so nothing is ever too late; `read_daily_requests` adds up.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        store.store_batch(batch.sparkSession, root, batch, clock(batch_id), f"stream-{batch_id}")
+    def apply(batch: DataFrame, batch_id: str) -> None:
+        requests_per_day(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = posts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start()
+    return _start(attempts, checkpoint, apply, available_now, interval)
 
 
-def daily_requests(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Requests per source and UTC day over a stream of attempts."""
-    return (
-        attempts.withWatermark("ts", delay)
-        .groupBy("source", F.window("ts", "1 day").alias("_w"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .select("source", F.col("_w.start").alias("day_start"), "requests")
-    )
+def read_daily_requests(spark: SparkSession, out: str) -> DataFrame:
+    """Requests per source and UTC day over all micro-batches of all feeds."""
+    schema = "source STRING, day_start TIMESTAMP, requests LONG, batch STRING"
+    counts = store.read_or_empty(spark, out, schema, "parquet")
+    return counts.groupBy("source", "day_start").agg(F.sum("requests").alias("requests"))

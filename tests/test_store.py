@@ -154,15 +154,55 @@ def test_stream_equals_batch(spark, tmp_path):
     df = raw(spark, *rows)
     df.repartitionByRange(3, "seq").write.parquet(str(tmp_path / "in"))
     stored = stream.read_posts(spark, str(tmp_path / "in"))
-    stream.start_ingest(stored, str(tmp_path / "s"), str(tmp_path / "c"), lambda _: clock(NOW)).awaitTermination()
+    stream.start_ingest(stored, str(tmp_path / "s"), str(tmp_path / "c"), lambda: clock(NOW)).awaitTermination()
     store.store_batch(spark, str(tmp_path / "b"), read_raw_posts(spark, str(tmp_path / "in")), clock(NOW), "one")
     streamed, batch = (store.read_leads(spark, str(tmp_path / d)) for d in ("s", "b"))
     assert streamed.exceptAll(batch).count() == 0 and streamed.count() == batch.count() == 7
     # running again without new files changes nothing
-    stream.start_ingest(stored, str(tmp_path / "s"), str(tmp_path / "c"), lambda _: clock(NOW)).awaitTermination()
+    stream.start_ingest(stored, str(tmp_path / "s"), str(tmp_path / "c"), lambda: clock(NOW)).awaitTermination()
     assert store.read_leads(spark, str(tmp_path / "s")).count() == 7
 
 
+def test_feeds_share_a_store(spark, tmp_path):
+    """Two feeds number their batches alike; none is taken for a repeat of the other."""
+    for feed in ("a", "b"):
+        raw(spark, *[post(i, f"{feed}{i}") for i in range(5)]).write.parquet(str(tmp_path / feed))
+        rows = stream.read_posts(spark, str(tmp_path / feed))
+        stream.start_ingest(rows, str(tmp_path / "s"), str(tmp_path / f"c-{feed}"), lambda: clock(NOW)).awaitTermination()
+    assert store.read_leads(spark, str(tmp_path / "s")).count() == 10
+
+
+def test_rejects_follow_commits(spark, tmp_path):
+    root = str(tmp_path)
+    store.store_batch(spark, root, raw(spark, post(1, "u1", author="")), clock(NOW), "2025-05-01")
+    (tmp_path / "rejects" / "batch=2025-05-01").rename(tmp_path / "rejects" / "batch=torn")
+    assert store.read_rejects(spark, root).count() == 0
+
+
+def test_missing_need_erases_nothing(spark):
+    valid = ingest.valid_rows(ingest_rows(spark, post(1, "u1"), post(2, "u1")))
+    valid = valid.withColumn("need_category", F.when(F.col("seq") == 1, F.col("need_category")))
+    row = merge.upsert(spark.createDataFrame([], schemas.INTENT_LEADS), valid, clock(NOW)).first()
+    assert row.need_category == ingest.valid_rows(ingest_rows(spark, post(1, "u1"))).first().need_category
+
+
+def day_files(spark, path, days):
+    for number, day in enumerate(days):
+        rows = [("s", datetime(2025, 5, day, 12), f"u{day}-{i}") for i in range(10)] + [("s", datetime(2025, 5, day), "same")]
+        df = spark.createDataFrame(rows, "source STRING, ts TIMESTAMP, url STRING").coalesce(1)
+        df.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_files_out_of_order_all_count(spark, tmp_path):
+    rows = day_files(spark, str(tmp_path / "in"), [1, 9, 2, 3, 4])
+    stream.start_daily_requests(rows, str(tmp_path / "d"), str(tmp_path / "c1")).awaitTermination()
+    daily = stream.read_daily_requests(spark, str(tmp_path / "d")).collect()
+    assert sorted((r.day_start.day, r.requests) for r in daily) == [(1, 11), (2, 11), (3, 11), (4, 11), (9, 11)]
+    stream.start_first_arrivals(rows, str(tmp_path / "f"), str(tmp_path / "c2"), ["source", "url"]).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 51
+
+
 def leads_for_ranking(spark):
     rows = [("a", 50, 1, "client_lead"), ("b", None, 5, "client_lead"), ("c", 50, 2, "client_lead"), ("d", 90, 1, "unclear"), ("e", 50, 2, "client_lead")]
     return spark.createDataFrame(
