@@ -107,22 +107,3 @@ def enrichment(text: Column, headline: Column) -> Column:
         first_email(text).alias("contact_email"),
         first_website(text).alias("website"),
     )
-
-
-def normalize_phone(phone: Column, region: str = "US") -> Column:
-    """E.164 form by the dialling rules, else NULL; ``region`` reads national numbers."""
-    rules = {r: (code, national, trunk) for r, code, national, trunk in DIALLING_RULES}
-    if region not in rules:
-        raise ValueError(f"no dialling rule for region {region!r}")
-    text = strip(phone)
-    digits = F.regexp_replace(text, r"[^0-9]", "")
-    plausible = text.rlike(r"^\+?[0-9()\s./\-]+$")
-    international = None
-    for code, national, _ in rules.values():
-        hit = digits.rlike(f"^{code}{national}$")
-        branch = F.concat(F.lit("+"), digits)
-        international = F.when(hit, branch) if international is None else international.when(hit, branch)
-    code, national, trunk = rules[region]
-    significant = F.regexp_extract(digits, f"^(?:{trunk})?({national})$", 1)
-    local = F.when(significant != "", F.concat(F.lit(f"+{code}"), significant))
-    return F.when(plausible, F.when(text.startswith("+"), international).otherwise(local))

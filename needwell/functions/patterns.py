@@ -10,10 +10,7 @@ import string
 from collections.abc import Sequence
 from functools import lru_cache
 
-try:  # knows which texts can begin a match
-    import regex
-except ImportError:  # pragma: no cover
-    regex = None
+import regex  # knows which texts can begin a match
 
 _FIRST = string.ascii_lowercase + string.digits
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +11,13 @@ from needwell.functions.text import last_without_digit, strip
 # Query parameters starting with one of these are tracking noise.
 TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "mc_", "ref", "trk", "originaltrk")
 
-# A compact public-suffix list; pass a longer one where it matters.
+# A compact public-suffix list; pass a longer table where it matters, see needwell.operators.rules.
 PUBLIC_SUFFIXES = (
     "com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "ai", "app", "dev",
     "in", "co.in", "uk", "co.uk", "org.uk", "ac.uk", "de", "fr", "es", "it", "nl", "eu",
     "us", "ca", "au", "com.au", "nz", "co.nz", "jp", "co.jp", "br", "com.br", "sg", "com.sg",
     "example",
 )
-MAX_INLINE_SUFFIXES = 500
 
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -119,25 +116,6 @@ def host_name(url: Column) -> Column:
     return F.regexp_replace(location, r"^.*@|:\d*$|\.$", "")
 
 
-def registered_domain(url: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    """Label before the longest known public suffix plus that suffix, else NULL.
-
-    The list becomes part of the plan, so its length is checked; larger lists
-    belong in a table, see :func:`needwell.operators.company.with_registered_domain`.
-    """
-    if len(suffixes) > MAX_INLINE_SUFFIXES:
-        raise ValueError("suffix list too long for an expression, join a suffix table instead")
-    labels = F.split(host_name(url), r"\.")
-    known = F.array(*[F.lit(s) for s in suffixes])
-    # tails[i] starts at label i; the first known tail is the longest suffix
-    tails = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    position = F.array_position(F.transform(tails, lambda t: F.array_contains(known, t)), True)
-    return F.when(position > 1, F.try_element_at(tails, (position - 1).cast("int")))
-
-
 def absolute_profile_url(href: Column, platform: Platform = Platform()) -> Column:
     """A profile link made absolute; NULL for anything else."""
     return F.when(

@@ -10,33 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needwell.functions.text import clean_text
-from needwell.functions.urls import host_name
+from needwell.operators.rules import join_present
 
 # Fixed value: similarity in percent from which two names are flagged.
 FUZZY_THRESHOLD = 92
 
-# --- domains --------------------------------------------------------------------
-
-
-def with_registered_domain(df: DataFrame, url: str, suffixes: DataFrame, out: str = "domain") -> DataFrame:
-    """Registered domain by a suffix table of any length.
-
-    Works on distinct hosts, so a host that fills a third of the rows is resolved once.
-    """
-    keyed = df.withColumn("_host", host_name(F.col(url)))
-    hosts = keyed.select("_host").where(F.col("_host") != "").distinct()
-    labels = F.split("_host", r"\.")
-    tails = hosts.select("_host", labels.alias("_labels")).select(
-        "_host", "_labels", F.explode(F.sequence(F.lit(1), F.size("_labels"))).alias("_from")
-    )
-    tail = F.array_join(F.slice("_labels", F.col("_from"), F.size("_labels")), ".")
-    known = tails.withColumn("suffix", tail).join(suffixes.select("suffix").distinct(), "suffix")
-    longest = known.groupBy("_host").agg(F.min("_from").alias("_from"))
-    owner = F.array_join(F.slice(F.split("_host", r"\."), F.col("_from") - 1, F.size(F.split("_host", r"\."))), ".")
-    domains = longest.where(F.col("_from") > 1).select("_host", owner.alias(out))
-    return keyed.join(domains, "_host", "left").drop("_host")
-
-
 # --- duplicates and merging ------------------------------------------------------
 
 
@@ -371,17 +349,28 @@ def purge_domains(df: DataFrame, domains: DataFrame, hosts: Sequence[Column], ke
 # --- enrichment of companies and links --------------------------------------------
 
 
-def classify_industry(companies: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def classify_industry(companies: DataFrame, taxonomy: DataFrame, longest: int = 4) -> DataFrame:
     """Industry with most keyword hits in name, description and lists; ties by name.
 
-    ``taxonomy`` holds (keyword, industry) with one-word keywords.
+    ``taxonomy`` holds (keyword, industry); a keyword is a phrase of ``longest`` words at most.
+    A phrase counts where its words follow each other within one field.
     """
-    words = F.array_distinct(
-        F.split(F.lower(F.concat_ws(" ", "business_name", "description", F.array_join("keywords", " "))), r"(?U)[^\w]+")
-    )
-    tokens = companies.select("id", F.explode(words).alias("keyword"))
-    hits = tokens.join(taxonomy, "keyword").groupBy("id", "industry").agg(F.count(F.lit(1)).alias("n"))
-    best = hits.groupBy("id").agg(F.min_by("industry", F.struct(-F.col("n"), F.col("industry"))).alias("_industry"))
+    fields = F.concat(F.array("business_name", "description"), F.coalesce("keywords", F.array().cast("array<string>")))
+    words = lambda text: F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+
+    def phrases(text: Column) -> Column:
+        own = words(text)
+        runs = F.transform(
+            F.sequence(F.lit(1), F.lit(longest)),
+            lambda n: F.transform(own, lambda _, i: F.array_join(F.slice(own, i + 1, n), " ")),
+        )
+        return F.flatten(runs)
+
+    found = F.array_distinct(F.flatten(F.transform(F.filter(fields, lambda t: t.isNotNull()), phrases)))
+    offered = companies.select("id", F.explode(found).alias("keyword"))
+    tidy = taxonomy.select(F.array_join(words(F.col("keyword")), " ").alias("keyword"), F.col("industry").alias("_sector")).distinct()
+    hits = offered.join(tidy, "keyword").groupBy("id", "_sector").agg(F.count(F.lit(1)).alias("n"))
+    best = hits.groupBy("id").agg(F.min_by("_sector", F.struct(-F.col("n"), F.col("_sector"))).alias("_industry"))
     joined = companies.join(best, "id", "left")
     return joined.withColumn("industry", F.coalesce("_industry", "industry")).drop("_industry")
 
@@ -411,21 +400,21 @@ def link_companies(leads: DataFrame, companies: DataFrame) -> DataFrame:
         .groupBy("_name")
         .agg(F.min("id").alias("_company_id"))
     )
-    keyed = leads.withColumn("_name", name_key(F.col("company")))
-    joined = keyed.join(named, "_name", "left")
+    keyed = leads.withColumn("_name", F.nullif(name_key(F.col("company")), F.lit("")))
+    joined = join_present(keyed, named, "_name")
     return joined.withColumn("lead_id", F.coalesce("lead_id", "_company_id")).drop("_name", "_company_id")
 
 
 def leads_with_company(leads: DataFrame, companies: DataFrame) -> DataFrame:
     """Leads with name and domain of their linked company, if any."""
     dim = companies.select(F.col("id").alias("lead_id"), F.col("business_name").alias("linked_name"), F.col("domain").alias("linked_domain"))
-    return leads.join(dim, "lead_id", "left")
+    return join_present(leads, dim, "lead_id")
 
 
 def clear_broken_links(leads: DataFrame, companies: DataFrame) -> DataFrame:
     """``lead_id`` set to NULL where the company row is gone."""
     present = companies.select(F.col("id").alias("lead_id"), F.lit(True).alias("_present"))
-    joined = leads.join(present, "lead_id", "left")
+    joined = join_present(leads, present, "lead_id")
     linked = F.when(F.col("_present"), F.col("lead_id"))
     return joined.withColumn("lead_id", linked).drop("_present").select(*leads.columns)
 

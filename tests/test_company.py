@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from needwell.functions import urls
-from needwell.operators import company
+from needwell.operators import company, rules
 
 
 def test_merge_fills_gaps_and_unites_lists(spark):
@@ -60,12 +60,37 @@ def test_similar_names_equal_brute_force(spark, seed):
     assert {(r.id_a, r.id_b): r.similarity for r in got} == pytest.approx(expected)
 
 
-def test_suffix_table_and_list_agree(spark):
-    df = spark.createDataFrame([(u,) for u in ("https://a.b.co.uk/x", "http://c.com", "x", None, "co.uk")], "u STRING")
-    suffixes = spark.createDataFrame([(s,) for s in urls.PUBLIC_SUFFIXES], "suffix STRING")
-    both = company.with_registered_domain(df, "u", suffixes).withColumn("inline", urls.registered_domain(F.col("u")))
-    rows = both.collect()
-    assert len(rows) == 5 and all(r.domain == r.inline for r in rows)
+def test_registered_domain_by_rules(spark):
+    table = [*urls.PUBLIC_SUFFIXES, "*.ck", "!www.ck", "ru", "co.za"]
+    suffixes = spark.createDataFrame([(s,) for s in table], "suffix STRING")
+    expected = {
+        "https://www.shop.co.uk/x": "shop.co.uk", "http://u@a.b.example.org:8/y": "example.org", "co.uk": None, "plain text": None,
+        "https://host.zzz": None, "deep.site.com.au/path": "site.com.au", "a.b.c.ck": "b.c.ck", "c.ck": None, "x.www.ck": "www.ck",
+        "https://one.ru": "one.ru", "a.two.co.za": "two.co.za", None: None, "": None,
+    }
+    df = spark.createDataFrame([(u,) for u in expected], "u STRING")
+    assert {r.u: r.domain for r in rules.with_registered_domain(df, "u", suffixes).collect()} == expected
+
+
+def test_phones_by_rules(spark):
+    table = rules.default_dialling(spark).unionByName(spark.createDataFrame([("AE", "971", r"5\d{8}", "0")], "region STRING, code STRING, national STRING, trunk STRING"))
+    expected = {
+        "(212) 555-0101": ("+12125550101", "ok"), "+44 20 7946 0018": ("+442079460018", "ok"), "1-212-555-0101": ("+12125550101", "ok"),
+        "12": (None, "invalid"), "abc": (None, "invalid"), "+1 111 555 0101": (None, "invalid"), "+971 50 123 4567": ("+971501234567", "ok"),
+        "+7 495 123-45-67": (None, "no_rule"), None: (None, None), " ": (None, None),
+    }
+    df = spark.createDataFrame([(u,) for u in expected], "p STRING")
+    assert {r.p: (r.phone_e164, r.phone_e164_state) for r in rules.with_phone(df, "p", table).collect()} == expected
+    assert rules.with_phone(df, "p", table, region="ZZ").where("p = '12'").first().phone_e164_state == "no_rule"
+
+
+def test_industry_phrases(spark):
+    df = spark.createDataFrame(
+        [("1", "Web Design Oak", "we design the web", None, None), ("2", "Oak", "seo and web. design", ["Digital web   design"], "old"), ("3", None, "tea", [], "kept")],
+        "id STRING, business_name STRING, description STRING, keywords ARRAY<STRING>, industry STRING",
+    )
+    taxonomy = spark.createDataFrame([("web design", "design"), ("SEO", "marketing"), ("digital web design", "marketing")], "keyword STRING, industry STRING")
+    assert {r.id: r.industry for r in company.classify_industry(df, taxonomy).collect()} == {"1": "design", "2": "marketing", "3": "kept"}
 
 
 def test_purge_covers_subdomains(spark):

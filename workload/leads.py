@@ -335,12 +335,12 @@ def exported_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "explained_file",
     rf"""{q.with_ctes(*RESCORED)} SELECT post_url, new_lead_score::BIGINT AS lead_score, fresh::BIGINT AS freshness,
-      need_score::BIGINT AS need_match FROM scored WHERE new_category = 'client_lead' AND freshness_score >= 0""",
+      need_score::BIGINT AS need_match FROM scored WHERE new_category = 'client_lead' AND fresh >= 40""",
 )
 def explained_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON records with breakdown, written and read back."""
     path = work_dir(spark, "explained")
-    leads = rank.at_least_fresh(score.explain_scores(rescored(spark, sf_dir), now(), CFG), 0)
+    leads = rank.at_least_fresh(score.explain_scores(rescored(spark, sf_dir), now(), CFG), 40)
     export_explained(leads, path)
     schema = "post_url STRING, lead_score LONG, breakdown STRUCT<freshness: LONG, need_match: LONG>"
     return spark.read.schema(schema).json(path).select("post_url", "lead_score", "breakdown.*")

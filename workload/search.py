@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from needwell.config import NEEDS, SEARCH_TEMPLATES, Platform
 from needwell.functions import html as h
 from needwell.functions import urls
-from needwell.operators import discover
+from needwell.operators import discover, rules
 from needwell.session import spread
 from needwell.sources import needs as need_source
 from needwell.sources import search
@@ -66,31 +66,25 @@ def url_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "registered_domains",
     r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, 'example.com', 'shop.co.uk') WHEN 1 THEN url
-        WHEN 2 THEN 'just text' ELSE regexp_replace(url, 'example\.(com|net|org)', 'unknown.zzz') END AS u FROM pages),
+        WHEN 2 THEN 'just text' ELSE regexp_replace(url, 'example\.(com|net|org)', CASE WHEN page_id % 8 = 3 THEN 'unknown.zzz' ELSE 'shop.zzz.ck' END) END AS u FROM pages),
     d AS (SELECT page_id, string_split(lower(regexp_extract(u, '^https?://([^/?#]*)', 1)), '.') AS l FROM p)
-    SELECT page_id, CASE WHEN len(l) > 2 AND l[-2] || '.' || l[-1] = 'co.uk' THEN l[-3] || '.co.uk'
+    SELECT page_id, CASE WHEN len(l) > 2 AND l[-2] = 'zzz' AND l[-1] = 'ck' THEN l[-3] || '.zzz.ck' WHEN len(l) > 2 AND l[-2] || '.' || l[-1] = 'co.uk' THEN l[-3] || '.co.uk'
       WHEN len(l) > 1 AND l[-1] IN ('com', 'net', 'org') THEN l[-2] || '.' || l[-1] END AS domain FROM d""",
 )
 def registered_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered domain by the longest known suffix."""
-    from needwell.operators.company import with_registered_domain
-
+    """Registered domain by the longest suffix rule, a wildcard rule among them."""
     u = F.col("url")
     form = F.col("page_id") % 4
+    other = F.when(F.col("page_id") % 8 == 3, "unknown.zzz").otherwise("shop.zzz.ck")
     changed = (
         F.when(form == 0, F.replace(u, F.lit("example.com"), F.lit("shop.co.uk")))
         .when(form == 1, u)
         .when(form == 2, "just text")
-        .otherwise(F.regexp_replace(u, r"example\.(com|net|org)", "unknown.zzz"))
+        .otherwise(F.regexp_replace(u, F.lit(r"example\.(com|net|org)"), other))
     )
     p = table(spark, sf_dir, "pages").select("page_id", changed.alias("u"))
-    inline = p.select("page_id", urls.registered_domain(F.col("u")).alias("domain"))
-    suffixes = spark.createDataFrame([(s,) for s in urls.PUBLIC_SUFFIXES], "suffix STRING")
-    joined = with_registered_domain(p, "u", suffixes).select("page_id", F.col("domain").alias("joined"))
-    # both forms must agree: a difference shows up as a wrong value
-    both = inline.join(joined, "page_id")
-    agreed = F.when(F.col("domain").eqNullSafe(F.col("joined")), F.col("domain")).otherwise("forms differ")
-    return both.select("page_id", agreed.alias("domain"))
+    suffixes = rules.default_suffixes(spark).unionByName(spark.createDataFrame([("*.ck",)], "suffix STRING"))
+    return rules.with_registered_domain(p, "u", suffixes).select("page_id", "domain")
 
 
 PROFILE_FORMS = ("//www.linkedin.com/in/a{n}", "/in/b{n}?x=1", "https://uk.linkedin.com/in/c{n}?trk=2", "in/d", "/company/{n}", "mailto:/in/")

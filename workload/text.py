@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needwell.functions import contact, dates, text
+from needwell.operators import rules
 from workload import dialect as q
 from workload.registry import query, table
 from workload.views import FOLDED_SQL, POSTS_SQL, choose, posts
@@ -267,14 +268,18 @@ PHONES = ("(415) 555-{n}", "+91 98765 1{n}", "+44 20 7946 {n}", "12", "abc", "+1
       WHEN raw LIKE '+%' THEN CASE WHEN regexp_matches(digits,
         '^(?:1[2-9]\d{{2}}[2-9]\d{{6}}|91[1-9]\d{{9}}|44[1-9]\d{{8,9}}|49[1-9]\d{{5,12}}|33[1-9]\d{{8}}|34[5-9]\d{{8}}|61[1-9]\d{{8}}|65[3689]\d{{7}})$')
         THEN '+' || digits END
-      WHEN regexp_matches(digits, '^1?[2-9]\d{{2}}[2-9]\d{{6}}$') THEN '+1' || right(digits, 10) END AS phone
-    FROM d""",
+      WHEN regexp_matches(digits, '^1?[2-9]\d{{2}}[2-9]\d{{6}}$') THEN '+1' || right(digits, 10) END AS phone,
+      CASE WHEN raw = '' THEN NULL WHEN phone IS NOT NULL THEN 'ok'
+        WHEN regexp_matches(raw, '^\+[0-9()\s./\-]+$') AND NOT regexp_matches(digits, '^(?:1|91|44|49|33|34|61|65)') THEN 'no_rule'
+        ELSE 'invalid' END AS state FROM d""",
 )
 def customer_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers to E.164 over every customer."""
     tail = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
     raw = F.replace(choose(PHONES, "c_custkey"), F.lit("{n}"), tail)
-    return table(spark, sf_dir, "customer").select("c_custkey", contact.normalize_phone(raw).alias("phone"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    read = rules.with_phone(rows, "raw", rules.default_dialling(spark), out="phone")
+    return read.select("c_custkey", "phone", F.col("phone_state").alias("state"))
 
 
 COMPANY_LEADS = (
