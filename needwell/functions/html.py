@@ -67,13 +67,36 @@ def page_title(html: Column) -> Column:
     return collapse_whitespace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
 
 
+def _element(html: Column, name: str) -> Column:
+    """What the first element of a name holds, up to its own end tag or the end of the page.
+
+    Start and end tags cut the page into pieces, and a running depth tells which of them are inside.
+    """
+    tag = rf"(?is)</?{name}\b{_ATTRS}>"
+    pieces = F.split(html, tag, -1)
+    steps = F.zip_with(
+        F.regexp_extract_all(html, F.lit(tag), F.lit(0)),
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda t, p: F.struct(F.when(t.startswith("</"), -1).otherwise(1).alias("step"), p.alias("piece")),
+    )
+
+    def state(depth: Column, text: Column, closed: Column) -> Column:
+        return F.struct(depth.alias("depth"), text.alias("text"), closed.alias("closed"))
+
+    def follow(s: Column, x: Column) -> Column:
+        depth = s["depth"] + x["step"]
+        inside = F.when(depth > 0, F.concat(s["text"], F.lit(" "), x["piece"])).otherwise(s["text"])
+        return F.when(s["closed"] | (depth < 0), s).otherwise(state(depth, inside, depth == 0))
+
+    return F.aggregate(steps, state(F.lit(0), F.lit(""), F.lit(False)), follow)["text"]
+
+
 def main_text(html: Column) -> Column:
     """Text of the first ``<article>``, else ``<main>``; NULL when neither holds text."""
 
     def element(name: str) -> Column:
-        pattern = rf"(?is)<{name}\b{_ATTRS}>(.*?)(?:</{name}\s*>|\z)"
         found = html.rlike(rf"(?i)<{name}\b")
-        return F.when(found, visible_text(F.regexp_extract(html, pattern, 1)))
+        return F.when(found, visible_text(_element(html, name)))
 
     return F.nullif(F.coalesce(element("article"), element("main")), F.lit(""))
 

@@ -45,8 +45,6 @@ def any_of(patterns: tuple[str, ...]) -> str:
     """
     bodies = [p[2:] for p in patterns if p.startswith(r"\b")]
     parts = [f"(?:{p})" for p in patterns if not p.startswith(r"\b")]
-    if bodies and regex is not None:
+    if bodies:
         parts.insert(0, _by_first_letter(bodies))
-    elif bodies:
-        parts.insert(0, r"\b(?:" + "|".join(f"(?:{b})" for b in bodies) + ")")
     return jvm("|".join(parts))

@@ -132,3 +132,17 @@ def test_terms_need_no_join(spark):
     needs = spark.createDataFrame([(0, "a")], "pos INT, need STRING")
     plan = need_source.search_terms(needs, ["x {need}"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_nested_elements_are_read_whole(apply):
+    from needwell.functions import html
+
+    pages = {
+        "<p>x</p><article class='a'>A <article>B</article> C</article> D": "A B C",
+        "<ARTICLE>A<article>B<article>C</article></article> tail</ARTICLE><article>no</article>": "A B C tail",
+        "</article><article>open <b>end": "open end",
+        "<main>m <main>n</main> o</main>": "m n o",
+        "<article> </article><main>m</main>": None,
+        "<p>none</p>": None,
+    }
+    assert apply(html.main_text, list(pages)) == list(pages.values())
