@@ -209,12 +209,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     cool = likely(pairs)
 
-    # only documents that may have a link are read again: their texts move once
+    # only documents that may have a link are read again: their texts move once. The ids grow with the
+    # input, so they are merged with the texts at every size, and a small run shows what a large one moves
     crowded = profiles.where(F.size("hot") > F.least(F.col("n"), F.lit(SKETCH)) * HOT_SHARE).select("node")
     crowded = staged(crowded, "crowded")
     wanted = crowded.unionByName(cool.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = staged(named.join(wanted, "node", "left_semi"), "texts")
+    texts = staged(named.join(wanted.hint("merge"), "node", "left_semi"), "texts")
 
     # documents made mostly of hot values, compared with each other: leaders first
     members = staged(_prefixes(texts.join(crowded, "node", "left_semi"), width), "members")
