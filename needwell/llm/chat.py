@@ -169,7 +169,39 @@ def read_back(windows: DataFrame) -> DataFrame:
     )
 
 
-@query("op3_chat_windows")
+SQL = rf"""
+WITH given AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+turns AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') AS esc,
+    regexp_replace(replace(role, '\', '\\'), '([<\[])(/?(?:s>|INST\]))', '\1\\\2', 'g') AS esc_role,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given)),
+sized AS (
+  SELECT *, pos = 1 AND role = 'system' AS sys, CAST(ceil(strlen(esc) / 4) AS BIGINT) + {PER_TURN} AS tokens FROM turns),
+ended AS (
+  SELECT *, coalesce(max(tokens) FILTER (WHERE sys) OVER (PARTITION BY conv_id), 0) AS sys_tokens,
+    sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM sized),
+cut AS (
+  SELECT *, CASE WHEN NOT sys THEN ((upto - 1) // step) * 2 + (tokens <= step)::INT END AS c
+  FROM (SELECT *, greatest(1, ({BUDGET - HISTORY} - sys_tokens) // 2) AS step FROM ended)),
+steps AS (SELECT *, coalesce((c <> lag(c) OVER (PARTITION BY conv_id ORDER BY pos))::INT, 0) AS new FROM cut),
+placed AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM steps),
+wide AS (
+  SELECT *, max(win) OVER (PARTITION BY conv_id) AS last_win, max(upto) OVER (PARTITION BY conv_id, win) AS win_end,
+    length('<s>[INST]o:' || esc_role || '[/INST]' || esc || '</s>') AS chars FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars * (1 + CASE WHEN sys THEN last_win
+    WHEN win < last_win AND win_end - upto + tokens <= {HISTORY} THEN 1 ELSE 0 END)) AS BIGINT) AS formatted_chars,
+  CAST(max(last_win) + 1 AS BIGINT) AS n_windows
+FROM wide GROUP BY conv_id
+"""
+
+
+@query("op3_chat_windows", SQL)
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of all formatted conversations and of one whose texts are control strings."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

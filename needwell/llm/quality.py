@@ -215,7 +215,71 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return _judged(rows, ("lang", "source", "_row")).where("kept").select("_row.*")
 
 
-@query("op8_quality")
+def _sql() -> str:
+    """The same measures, histograms and fences in SQL."""
+    n = "greatest(n_words, 1)"
+    parts = {"m_word_chars": "word_chars", "m_symbols": "n_symbols", "m_dup_lines": "n_dup_lines", "m_repeats": "n_repeat_words"}
+    ratios = ", ".join(f"({part} * 1000) // {n} AS {name}" for name, part in parts.items())
+    named = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS name, {m} AS v FROM measured WHERE NOT base_failed" for m in MEASURES)
+    floor = "CASE WHEN {b} < 32 THEN {b} ELSE ({b} - 16 * ({b} // 16 - 1)) << ({b} // 16 - 1) END"
+
+    def quartiles(by: str) -> str:
+        keys = f"{by}, name" if by else "name"
+        return f"""SELECT {keys}, max(total) AS n_texts,
+          {floor.format(b="min(bucket) FILTER (WHERE 4 * upto >= total)")} AS q1,
+          {floor.format(b="min(bucket) FILTER (WHERE 4 * upto >= 3 * total)")} AS q3
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total
+              FROM (SELECT {keys}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}"""
+
+    fences, inside = [], []
+    for name, (below, above) in MEASURES.items():
+        if below is not None:
+            fences.append(f"max(q1 - greatest({FENCE} * (q3 - q1), {below})) FILTER (WHERE name = '{name}') AS low_{name}")
+            inside.append(f"{name} >= low_{name}")
+        if above is not None:
+            fences.append(f"max(q3 + greatest({FENCE} * (q3 - q1), {above})) FILTER (WHERE name = '{name}') AS high_{name}")
+            inside.append(f"{name} <= high_{name}")
+    pick = ", ".join(
+        f"CASE WHEN own.n_texts >= {MIN_GROUP} THEN own.{q} WHEN l.n_texts >= {MIN_GROUP} THEN l.{q} ELSE e.{q} END AS {q}"
+        for q in ("q1", "q3")
+    )
+    return rf"""
+    WITH words AS (
+      SELECT doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+      FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+    windows AS (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS held
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+    repeated AS (
+      SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE held > 1) GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM words LEFT JOIN repeated USING (doc_id)),
+    measured AS (
+      SELECT *, {ratios}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted),
+    sketch AS (
+      SELECT lang, source, name, count(*) AS n,
+        CASE WHEN v < 32 THEN v ELSE 16 * (length(bin(v)) - 5) + (v >> (length(bin(v)) - 5)) END AS bucket
+      FROM ({named}) GROUP BY lang, source, name, bucket),
+    own AS ({quartiles("lang, source")}), l AS ({quartiles("lang")}), e AS ({quartiles("")}),
+    spread AS (
+      SELECT own.lang, own.source, own.name, {pick} FROM own
+      JOIN l ON own.lang IS NOT DISTINCT FROM l.lang AND own.name = l.name JOIN e ON own.name = e.name),
+    fences AS (SELECT lang, source, {", ".join(fences)} FROM spread GROUP BY lang, source)
+    SELECT doc_id, {", ".join(BASE_COLUMNS)}, base_failed, NOT base_failed AND coalesce({" AND ".join(inside)}, false) AS kept
+    FROM measured LEFT JOIN fences ON measured.lang IS NOT DISTINCT FROM fences.lang AND measured.source IS NOT DISTINCT FROM fences.source"""
+
+
+SQL = _sql()
+
+
+@query("op8_quality", SQL)
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality(table(spark, sf_dir, "documents"))
