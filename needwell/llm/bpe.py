@@ -38,8 +38,8 @@ END = "</w>"
 _MARK = "\0"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _VERSIONED = re.compile("[^\x00-ԯ -⁯₠-₿]")
-_CACHED_WORDS = 200_000
-_CACHED_PAIRS = 500_000
+_CACHED_WORDS = 100_000
+_CACHED_PAIRS = 100_000
 
 
 def default_vocabulary() -> str:

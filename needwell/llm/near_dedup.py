@@ -6,16 +6,18 @@ overlap of two sketches among the smallest values of their union estimates the s
 hopeless pairs, and the full sets, made again from the texts, confirm the rest exactly.
 
 Two sets at similarity 0.8 have each of the smallest values of their union in common with
-probability 0.8, so a few values per document suffice: with KEYS values, one pair in 2.4e8 has none.
+probability 0.8, so a few values per document suffice: with KEYS values, one pair in 1.5e11 has none.
 
 A value kept by over HOT nodes (a common passage, or one large group of copies) makes a list too long
 for all its pairs. Most holders of such a value have enough values that are not hot, and are compared
-through those: linked documents share some. Documents made mostly of hot values are crowded, and are
-compared through their whole sets: only shingles among the rarest that a link must share make lists,
-and what a document shares with any other bounds its similarity. In each list all are first compared
-with the LEADERS that share most, and components are built. Then only members outside a list's main
-component are compared with members of other components. So a large group of copies costs a few
-comparisons per member, and no pair of different components is left out.
+through those: linked documents share some. (Where a share of HOT_SHARE is hot in both, and all of
+that is shared, the others are in common with probability 0.56; one pair in 5e5 then shares no key.)
+Documents with more hot values are crowded, and are compared through their whole sets: only shingles
+among the rarest that a link must share make lists, and what two documents can share from a shingle
+on bounds their similarity. In each list all are first compared with the LEADERS that share most, and
+components are built. Then only members outside a list's main component are compared with members of
+other components. So a large group of copies costs a few comparisons per member, and no pair of
+different components is left out.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing; a text of fewer
 words than a shingle is one shingle; rows with the same id count as one document; a row without id
@@ -38,10 +40,10 @@ from .hashing import U64, chunks, mix, prefix_sums, run_hashes, words
 from .registry import query, table
 from .staging import staged
 
-SKETCH = 32
-KEYS = 12
+SKETCH = 48
+KEYS = 16
 HOT = 64
-HOT_SHARE = 0.4
+HOT_SHARE = 0.6
 LEADERS = 2
 #: an estimate this far below the threshold is over five standard deviations off
 MARGIN = 0.35
@@ -260,7 +262,27 @@ def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
-@query("op7_near_dedup")
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+@query("op7_near_dedup", SQL)
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents, on shingles of four words."""
     return near_duplicates(table(spark, sf_dir, "documents"), 4)

@@ -404,7 +404,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-@query("op10_repeats")
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM windows) WHERE first < doc_id),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM late),
+runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + 49 AS e
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM runs),
+cut AS (
+  SELECT doc_id, sum(e - s + 1) AS gone, count(*) AS n, max(e) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (s - before - 1)), '' ORDER BY s) AS kept
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op10_repeats", SQL)
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 50 bytes that an earlier one has."""
     return remove_repeats(table(spark, sf_dir, "documents"))
