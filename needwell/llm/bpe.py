@@ -38,8 +38,8 @@ END = "</w>"
 _MARK = "\0"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _VERSIONED = re.compile("[^\x00-ԯ -⁯₠-₿]")
-_CACHED_WORDS = 100_000
-_CACHED_PAIRS = 100_000
+_CACHED_WORDS = 200_000
+_CACHED_PAIRS = 200_000
 
 
 def default_vocabulary() -> str:
@@ -68,6 +68,7 @@ class Encoder:
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in (ids | self.special).items()}
+        self.digits = {i: str(i) for i in self.names}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.letters = _byte_letters()
 
@@ -229,7 +230,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for text in _texts(batch, "text"):
                 ids = own.encode(text)
                 counts.append(len(ids))
-                hashes.append(sha(" ".join(map(str, ids))))
+                hashes.append(sha(" ".join(map(own.digits.__getitem__, ids))))
                 decoded.append(sha(own.decode(ids)))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
