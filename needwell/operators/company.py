@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needwell.functions.text import clean_text
-from needwell.operators.rules import join_present
+from needwell.operators.rules import join_present, with_registered_domain
 
 # Fixed value: similarity in percent from which two names are flagged.
 FUZZY_THRESHOLD = 92
@@ -58,6 +58,11 @@ def with_merge_key(companies: DataFrame, by: str) -> DataFrame:
     return companies.withColumn("_key", F.coalesce(keys[by], alone))
 
 
+def _order(companies: DataFrame) -> Column:
+    """What the kept row of a group is greatest in: filled fields, then id."""
+    return F.struct(completeness(companies), F.col("id"))
+
+
 def merge_companies(companies: DataFrame, by: str) -> DataFrame:
     """One row per key: the most complete row, gaps filled from the next ones, lists united.
 
@@ -65,7 +70,7 @@ def merge_companies(companies: DataFrame, by: str) -> DataFrame:
     they are gathered, so a group of copies does not grow an array.
     """
     keyed = with_merge_key(companies, by)
-    order = F.struct(completeness(companies), F.hash("id"), F.col("id"))
+    order = _order(companies)
     lists = [f.name for f in companies.schema if isinstance(f.dataType, T.ArrayType)]
     scalars = [c for c in companies.columns if c not in lists]
     ranked = keyed.withColumn("_order", order)
@@ -97,13 +102,34 @@ def merge_companies(companies: DataFrame, by: str) -> DataFrame:
 
 def merge_log(companies: DataFrame, by: str) -> DataFrame:
     """Which row each merged row went into: (kept_id, merged_id, rule)."""
-    order = F.struct(completeness(companies), F.hash("id"), F.col("id"))
-    keyed = with_merge_key(companies, by).select("_key", "id", order.alias("_order"))
+    keyed = with_merge_key(companies, by).select("_key", "id", _order(companies).alias("_order"))
     kept = keyed.groupBy("_key").agg(F.max_by("id", "_order").alias("kept_id"))
     joined = keyed.join(kept, "_key").where(F.col("id") != F.col("kept_id"))
     return joined.select("kept_id", F.col("id").alias("merged_id"), F.lit(by).alias("rule"))
 
 
+def merge_in_passes(companies: DataFrame, suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Companies merged by registered domain, then by name and city; and the decisions of both passes.
+
+    A row without a domain takes that of its website. Decisions name the row that is left in the end.
+    """
+    sited = with_registered_domain(companies, "website", suffixes, out="_site")
+    named = sited.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), F.col("_site"))).select(*companies.columns)
+    once = merge_companies(named, "domain")
+    second = merge_log(once, "name_city")
+    moved = second.select(F.col("merged_id").alias("kept_id"), F.col("kept_id").alias("_final"))
+    first = merge_log(named, "domain").join(moved, "kept_id", "left")
+    first = first.select(F.coalesce("_final", "kept_id").alias("kept_id"), "merged_id", "rule")
+    return merge_companies(once, "name_city"), first.unionByName(second)
+
+
+def repoint_links(leads: DataFrame, decisions: DataFrame, link: str = "lead_id") -> DataFrame:
+    """Leads whose link follows a merged company to the kept one."""
+    moved = decisions.select(F.col("merged_id").alias(link), F.col("kept_id").alias("_kept"))
+    joined = join_present(leads, moved, link)
+    return joined.withColumn(link, F.coalesce("_kept", link)).select(*leads.columns)
+
+
 def _without(sets: DataFrame, drops: int) -> DataFrame:
     """Token sets with every choice of ``drops`` (0, 1 or 2) tokens left out, as ``key``."""
     tokens = F.col("tokens")

@@ -84,6 +84,22 @@ def test_phones_by_rules(spark):
     assert rules.with_phone(df, "p", table, region="ZZ").where("p = '12'").first().phone_e164_state == "no_rule"
 
 
+def test_passes_chain_and_links_follow(spark):
+    rows = spark.createDataFrame(
+        [
+            ("1", "Oak", None, "https://www.oak.co.uk/x", "Ulm"), ("2", "Oak Ltd", "oak.co.uk", None, "Ulm"),
+            ("3", "oak", None, None, "ulm"), ("4", "Fern", None, "https://fern.zzz", "Bonn"), ("5", "Oak Ltd", None, None, "Ulm"),
+        ],
+        "id STRING, business_name STRING, domain STRING, website STRING, city STRING",
+    )
+    kept, decisions = company.merge_in_passes(rows, rules.default_suffixes(spark))
+    # 1 takes in 2 by the domain of its website, then 3 by its own name
+    assert {r.id for r in kept.collect()} == {"1", "4", "5"}
+    assert {(r.merged_id, r.kept_id, r.rule) for r in decisions.collect()} == {("2", "1", "domain"), ("3", "1", "name_city")}
+    leads = spark.createDataFrame([("a", "2"), ("b", None), ("c", "4")], "post_url STRING, lead_id STRING")
+    assert {r.post_url: r.lead_id for r in company.repoint_links(leads, decisions).collect()} == {"a": "1", "b": None, "c": "4"}
+
+
 def test_industry_phrases(spark):
     df = spark.createDataFrame(
         [("1", "Web Design Oak", "we design the web", None, None), ("2", "Oak", "seo and web. design", ["Digital web   design"], "old"), ("3", None, "tea", [], "kept")],

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-
-from needwell.operators import company
+from needwell.operators import company, rules
 from workload import dialect as q
 from workload.leads import RESCORED, UPSERT_SQL, merged_leads, rescored
 from workload.registry import query, table
@@ -32,11 +30,11 @@ _EXPR = {
 _INTS = {"data_quality_score": "CAST(c_custkey % 101 AS INT)"}
 
 
-def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company rows, one per customer."""
+def companies(spark: SparkSession, sf_dir: str, changed: dict[str, str] | None = None) -> DataFrame:
+    """Company rows, one per customer; some expressions may be changed."""
     c = table(spark, sf_dir, "customer")
     return c.select(
-        *[F.expr(e).alias(n) for n, e in {**_EXPR, **_INTS}.items()],
+        *[F.expr(e).alias(n) for n, e in {**_EXPR, **_INTS, **(changed or {})}.items()],
         F.expr("array(lower(c_mktsegment), concat('k', c_custkey % 7))").alias("keywords"),
         F.expr("array('shopify', concat('t', c_custkey % 3))").alias("tech_stack"),
     )
@@ -56,52 +54,56 @@ _KEYS = {
 }
 
 
-def _merged_sql(by: str) -> tuple[tuple[str, str], ...]:
-    # the order among equally complete rows is fixed by Spark's hash of the id,
-    # so the twin states only what does not depend on it
-    return (("keyed", f"SELECT *, {_KEYS[by]} AS k, {_FILLED} AS filled FROM companies"),)
+_LISTS = ("keywords", "tech_stack")
+
+
+def _merge_ctes(source: str, by: str, out: str) -> tuple[tuple[str, str], ...]:
+    """Rows of a table with key and rank, and what each group leaves."""
+    key = _KEYS[by]
+    values = []
+    for name in [*_EXPR, *_INTS]:
+        given = f"{name} IS NOT NULL" if name in _INTS else f"coalesce({name}, '') <> ''"
+        values.append(f"first({name} ORDER BY filled DESC, id DESC) FILTER (WHERE {given}) AS {name}")
+    lists = ", ".join(f"list_sort(list_distinct(flatten(list({name})))) AS {name}" for name in _LISTS)
+    return (
+        (f"{out}_keyed", f"SELECT *, {key} AS k, {_FILLED} AS filled FROM {source}"),
+        (out, f"SELECT k, {', '.join(values)}, {lists} FROM {out}_keyed GROUP BY k"),
+        (
+            f"{out}_log",
+            f"""SELECT kept_id, id AS merged_id, '{by}' AS rule FROM {out}_keyed
+              JOIN (SELECT k, first(id ORDER BY filled DESC, id DESC) AS kept_id FROM {out}_keyed GROUP BY k) USING (k)
+              WHERE id <> kept_id""",
+        ),
+    )
+
+
+_ROW_SQL = ", ".join([*_EXPR, *_INTS, *(f"array_to_string({name}, ',') AS {name}" for name in _LISTS)])
 
 
-def _merge_facts(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    merged = company.merge_companies(companies(spark, sf_dir), by)
-    return company.with_merge_key(merged, by).select(
-        "_key",
-        F.col("domain").isNotNull().alias("has_domain"),
-        (F.coalesce("email", F.lit("")) != "").alias("has_email"),
-        (F.coalesce("phone", F.lit("")) != "").alias("has_phone"),
-        F.array_join("keywords", ",").alias("keywords"),
-        F.array_join("tech_stack", ",").alias("tech_stack"),
-        company.completeness(merged).alias("filled"),
-    ).drop("_key")
+def _rows(merged: DataFrame) -> DataFrame:
+    return merged.select(*_EXPR, *_INTS, *[F.array_join(name, ",").alias(name) for name in _LISTS])
 
 
-def _merge_facts_sql(by: str) -> str:
-    best = ", ".join(f"max(nullif({n}, '')) IS NOT NULL AS f_{n}" for n in _EXPR if n != "id")
-    filled = " + ".join(f"f_{n}::INT" for n in _EXPR if n != "id") + " + 3"
-    return f"""{q.with_ctes(COMPANIES_SQL, *_merged_sql(by),
-        ('g', f"SELECT k, {best} FROM keyed GROUP BY k"),
-        ('kw', "SELECT k, string_agg(x, ',' ORDER BY x) AS keywords FROM (SELECT DISTINCT k, unnest(keywords) AS x FROM keyed) GROUP BY k"),
-        ('ts', "SELECT k, string_agg(x, ',' ORDER BY x) AS tech_stack FROM (SELECT DISTINCT k, unnest(tech_stack) AS x FROM keyed) GROUP BY k"))}
-      SELECT f_domain AS has_domain, f_email AS has_email, f_phone AS has_phone, keywords, tech_stack,
-        ({filled})::INTEGER AS filled FROM g JOIN kw USING (k) JOIN ts USING (k)"""
+def _merge_sql(by: str) -> str:
+    return f"{q.with_ctes(COMPANIES_SQL, *_merge_ctes('companies', by, 'merged'))} SELECT {_ROW_SQL} FROM merged"
 
 
-@query("company_merge", _merge_facts_sql("domain"))
+@query("company_merge", _merge_sql("domain"))
 def company_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies of one domain merged without losing a filled field."""
-    return _merge_facts(spark, sf_dir, "domain")
+    return _rows(company.merge_companies(companies(spark, sf_dir), "domain"))
 
 
-@query("company_merge_by_name", _merge_facts_sql("name_city"))
+@query("company_merge_by_name", _merge_sql("name_city"))
 def company_merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies of one name and city merged."""
-    return _merge_facts(spark, sf_dir, "name_city")
+    return _rows(company.merge_companies(companies(spark, sf_dir), "name_city"))
 
 
 @query(
     "merge_decisions",
-    f"""{q.with_ctes(COMPANIES_SQL, *_merged_sql('domain'))} SELECT k, count(*) - 1 AS merged, max(filled)::INTEGER AS kept_filled
-      FROM keyed GROUP BY k HAVING count(*) > 1""",
+    f"""{q.with_ctes(COMPANIES_SQL, *_merge_ctes('companies', 'domain', 'merged'))} SELECT k, count(*) - 1 AS merged,
+      max(filled)::INTEGER AS kept_filled FROM merged_keyed GROUP BY k HAVING count(*) > 1""",
 )
 def merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each kept company absorbed, and how complete the kept one is."""
@@ -114,6 +116,48 @@ def merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(kept, "kept_id").select("k", "merged", F.col("filled").alias("kept_filled"))
 
 
+# half of the rows state a domain in capitals, all others have it in their website only
+_SITED = {
+    "domain": "CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN NULL ELSE concat('D', c_custkey % 500, '.co.uk') END",
+    "website": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('https://www.d', c_custkey % 500, '.co.uk/') END",
+}
+
+
+def _chain_ctes() -> tuple[tuple[str, str], ...]:
+    sited = {**_EXPR, **_INTS, **_SITED}
+    resolved = {**sited, "domain": f"coalesce({_SITED['domain']}, regexp_extract({_SITED['website']}, 'www[.](.*)/', 1))"}
+    columns = ", ".join(f"nullif({e}, '') AS {n}" if n == "domain" else f"{e} AS {n}" for n, e in resolved.items())
+    lists = "[lower(c_mktsegment), concat('k', c_custkey % 7)] AS keywords, ['shopify', concat('t', c_custkey % 3)] AS tech_stack"
+    return (
+        ("sited", f"SELECT {columns}, {lists} FROM customer"),
+        *_merge_ctes("sited", "domain", "once"),
+        ("first_pass", "SELECT * EXCLUDE (k) FROM once"),
+        *_merge_ctes("first_pass", "name_city", "twice"),
+        (
+            "decisions",
+            """SELECT coalesce(t.kept_id, o.kept_id) AS kept_id, o.merged_id, o.rule FROM once_log o
+              LEFT JOIN twice_log t ON t.merged_id = o.kept_id UNION ALL SELECT * FROM twice_log""",
+        ),
+    )
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = companies(spark, sf_dir, _SITED)
+    return company.merge_in_passes(rows, rules.default_suffixes(spark))
+
+
+@query("companies_after_passes", f"{q.with_ctes(*_chain_ctes())} SELECT {_ROW_SQL} FROM twice")
+def companies_after_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies merged by registered domain, then by name and city."""
+    return _rows(_chain(spark, sf_dir)[0])
+
+
+@query("pass_decisions", f"{q.with_ctes(*_chain_ctes())} SELECT * FROM decisions")
+def pass_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which company each merged one ended in, over both passes."""
+    return _chain(spark, sf_dir)[1]
+
+
 _FUZZY_NAME = """concat(CASE WHEN c_custkey % 2 = 0 THEN 'The ' ELSE '' END, 'Bright Oak ', c_mktsegment,
     ' Retail And Media Holding Group ', c_custkey % 40, CASE WHEN c_custkey % 5 = 0 THEN ' GmbH' ELSE '' END,
     CASE WHEN c_custkey % 11 = 0 THEN ' one two three four five six seven eight' ELSE '' END)"""
