@@ -119,12 +119,20 @@ def author_headline(html: Column) -> Column:
     return F.when(F.contains(html, F.lit("author-headline")), blank_to_null(text))
 
 
+def _hrefs(html: Column) -> Column:
+    """Link targets of a page without line ends, entities decoded.
+
+    Only pages with an entity other than ``&amp;`` cross to the Arrow step, as one joined text.
+    """
+    given = F.transform(_tags(html, "a"), lambda a: F.translate(attribute(a, "href"), "\r\n", ""))
+    joined = F.array_join(given, "\n")
+    rare = decode_entities(F.when(joined.rlike(r"&(?!amp;)#?\w"), joined))
+    return F.split(F.coalesce(rare, F.replace(joined, F.lit("&amp;"), F.lit("&"))), "\n", -1)
+
+
 def first_profile_url(html: Column, platform: Platform) -> Column:
     """First link that leads to a profile, made absolute."""
-    links = F.transform(
-        _tags(html, "a"),
-        lambda a: absolute_profile_url(F.replace(attribute(a, "href"), F.lit("&amp;"), F.lit("&")), platform),
-    )
+    links = F.transform(_hrefs(html), lambda h: absolute_profile_url(h, platform))
     first = F.try_element_at(F.filter(links, lambda u: u.isNotNull()), F.lit(1))
     return F.when(F.contains(html, F.lit(platform.profile_path)), first)
 
@@ -151,11 +159,8 @@ def posted_at(html: Column) -> Column:
 
 
 def link_targets(html: Column) -> Column:
-    """Every ``href`` of a page in order, with ``&amp;`` decoded."""
-    hrefs = F.transform(
-        _tags(html, "a"), lambda a: F.replace(attribute(a, "href"), F.lit("&amp;"), F.lit("&"))
-    )
-    return F.filter(hrefs, lambda h: h != "")
+    """Every ``href`` of a page in order, with entities decoded."""
+    return F.filter(_hrefs(html), lambda h: h != "")
 
 
 __all__ = [

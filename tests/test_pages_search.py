@@ -146,3 +146,11 @@ def test_nested_elements_are_read_whole(apply):
         "<p>none</p>": None,
     }
     assert apply(html.main_text, list(pages)) == list(pages.values())
+
+
+def test_link_entities(apply):
+    from needwell.functions import html
+
+    page = "<a href='/x?a=1&amp;b=2'>1</a><a href=\"/y?q=&#233;&quot;&lt\">2</a><a>none</a><a href='/z\n?u=&copy;'>3</a>"
+    plain = "<a href='/x?a=1&amp;b=2&c'>1</a>"
+    assert apply(html.link_targets, [page, plain, "no links"]) == [["/x?a=1&b=2", '/y?q=é"<', "/z?u=©"], ["/x?a=1&b=2&c"], []]
