@@ -144,33 +144,40 @@ def _prefixes(texts: DataFrame, width: int) -> DataFrame:
     of rarity, two sets of similarity 0.8 have one of the first n - ceil(0.8 n) + 1 shingles in
     common, so only these, less the ones nobody shares, make lists. c is the number of shared ones
     from t on: all that two documents can have in common if t is the first that they have.
+
+    Only counts up to HOT are told apart: rare shingles are joined with their count, and all others
+    come after them by their own order. So a hot shingle is aggregated, and never joined.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, at = batch.column("node").to_numpy(), shingle_sets(batch.column("text"), width), 0
             while part := list(islice(sets, SETS_AT_ONCE)):
-                counts = np.array([len(x) for x in part])
-                nodes = ids[at : at + len(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(part).view(np.int64))],
-                    ["node", "n", "t"],
-                )
+                values = pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)]), values], ["node", "all"])
                 at += len(part)
 
-    shingles = staged(texts.mapInArrow(run, "node long, n long, t long"), "shingles")
-    common = shingles.groupBy("t").agg(F.count("*").alias("held")).where("held > 1")
-    own = Window.partitionBy("node")
-    ranked = shingles.join(common, "t").select(
+    sets = staged(texts.mapInArrow(run, "node long, all array<long>"), "shingles")
+    shingles = sets.select("node", F.explode("all").alias("t"))
+    counts = shingles.groupBy("t").agg(F.count("*").alias("held"), F.min("node").alias("node"))
+    counts = staged(counts.where(F.col("held") <= HOT), "counts")
+    rare = shingles.join(counts.where("held > 1").select("t", "held"), "t").select("node", "held", "t")
+    scarce = rare.unionByName(counts.where("held = 1").select("node", "held", "t"))
+    scarce = scarce.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "t"))).alias("scarce"))
+    none = F.array().cast("array<struct<held:bigint,t:bigint>>")
+    known = sets.join(scarce, "node", "left").withColumn("scarce", F.coalesce("scarce", none))
+    own = F.transform("scarce", lambda s: s["t"])
+    split = known.select(
         "node",
-        "n",
-        "t",
-        F.count("*").over(own).alias("c"),
-        F.row_number().over(own.orderBy("held", "t")).alias("place"),
-    )
-    return ranked.where(F.col("place") <= F.col("c") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select(
-        "node", "n", "t", (F.col("c") - F.col("place") + 1).alias("c")
+        F.size("all").cast("long").alias("n"),
+        F.transform(F.filter("scarce", lambda s: s["held"] > 1), lambda s: s["t"]).alias("rare"),
+        F.array_sort(F.array_except("all", own)).alias("hot"),
     )
+    ordered = split.select("node", "n", F.concat("rare", "hot").alias("shared"))
+    c = F.size("shared").cast("long")
+    most = F.greatest(c - F.ceil(F.col("n") * SIMILARITY / 100) + 1, F.lit(0)).cast("int")
+    listed = ordered.select("node", "n", c.alias("shared"), F.posexplode(F.slice("shared", F.lit(1), most)).alias("place", "t"))
+    return listed.select("node", "n", "t", (F.col("shared") - F.col("place")).alias("c"))
 
 
 def _other() -> list[Column]:
