@@ -73,10 +73,16 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """A page by offset under a total order; see :func:`page_after` for deep pages."""
-    ordered = df.orderBy(*order).offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
+def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0, key: str = "id") -> DataFrame:
+    """A page by offset under a total order; see :func:`page_after` for deep pages.
+
+    Without a limit the rows before the page are taken out by key, so that the
+    rest is sorted in parallel instead of passing through one task.
+    """
+    if limit is not None:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    before = df.orderBy(*order).limit(offset).select(key)
+    return df.join(before, key, "left_anti").select(*df.columns).orderBy(*order)
 
 
 def page_after(leads: DataFrame, last: dict, limit: int) -> DataFrame:

@@ -227,6 +227,8 @@ def test_ranking_pages_and_filters(spark):
         last = part[-1].asDict()
     assert walked == whole
     assert [r.id for r in rank.page(leads, rank.rank_order(), limit=2, offset=3).collect()] == whole[3:5]
+    assert [r.id for r in rank.page(leads, rank.rank_order(), offset=3).collect()] == whole[3:]
+    assert [r.id for r in rank.page(leads, rank.rank_order()).collect()] == whole
 
 
 def test_top_k_is_planned_as_such(spark):

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from needwell import schemas
 from needwell.functions import dates
-from needwell.operators import discover, merge, rank, score
+from needwell.config import NEEDS
+from needwell.operators import discover, merge, rank, runs, score
 from needwell.plans.export import export_explained, export_leads, export_view
+from needwell.sources.posts import read_raw_posts
 from workload import dialect as q
 from workload.ingest import (
     CFG,
@@ -21,7 +23,8 @@ from workload.ingest import (
 )
 from workload.registry import query, table, work_dir
 from workload.text import EMAIL_SQL, headline_company_sql, post_company_sql, website_sql
-from workload.views import NOW_SQL, now, ts_text, ts_text_sql
+from workload.runs import ATTEMPTS_SQL, attempts
+from workload.views import NOW_SQL, POSTS_SQL, now, raw_posts, ts_text, ts_text_sql
 
 # A stored table from an earlier day: every key divisible by three was seen
 # before, with older values, a score and some facts of its own.
@@ -307,6 +310,55 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
+@query(
+    "all_but_the_first_leads",
+    f"""{q.with_ctes(*RESCORED)} SELECT post_url, new_lead_score AS lead_score FROM scored ORDER BY {_RANK} OFFSET 25""",
+)
+def all_but_the_first_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lead after the first 25 of the ranking, without a limit."""
+    return rank.page(rescored(spark, sf_dir), rank.rank_order(), offset=25).select("post_url", "lead_score")
+
+
+_LOOKED_UP = "https://social.example/posts/user-3_10"
+
+
+@query(
+    "lead_lookups",
+    f"""{q.with_ctes(*UPSERT_SQL, ATTEMPTS_SQL)} SELECT 'post_url' AS by, count(*) AS n, min(post_url) AS found FROM merged WHERE post_url = '{_LOOKED_UP}'
+    UNION ALL SELECT 'id', count(*), min(post_url) FROM merged WHERE id = sha256('{_LOOKED_UP}')
+    UNION ALL SELECT 'source, query', count(DISTINCT url), min(url) FROM attempts
+      WHERE outcome = 'ok' AND source = 'src1' AND query = {q.lit(NEEDS[2])}""",
+)
+def lead_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads by URL and by id, progress by source and query."""
+    leads = merged_leads(spark, sf_dir).select("id", "post_url")
+    progress = runs.seen_urls(attempts(spark, sf_dir))
+    found = {
+        "post_url": rank.lookup(leads, post_url=_LOOKED_UP).select("post_url"),
+        "id": leads.where(F.col("id") == merge.lead_id(F.lit(_LOOKED_UP))).select("post_url"),
+        "source, query": rank.lookup(progress, source="src1", query=NEEDS[2]).select("url"),
+    }
+    counted = [
+        rows.agg(F.lit(by).alias("by"), F.count(F.lit(1)).alias("n"), F.min(rows.columns[0]).alias("found"))
+        for by, rows in found.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query(
+    "posts_read_from_files",
+    f"""{q.with_ctes(POSTS_SQL)} SELECT source, count(*) AS n, count(posted_at) AS dated, sum(length(post_text))::BIGINT AS characters
+    FROM posts GROUP BY source""",
+)
+def posts_read_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw posts landed as files and read back in the declared schema."""
+    path = work_dir(spark, "raw")
+    raw_posts(spark, sf_dir).write.parquet(path)
+    return read_raw_posts(spark, path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count("data.posted_at").alias("dated"), F.sum(F.length("data.post_text")).alias("characters")
+    )
+
+
 @query(
     "export_rows",
     rf"""{q.with_ctes(*RESCORED)} SELECT author_name, new_lead_score AS lead_score, new_category AS category, need_text,
