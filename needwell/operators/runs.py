@@ -1,7 +1,8 @@
 """Run accounting over an attempt log.
 
 ``attempts`` holds one row per page request: ``run_id, source, query, seq, url,
-outcome, ts`` and optionally ``rejected`` (an extracted page the ingest refused).
+outcome, ts`` and optionally ``rejected`` (an extracted page the ingest refused)
+and ``stored`` (``new`` or ``updated``: what the upsert made of it).
 ``seq`` is a unique, increasing number; order inside a run is always by ``seq``.
 """
 
@@ -69,14 +70,18 @@ def limit_cutoff(attempts: DataFrame, limit: int, key: str = "run_id") -> DataFr
 def cap_cutoff(attempts: DataFrame, cap: int, key: str = "run_id") -> DataFrame:
     """``seq`` of the first attempt a run may no longer make, for runs that get there.
 
-    Looks at ``cap + 1`` attempts per run at most; earlier spending of the same
+    The budget is one per source and day, whichever runs spend it. Looks at
+    ``cap + 1`` attempts per source and day at most; earlier spending of the same
     day is taken from an optional ``used_before`` column.
     """
-    order = W.partitionBy(key).orderBy("seq")
+    dated = attempts.withColumn("_day", F.to_date("ts"))
+    order = W.partitionBy("source", "_day").orderBy("seq")
     used = F.col("used_before") if "used_before" in attempts.columns else F.lit(0)
-    numbered = attempts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap + 1)
+    numbered = dated.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap + 1)
     over = numbered.where(F.col("_n") > F.greatest(F.lit(0), F.lit(cap) - used))
-    return over.groupBy(key).agg(F.min("seq").alias("cap_seq"))
+    spent = over.groupBy("source", "_day").agg(F.min("seq").alias("_from"))
+    late = dated.join(spent, ["source", "_day"]).where(F.col("seq") >= F.col("_from"))
+    return late.groupBy(key).agg(F.min("seq").alias("cap_seq"))
 
 
 def abort_cutoff(
@@ -143,6 +148,7 @@ def stop_runs(attempts: DataFrame, limits: RunLimits, key: str = "run_id") -> Da
 def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
     """One audit row per run: status, counters, times and message."""
     rejected = F.col("rejected") if "rejected" in stopped.columns else F.lit(False)
+    stored = F.col("stored") if "stored" in stopped.columns else F.lit(None).cast("string")
     parse_failures = F.count_if(_is(PARSE_ERROR))
     refused = F.count_if(_is(OK) & rejected)
     aborted = F.max("seq") == F.max("abort_seq")
@@ -153,6 +159,8 @@ def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
         F.count_if(_is(OK)).alias("leads_found"),
         (parse_failures + refused).alias("rejects"),
         F.count_if(_is(TRANSIENT)).alias("errors"),
+        F.count_if(stored == "new").alias("stored_new"),
+        F.count_if(stored == "updated").alias("stored_updated"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("finished_at"),
         F.coalesce(aborted, F.lit(False)).alias("_aborted"),
@@ -167,6 +175,8 @@ def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
         "leads_found",
         "rejects",
         "errors",
+        "stored_new",
+        "stored_updated",
         "started_at",
         "finished_at",
         ((F.unix_micros("finished_at") - F.unix_micros("started_at")) / F.lit(1e6)).alias("duration_seconds"),
@@ -178,7 +188,7 @@ def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
 
 def batch_totals(summaries: DataFrame, key: str = "query") -> DataFrame:
     """Counters per need and, where the need is NULL, for the whole batch."""
-    counters = [c for c in ("leads_found", "stored_new", "stored_updated", "rejects", "errors") if c in summaries.columns]
+    counters = ("leads_found", "stored_new", "stored_updated", "rejects", "errors")
     return summaries.rollup(key).agg(*[F.sum(c).alias(c) for c in counters], F.count(F.lit(1)).alias("runs"))
 
 

@@ -113,6 +113,8 @@ RUNS = _struct(
     ("leads_found", _L, False),
     ("rejects", _L, False),
     ("errors", _L, False),
+    ("stored_new", _L, False),
+    ("stored_updated", _L, False),
     ("started_at", _TS, False),
     ("finished_at", _TS),
     ("duration_seconds", T.DoubleType()),

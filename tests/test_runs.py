@@ -91,6 +91,20 @@ def test_cap_counts_earlier_spending(spark):
     assert {r["count"] for r in stopped} == {2}
 
 
+def test_runs_of_one_day_share_the_cap(spark):
+    rows = [(f"r{i // 10}", "a", "q", i, f"u{i}", "ok", datetime(2025, 1, 1, 5), False) for i in range(30)]
+    stopped = runs.stop_runs(spark.createDataFrame(rows, SCHEMA), RunLimits(12, 99, None))
+    assert sorted((r.run_id, r["count"]) for r in stopped.groupBy("run_id").count().collect()) == [("r0", 10), ("r1", 2)]
+
+
+def test_audit_counts_what_the_upsert_did(spark):
+    rows = [("r", "a", "q", i, f"u{i}", "ok", datetime(2025, 1, 1, 5), False, s) for i, s in enumerate(("new", "updated", None, "new"))]
+    limits = RunLimits(99, 99, None)
+    audit = runs.summarize_runs(runs.stop_runs(spark.createDataFrame(rows, SCHEMA + ", stored STRING"), limits), limits)
+    assert [(r.stored_new, r.stored_updated) for r in audit.collect()] == [(2, 1)]
+    assert [(r.stored_new, r.runs) for r in runs.batch_totals(audit).where("query IS NULL").collect()] == [(2, 1)]
+
+
 def test_daily_budget(spark):
     rows = [("r", "a", "q", i, f"u{i}", "ok", datetime(2025, 1, 1 + i // 6, 5), False) for i in range(12)]
     used = spark.createDataFrame([("a", datetime(2025, 1, 1).date(), 2)], "source STRING, day DATE, used INT")

@@ -36,6 +36,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         outcome.alias("outcome"),
         ts.alias("ts"),
         (F.col("value") > 20).alias("rejected"),
+        F.when((outcome == "ok") & (F.col("value") <= 20), F.when(F.col("event_id") < 4001, "new").otherwise("updated")).alias("stored"),
     )
 
 
@@ -46,7 +47,9 @@ ATTEMPTS_SQL = (
     {q.pick(NEEDS[:7], 'day(ts)')} AS query, event_id AS seq,
     'https://social.example/posts/p_' || (event_id % 4001) AS url,
     CASE event_type WHEN 'error' THEN 'blocked' WHEN 'signup' THEN 'transient' WHEN 'click' THEN 'parse_error'
-      ELSE 'ok' END AS outcome, ts, value > 20 AS rejected
+      ELSE 'ok' END AS outcome, ts, value > 20 AS rejected,
+    CASE WHEN event_type NOT IN ('error', 'signup', 'click') AND value <= 20
+      THEN CASE WHEN event_id < 4001 THEN 'new' ELSE 'updated' END END AS stored
   FROM events""",
 )
 
@@ -76,7 +79,8 @@ _SUMMARY_SQL = (
     f"""SELECT run_id, source, query, CASE WHEN max(seq) = max(abort_seq) THEN 'aborted' ELSE 'completed' END AS status,
       count(*) AS pages_visited, count_if(outcome = 'ok') AS leads_found,
       count_if(outcome = 'parse_error') + count_if(outcome = 'ok' AND rejected) AS rejects,
-      count_if(outcome = 'transient') AS errors, min(ts) AS started_at, max(ts) AS finished_at,
+      count_if(outcome = 'transient') AS errors, count(*) FILTER (WHERE stored = 'new') AS stored_new,
+      count(*) FILTER (WHERE stored = 'updated') AS stored_updated, min(ts) AS started_at, max(ts) AS finished_at,
       CASE WHEN max(seq) = max(abort_seq) THEN 'aborted after {LIMITS.block_limit} consecutive blocks'
         WHEN max(cap_seq) IS NOT NULL AND (max(limit_seq) IS NULL OR max(limit_seq) >= max(cap_seq))
         THEN 'daily request cap reached ({LIMITS.daily_cap})' END AS error_message
@@ -119,7 +123,7 @@ def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SUMMARY_COLUMNS = "run_id, source, query, status, pages_visited, leads_found, rejects, errors, error_message"
+_SUMMARY_COLUMNS = "run_id, source, query, status, pages_visited, leads_found, rejects, errors, stored_new, stored_updated, error_message"
 
 
 @query(
@@ -139,7 +143,8 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "batch_totals",
     f"""{q.with_ctes(*RUN_SQL)} SELECT query, sum(leads_found)::BIGINT AS leads_found, sum(rejects)::BIGINT AS rejects,
-      sum(errors)::BIGINT AS errors, count(*) AS runs FROM summary GROUP BY ROLLUP (query)""",
+      sum(errors)::BIGINT AS errors, sum(stored_new)::BIGINT AS stored_new, sum(stored_updated)::BIGINT AS stored_updated,
+      count(*) AS runs FROM summary GROUP BY ROLLUP (query)""",
 )
 def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters per need and for the whole batch."""
