@@ -25,7 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -38,8 +38,9 @@ END = "</w>"
 _MARK = "\0"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _VERSIONED = re.compile("[^\x00-ԯ -⁯₠-₿]")
-_CACHED_WORDS = 200_000
-_CACHED_PAIRS = 200_000
+#: a worker stays small: some 40 MB of known words and pairs
+_CACHED_WORDS = 100_000
+_CACHED_PAIRS = 100_000
 
 
 def default_vocabulary() -> str:
@@ -59,12 +60,9 @@ class Encoder:
     """A vocabulary, ready to encode and decode texts exactly as its library does."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
-        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.path = path
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in (ids | self.special).items()}
@@ -96,6 +94,14 @@ class Encoder:
                 self.suffixes.add_word(form[whole], (whole, len(form[whole])))
         self.suffixes.make_automaton()
 
+    @cached_property
+    def library(self):
+        """The library's normaliser and splitter, loaded by the first text that needs them."""
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(self.path)
+        return loaded.normalizer, loaded.pre_tokenizer
+
     def compatible(self, left: int, right: int, limit: float = float("inf")) -> bool:
         """Whether merging would keep two tokens apart, merges from `limit` on left aside."""
         merged, halves = self.merged, self.halves
@@ -154,7 +160,8 @@ class Encoder:
     def _plain(self, text: str) -> list[int]:
         ids: list[int] = []
         if _VERSIONED.search(text):
-            for letters, _ in self.pre_tokenize(self.normalize(text)):
+            normalizer, splitter = self.library
+            for letters, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text)):
                 ids += self.word(letters)
             return ids
         if not text.isascii():
@@ -233,6 +240,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 hashes.append(sha(" ".join(map(own.digits.__getitem__, ids))))
                 decoded.append(sha(own.decode(ids)))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)]
+            del batch  # not beside the next one
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _slim(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
