@@ -8,7 +8,7 @@ if spans cover at least a twentieth of its words.
 
 The benchmark is a query set, read in blocks: a block has about BLOCK_BYTES of text, is shipped to the
 workers as one broadcast of that size, and is one narrow pass over the documents. No shuffle at all.
-Several blocks chain; after every fourth the rows go to the checkpoint folder, so that no task runs
+Several blocks chain; after every fourth the rows go to the shared folder, so that no task runs
 more than four automata.
 
 Defined cases: a null or wordless text has no hits and is clean; a null or wordless item has no
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query, table
+from .staging import staged
 
 WINDOW = 13
 COVERAGE = 20
@@ -183,7 +184,7 @@ def scan(
     for number, items in enumerate(blocks):
         out = _pass(out, spark.sparkContext.broadcast((items, window)), keep, number == 0, number == len(blocks) - 1)
         if number % 4 == 3 and number < len(blocks) - 1:
-            out = out.checkpoint()
+            out = staged(out, "contamination")
     return out
 
 
