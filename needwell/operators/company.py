@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needwell.functions.text import clean_text
+from needwell.functions.urls import host_name
 from needwell.operators.rules import join_present, with_registered_domain
 
 # Fixed value: similarity in percent from which two names are flagged.
@@ -372,6 +373,33 @@ def purge_domains(df: DataFrame, domains: DataFrame, hosts: Sequence[Column], ke
     return df.join(affected.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
+#: columns of each stored table that name a site, by URL or address
+SITE_COLUMNS = {
+    "leads": ("post_url", "author_profile_url", "website", "contact_email"),
+    "companies": ("domain", "website", "email"),
+    "rejects": ("source_url",),
+    "progress": ("url",),
+}
+
+
+def purge_tables(tables: Mapping[str, DataFrame], domains: DataFrame) -> dict[str, DataFrame]:
+    """Stored tables without the rows that name a purged domain, or one below it, in any column.
+
+    Hosts are looked up once each, however many rows share one, and no table needs a key.
+    """
+    listed = domains.select(F.lower("domain").alias("_d")).distinct()
+    left = {}
+    for name, rows in tables.items():
+        for column in SITE_COLUMNS[name]:
+            hosted = rows.withColumn("_host", F.nullif(host_name(F.col(column)), F.lit("")))
+            hosts = hosted.select("_host").where(F.col("_host").isNotNull()).distinct()
+            above = hosts.select("_host", F.explode(host_tails(F.col("_host"))).alias("_d"))
+            gone = above.join(listed, "_d", "left_semi").select("_host").distinct()
+            rows = hosted.join(gone, "_host", "left_anti").select(*rows.columns)
+        left[name] = rows
+    return left
+
+
 # --- enrichment of companies and links --------------------------------------------
 
 

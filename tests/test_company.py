@@ -115,6 +115,17 @@ def test_purge_covers_subdomains(spark):
     assert {r.id for r in company.purge_domains(df, gone, [F.col("host")], "id").collect()} == {"2", "3"}
 
 
+def test_purge_reaches_every_table(spark):
+    leads = spark.createDataFrame(
+        [("https://x.example/p", None, None, "Ann@mail.Oak.example"), ("https://x.example/q", None, "https://oak.example.org", None), ("https://oak.example:8/r", "", None, None)],
+        "post_url STRING, author_profile_url STRING, website STRING, contact_email STRING",
+    )
+    rejects = spark.createDataFrame([("http://u@oak.example/x",), (None,), ("",)], "source_url STRING")
+    left = company.purge_tables({"leads": leads, "rejects": rejects}, spark.createDataFrame([("OAK.example",)], "domain STRING"))
+    assert [r.post_url for r in left["leads"].collect()] == ["https://x.example/q"]
+    assert left["rejects"].count() == 2
+
+
 def test_links(spark):
     leads = spark.createDataFrame([("p1", "ACME  studios", None), ("p2", None, "9"), ("p3", "Nope", None)], "post_url STRING, company STRING, lead_id STRING")
     dim = spark.createDataFrame([("1", "Acme Studios", "a.example"), ("2", "acme studios", "b.example")], "id STRING, business_name STRING, domain STRING")

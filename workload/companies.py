@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needwell.operators import company, rules
+from needwell.operators import company, rules, runs
 from workload import dialect as q
 from workload.leads import RESCORED, UPSERT_SQL, merged_leads, rescored
 from workload.registry import query, table
+from workload.runs import ATTEMPTS_SQL, attempts
 
 
 
@@ -273,6 +274,29 @@ def purged_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company.purge_domains(rows, gone, hosts, "id").select("id")
 
 
+_OPTED_OUT = ("bakery-shop.example", "d7.example.com", "Example.org")
+
+
+@query(
+    "purged_tables",
+    f"""{q.with_ctes(*UPSERT_SQL, COMPANIES_SQL, ATTEMPTS_SQL)}
+    SELECT 'leads' AS tab, count(*) AS n FROM merged WHERE NOT regexp_matches(lower(concat_ws(' ', contact_email, website)),
+      '[@./](bakery-shop[.]example|example[.]org)( |/|$)')
+    UNION ALL SELECT 'companies', count(*) FROM companies WHERE coalesce(domain, '') <> 'd7.example.com' AND coalesce(email, '') <> 'info@mail.d7.example.com'
+    UNION ALL SELECT 'progress', count(*) FROM (SELECT DISTINCT source, query, url FROM attempts WHERE outcome = 'ok')""",
+)
+def purged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows left in each stored table after an opt-out list."""
+    tables = {
+        "leads": merged_leads(spark, sf_dir),
+        "companies": companies(spark, sf_dir),
+        "progress": runs.seen_urls(attempts(spark, sf_dir)),
+    }
+    left = company.purge_tables(tables, spark.createDataFrame([(d,) for d in _OPTED_OUT], "domain STRING"))
+    counted = [rows.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n")) for name, rows in left.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 _TAXONOMY = (("furniture", "home"), ("household", "home"), ("machinery", "industry"), ("building", "industry"), ("seo", "marketing"), ("automobile", "vehicles"), ("group", "holding"))
 
 
