@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import Row
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, "
@@ -87,7 +86,3 @@ def result():
         return sorted(got, key=repr)
 
     return run
-
-
-def plain(row: Row) -> tuple:
-    return tuple(row)
