@@ -137,6 +137,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], most: int, width: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and shingle sets of texts, some at a time."""
+    for batch in batches:
+        nodes, sets, at = batch.column("node").to_numpy(), shingle_sets(batch.column("text"), width), 0
+        while part := list(islice(sets, most)):
+            yield nodes[at : at + len(part)], part
+            at += len(part)
+
+
 def _prefixes(texts: DataFrame, width: int) -> DataFrame:
     """node, n, t, c: the shingles through which a crowded document can meet another one.
 
@@ -146,24 +155,30 @@ def _prefixes(texts: DataFrame, width: int) -> DataFrame:
     from t on: all that two documents can have in common if t is the first that they have.
 
     Only counts up to HOT are told apart: rare shingles are joined with their count, and all others
-    come after them by their own order. So a hot shingle is aggregated, and never joined.
+    come after them by their own order. A hot shingle is counted in hand, and is a row per some
+    hundreds of documents from then on.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sets, at = batch.column("node").to_numpy(), shingle_sets(batch.column("text"), width), 0
-            while part := list(islice(sets, SETS_AT_ONCE)):
-                values = pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(part)]), values], ["node", "all"])
-                at += len(part)
-
-    sets = staged(texts.mapInArrow(run, "node long, all array<long>"), "shingles")
-    shingles = sets.select("node", F.explode("all").alias("t"))
-    counts = shingles.groupBy("t").agg(F.count("*").alias("held"), F.min("node").alias("node"))
-    counts = staged(counts.where(F.col("held") <= HOT), "counts")
-    rare = shingles.join(counts.where("held > 1").select("t", "held"), "t").select("node", "held", "t")
-    scarce = rare.unionByName(counts.where("held = 1").select("node", "held", "t"))
-    scarce = scarce.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "t"))).alias("scarce"))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, part in _sets(batches, SETS_AT_ONCE, width):
+            values = pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), values], ["node", "all"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, part in _sets(batches, SETS_AT_ONCE * 16, width):
+            owner = np.repeat(nodes, [len(x) for x in part])
+            values, inverse, held = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+            owner = owner[np.argsort(inverse, kind="stable")]
+            few = held <= HOT
+            bounds = np.concatenate([[0], np.cumsum(np.where(few, held, 0))])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(owner[np.repeat(few, held)]))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(held), lists], ["t", "n", "nodes"])
+
+    sets = staged(texts.mapInArrow(whole, "node long, all array<long>"), "sets")
+    parts = staged(texts.mapInArrow(counted, "t long, n long, nodes array<long>"), "shingles")
+    rare = parts.groupBy("t").agg(F.sum("n").alias("held")).where(F.col("held") <= HOT)
+    owned = parts.join(rare, "t").select(F.explode("nodes").alias("node"), "held", "t")
+    scarce = owned.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "t"))).alias("scarce"))
     none = F.array().cast("array<struct<held:bigint,t:bigint>>")
     known = sets.join(scarce, "node", "left").withColumn("scarce", F.coalesce("scarce", none))
     own = F.transform("scarce", lambda s: s["t"])
