@@ -38,9 +38,9 @@ END = "</w>"
 _MARK = "\0"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _VERSIONED = re.compile("[^\x00-ԯ -⁯₠-₿]")
-#: a worker stays small: some 40 MB of known words and pairs
-_CACHED_WORDS = 100_000
-_CACHED_PAIRS = 100_000
+#: a worker stays small: some 80 MB of known words and pairs
+_CACHED_WORDS = 200_000
+_CACHED_PAIRS = 200_000
 
 
 def default_vocabulary() -> str:
