@@ -3,12 +3,13 @@
 Every window of LENGTH bytes holds an anchor: the GRAM-byte string with the smallest hash in it. Equal
 windows hold equal anchors, so suffixes need to start at anchors only, some six in a hundred bytes.
 
-1. What a window can reach around an anchor (LENGTH - GRAM bytes to both sides) is its context. A key holds
-   GROUP_BITS of the anchor's hash, then bits of the context's. Distinct (key, document) rows are
-   range-partitioned and sorted. A row after another document with the same key is a whole repeat. Of
+1. What a window can reach around an anchor (LENGTH - GRAM bytes to both sides) is its context. Rows hold
+   GROUP_BITS of the anchor's hash, then all 64 bits of the context's: the first of these share a column with
+   the group, so one column settles most of the order. Distinct (anchor, context, document) rows are
+   range-partitioned and sorted. A row after another document with the same context is a whole repeat. Of
    the rest, anchors with one context only are dropped; a group of anchors cut by the border of a
    batch stays in any case, so a group may be spread over any number of partitions.
-2. Each document gets back its keys of both kinds. The contexts of the kind that is left are cut out of
+2. Each document gets back its context hashes of both kinds. The contexts of the kind that is left are cut out of
    its text and sorted by anchor and right context: a suffix array, with the common-prefix lengths of
    neighbours beside it. The intervals of its common-prefix tree are visited by depth; inside one, the
    common lengths of the reversed left contexts tell where left extensions differ, and so which
@@ -79,13 +80,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _keys(sums: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Bits of the anchor's hash before bits of its context's."""
+def _keys(sums: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors' contexts."""
     start = np.maximum(at - SIDE, bounds[text])
     end = np.minimum(at + LENGTH, bounds[text + 1])
-    whole = mix(run_hashes(sums, start, end) + (at - start).astype(U64))
-    low = U64(64 - GROUP_BITS)
-    return (hashes >> low << low) | (whole >> U64(GROUP_BITS))
+    return mix(run_hashes(sums, start, end) + (at - start).astype(U64))
 
 
 def _contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -96,17 +95,26 @@ def _contexts(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.nda
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (key, doc_id) of the anchors."""
+    """Distinct (key, rest, doc_id) of the anchors: bits of the anchor's hash and its context's hash, over two columns."""
+    low = U64(64 - GROUP_BITS)
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for row, data, bounds in chunks(batch.column("text")):
             at, text, hashes, sums = anchors(data, bounds)
-            keys = _keys(sums, bounds, at, text, hashes)
+            keys = _keys(sums, bounds, at, text)
             order = np.lexsort((keys, text))
-            text, keys = text[order], keys[order]
+            text, keys, hashes = text[order], keys[order], hashes[order]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(keys[new]), pa.array(ids[row + text[new]])], ["key", "doc_id"])
+            text, keys, hashes = text[new], keys[new], hashes[new]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    _signed((hashes >> low << low) | (keys >> U64(GROUP_BITS))),
+                    _signed(keys << low >> low),
+                    pa.array(ids[row + text]),
+                ],
+                ["key", "rest", "doc_id"],
+            )
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +122,9 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+        key, rest, doc = (batch.column(c).to_numpy() for c in ("key", "rest", "doc_id"))
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+        new[1:] = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])
         runs = np.flatnonzero(new)
         whole = doc > doc[runs][np.cumsum(new) - 1]
         group = key >> (64 - GROUP_BITS)
@@ -127,7 +135,8 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[0] = several[-1] = True
         keep = whole | several[number]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[keep]), pa.array(key[keep]), pa.array(whole[keep])], ["doc_id", "key", "whole"]
+            [pa.array(doc[keep]), pa.array(key[keep] << GROUP_BITS | rest[keep]), pa.array(whole[keep])],
+            ["doc_id", "key", "whole"],
         )
 
 
@@ -167,7 +176,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, bounds in chunks(batch.column("text")):
             at, text, hashes, sums = anchors(data, bounds)
             first = np.searchsorted(text, np.arange(len(bounds)))
-            keep = _listed(_keys(sums, bounds, at, text, hashes), first, row, lists)
+            keep = _listed(_keys(sums, bounds, at, text), first, row, lists)
             at, text, hashes = at[keep], text[keep], hashes[keep]
             context = _contexts(data, bounds, at, text)
             fixed = pa.FixedSizeBinaryArray.from_buffers(
@@ -326,9 +335,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _key_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, wholes, parts: the keys of a document's whole repeats, and of those that may be partial."""
-    holders = _texts(docs).mapInArrow(_holders, "key long, doc_id long")
-    ordered = holders.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    """doc_id, wholes, parts: the context hashes of a document's whole repeats, and of those that may be partial."""
+    holders = _texts(docs).mapInArrow(_holders, "key long, rest long, doc_id long")
+    ordered = holders.repartitionByRange("key", "rest", "doc_id").sortWithinPartitions("key", "rest", "doc_id")
     kinds = ordered.mapInArrow(_sorted_out, "doc_id long, key long, whole boolean")
     return kinds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("whole"), F.col("key"))).alias("wholes"),
@@ -355,9 +364,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, lists = batch.column("spans").to_pylist(), _lists(batch, "wholes")
         out: list[tuple] = []
         for row, data, bounds in chunks(batch.column("text")):
-            at, text, hashes, sums = anchors(data, bounds)
+            at, text, _, sums = anchors(data, bounds)
             first = np.searchsorted(text, np.arange(len(bounds)))
-            whole = _listed(_keys(sums, bounds, at, text, hashes), first, row, lists)
+            whole = _listed(_keys(sums, bounds, at, text), first, row, lists)
             whole_texts = run_hashes(sums, bounds[:-1], bounds[1:]).view(np.int64)
             for i in range(len(bounds) - 1):
                 size = int(bounds[i + 1] - bounds[i])

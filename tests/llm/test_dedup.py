@@ -3,9 +3,11 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from needwell.llm import graph, lines, near_dedup, repeats
+from needwell.llm.hashing import prefix_sums, run_hashes
 
 
 def pairs(rows):
@@ -63,6 +65,18 @@ def test_partial_repeats_in_one_group(spark, result):
     assert got == sorted(brute.repeats(noisy), key=repr)
 
 
+def test_many_contexts_of_one_anchor_stay_apart(spark):
+    """24 bits of a context's hash would call a dozen of these texts repeats."""
+    rng = np.random.default_rng(11)
+    grams = rng.integers(97, 123, (200_000, repeats.GRAM), np.uint8)
+    bounds = np.arange(0, grams.size + 1, repeats.GRAM)
+    anchor = grams[run_hashes(prefix_sums(grams.reshape(-1)), bounds[:-1], bounds[1:]).argmin()]
+    sides = rng.integers(97, 123, (20_000, 2, repeats.SIDE), np.uint8)
+    data = [(i, (left.tobytes() + anchor.tobytes() + right.tobytes()).decode()) for i, (left, right) in enumerate(sides)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert repeats.remove_repeats(df).where("n_removed > 0").count() == 0
+
+
 def test_lines(docs, rows, result):
     want = [(i, n, r, brute.sha(k)) for i, n, r, k in brute.lines([(r[0], r[3], r[1]) for r in rows], 4)]
     from pyspark.sql import functions as F
