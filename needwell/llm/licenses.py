@@ -6,7 +6,10 @@ over all files, for the terms of the templates; any other term weighs as one tha
 table of weights is as large as the templates, and scoring needs no shuffle.
 
 A match in the first lines is a header and covers its own file. A match in the last lines, or of the
-whole text, makes the file a licence file, which covers its folder as well. A file without a licence of
+whole text, makes the file a licence file, which covers its folder as well. With `apart`, as in the query, it
+does so whether or not the first lines match better or as well, a tie is of the file's kind, and a file with
+a licence file's name (LICENSE, COPYING) is one by any match; otherwise only the best match decides, the
+first lines' before an equal one. A file without a licence of
 its own takes that of the nearest folder above it which has one: the distinct folders are unfolded to
 their ancestors (a path's depth bounds that), joined with the licensed folders, and reduced to the deepest
 match; the files then join their folder. Hot folders are only ever on the side of a join that can be split.
@@ -77,6 +80,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+#: names of licence files, such as LICENSE, LICENSE-MIT, mit-licence.txt, COPYING.LESSER
+NAMED = r"(?i)(?:^|/)(?:[^/]*[-_])?(?:(?:un)?licen[cs]es?|copying)(?:[-_.][^/]*)?$"
+
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -125,11 +131,16 @@ class Scorer:
         score, vector = max(((round(d / norm, 6), -v) for v, d in dots.items()))
         return score, self.vectors[-vector]
 
-    def scan(self, text: str) -> tuple[str | None, float, str | None]:
-        """Licence, score and place of the best part that reaches the threshold; the best score otherwise."""
+    def scan(self, text: str) -> tuple[str | None, float, str | None, str | None, float]:
+        """Licence, score and place of the best part that reaches the threshold; the best score otherwise.
+
+        Then licence and score of the best file part alone, likewise.
+        """
         found = [(*self.best(part), place) for place, part in parts(text)] if text else []
         score, name, place = max(found, key=lambda f: f[0], default=(0.0, None, None))
-        return (name, score, place) if score >= THRESHOLD else (None, score, None)
+        own = (name, score, place) if score >= THRESHOLD else (None, score, None)
+        score, name, _ = max((f for f in found if f[2] == "file"), key=lambda f: f[0], default=(0.0, None, None))
+        return *own, name if score >= THRESHOLD else None, score
 
 
 def _frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -148,7 +159,7 @@ def _frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
 
 
 def own_licenses(files: DataFrame, keep: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """The columns kept, and own_license, score, place of every file."""
+    """The columns kept, and own_license, score, place, file_license, file_score of every file."""
     vocabulary = {t for texts in templates.values() for text in texts for t in terms(text)}
     frequency, total = _frequencies(files, vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
@@ -157,14 +168,16 @@ def own_licenses(files: DataFrame, keep: list[str], templates: dict[str, tuple[s
         scorer = Scorer(templates, frequency, total)
         for batch in batches:
             found = [scorer.scan(text.as_py() or "") for text in batch.column("text")]
-            names, scores, places = zip(*found, strict=True) if found else ((), (), ())
+            columns = zip(*found, strict=True) if found else ((),) * 5
+            kinds = (pa.string(), pa.float64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep]
-                + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(places, pa.string())],
-                [*keep, "own_license", "score", "place"],
+                [batch.column(c) for c in keep] + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+                [*keep, "own_license", "score", "place", "file_license", "file_score"],
             )
 
-    return files.select(*keep, "text").mapInArrow(run, f"{schema}, own_license string, score double, place string")
+    return files.select(*keep, "text").mapInArrow(
+        run, f"{schema}, own_license string, score double, place string, file_license string, file_score double"
+    )
 
 
 def folder(path: Column) -> Column:
@@ -172,11 +185,18 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def inherited(files: DataFrame) -> DataFrame:
+def inherited(files: DataFrame, apart: bool = False) -> DataFrame:
     """folder, license, from_folder: for each folder of files, the nearest licensed one at or above it."""
-    placed = files.where("path IS NOT NULL").select(folder(F.col("path")).alias("folder"), "path", "own_license", "score", "place")
-    best = F.min(F.struct((-F.col("score")).alias("s"), "path", "own_license"))
-    licensed = placed.where("place = 'file'").groupBy("folder").agg(best["own_license"].alias("license"))
+    if apart:
+        license_ = F.coalesce("file_license", F.when(F.col("path").rlike(NAMED), F.col("own_license")))
+        score = F.when(F.col("file_license").isNotNull(), F.col("file_score")).otherwise(F.col("score"))
+    else:
+        license_, score = F.when(F.col("place") == "file", F.col("own_license")), F.col("score")
+    placed = files.where("path IS NOT NULL").select(
+        folder(F.col("path")).alias("folder"), "path", license_.alias("license"), score.alias("score")
+    )
+    best = F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))
+    licensed = placed.where("license IS NOT NULL").groupBy("folder").agg(best["license"].alias("license"))
     names = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
     steps = placed.select("folder").distinct().select("folder", F.explode(F.array_distinct(above)).alias("above"))
@@ -186,17 +206,20 @@ def inherited(files: DataFrame) -> DataFrame:
     )
 
 
-def license_scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, keep: tuple[str, ...] = ()) -> DataFrame:
+def license_scan(
+    files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, keep: tuple[str, ...] = (), apart: bool = False
+) -> DataFrame:
     """path, the columns kept, own_license, score, place, license, from_folder of files (path, text)."""
     scanned = staged(own_licenses(files, ["path", *keep], templates), "licenses")
-    above = inherited(scanned).withColumnRenamed("folder", "_folder")
+    tie = F.lit(apart) & F.col("file_license").isNotNull() & (F.col("file_score") >= F.col("score"))
+    above = inherited(scanned, apart).withColumnRenamed("folder", "_folder")
     joined = scanned.join(above, folder(F.col("path")) == F.col("_folder"), "left")
     return joined.select(
         "path",
         *keep,
         "own_license",
         "score",
-        "place",
+        F.when(tie, F.lit("file")).otherwise(F.col("place")).alias("place"),
         F.coalesce("own_license", "inherited").alias("license"),
         F.when(F.col("own_license").isNull(), F.col("from_folder")).alias("from_folder"),
     )
@@ -218,4 +241,4 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own and inherited licence of every document."""
     docs = table(spark, sf_dir, "documents")
     path = document_path(F.col("doc_id"), F.col("source"), F.col("lang"))
-    return license_scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",), apart=True)

@@ -249,6 +249,34 @@ def test_licences(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licence_files_are_judged_apart_from_headers(spark):
+    """A file that is little but a licence, or has a licence file's name, covers its folder; a mere header does not."""
+    notice = licenses.TEMPLATES["MIT"][2]
+    files = [
+        ("short/x", "Released under the MIT License.\ntext"),
+        ("short/in/y", "text"),
+        ("named/LICENSE", notice + "\nmany other words follow here" * 9),
+        ("named/in/y", "text"),
+        ("both/x", "Released under the MIT License.\n" + "text\n" * 9 + "Licensed under CC BY-NC 4.0. See there."),
+        ("both/in/y", "text"),
+        ("header/x.py", "Released under the MIT License." + "\nmany other words follow here" * 9),
+        ("header/in/y", "text"),
+        ("none/COPYING", "many other words"),
+        ("none/in/y", "text"),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    rows = {r["path"]: r for r in licenses.license_scan(df, apart=True).collect()}
+    got = {p.split("/")[0]: (r["license"], r["from_folder"]) for p, r in rows.items() if p.endswith("/in/y")}
+    assert got == {
+        "short": ("MIT", "short"),
+        "named": ("MIT", "named"),
+        "both": ("CC-BY-NC-4.0", "both"),
+        "header": (None, None),
+        "none": (None, None),
+    }
+    assert (rows["short/x"]["place"], rows["both/x"]["place"], rows["header/x.py"]["place"]) == ("file", "header", "header")
+
+
 def test_nearest_folder_wins(spark):
     closing = lambda n: "text\n" * 9 + n
     files = [
