@@ -1,11 +1,15 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by path.
 
-Every file is compared in parts: each of its first and last EDGE lines, those lines together, and the
-whole text. A part's weights are term counts times inverse document frequency. Frequencies are counted
+Every file is compared in parts: each of its first and last EDGE lines, those lines together, the whole
+text, and every run of lines, wherever it is. A run has at most as many lines with terms of templates as the
+longest template has terms, since a notice can be wrapped over no more; other lines in it are not counted. It
+belongs to the first lines if it begins in them, else to the last ones if it ends in them, else to the body.
+Runs are scored only in files whose terms, in any number and order, could bring some template to the threshold,
+which is known from the whole text; so few files need it and none is missed. A part's weights are term counts times inverse document frequency. Frequencies are counted
 over all files, for the terms of the templates; any other term weighs as one that no file has. So the
 table of weights is as large as the templates, and scoring needs no shuffle.
 
-A match in the first lines is a header and covers its own file. A match in the last lines, or of the
+A match in the first lines is a header and covers its own file, and so does one in the body. A match in the last lines, or of the
 whole text, makes the file a licence file, which covers its folder as well. With `apart`, as in the query, it
 does so whether or not the first lines match better or as well, a tie is of the file's kind, and a file with
 a licence file's name (LICENSE, COPYING) is one by any match; otherwise only the best match decides, the
@@ -15,7 +19,8 @@ their ancestors (a path's depth bounds that), joined with the licensed folders,
 match; the files then join their folder. Hot folders are only ever on the side of a join that can be split.
 
 Defined cases: a null or empty text has no licence of its own; a null path has no folder and inherits
-nothing; of equal scores the first template by name wins, in one folder the file with the best score,
+nothing; of equal scores the first template by name wins, the
+score of a file without a licence is that of its best edge lines or whole text, in one folder the file with the best score,
 then the smallest path; repeated rows repeat; an empty table gives no rows; other columns are not read.
 """
 
@@ -105,6 +110,7 @@ class Scorer:
         self.weight = {t: math.log((total + 1) / (n + 1)) + 1 for t, n in frequency.items()}
         self.unseen = math.log(total + 1) + 1
         self.vectors = []
+        self.longest = max((len(terms(text)) for texts in templates.values() for text in texts), default=0)
         self.holders: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
             for text in templates[name]:
@@ -131,12 +137,54 @@ class Scorer:
         score, vector = max(((round(d / norm, 6), -v) for v, d in dots.items()))
         return score, self.vectors[-vector]
 
+    def possible(self, text: str) -> set[int]:
+        """Templates that a text with these terms may reach the threshold of, whatever their number: by Cauchy-Schwarz."""
+        most: dict[int, float] = {}
+        for t in self.holders.keys() & set(terms(text)):
+            for vector, weight in self.holders[t]:
+                most[vector] = most.get(vector, 0.0) + weight * weight
+        return {v for v, square in most.items() if square >= THRESHOLD**2 - 1e-5}
+
+    def runs(self, text: str) -> list[tuple[float, str | None, str]]:
+        """Score, licence and place of the runs of lines that reach the threshold."""
+        vectors = self.possible(text)
+        if not vectors:
+            return []
+        rows = [Counter(terms(line)) for line in text.split("\n") if line.strip()]
+        held = {t: [(v, w) for v, w in self.holders[t] if v in vectors] for t in self.holders.keys() & set().union(*rows)}
+        bears = [any(held.get(t) for t in row) for row in rows]
+        found = []
+        for i in range(len(rows)):
+            if not bears[i]:
+                continue
+            counts: Counter[str] = Counter()
+            dots = dict.fromkeys(vectors, 0.0)
+            square, lines = 0.0, 0
+            for j in range(i, len(rows)):
+                lines += bears[j]
+                if lines > self.longest:
+                    break
+                for t, n in rows[j].items():
+                    weight = self.of(t)
+                    square += n * (2 * counts[t] + n) * weight * weight
+                    counts[t] += n
+                    for v, w in held.get(t, ()):
+                        dots[v] += n * weight * w
+                if bears[j]:
+                    norm = math.sqrt(square)
+                    score, vector = max((round(d / norm, 6), -v) for v, d in dots.items())
+                    if score >= THRESHOLD:
+                        last = j >= len(rows) - EDGE
+                        places = ("header",) * (i < EDGE) + ("file",) * last or ("body",)
+                        found += [(score, self.vectors[-vector], place) for place in places]
+        return found
+
     def scan(self, text: str) -> tuple[str | None, float, str | None, str | None, float]:
         """Licence, score and place of the best part that reaches the threshold; the best score otherwise.
 
         Then licence and score of the best file part alone, likewise.
         """
-        found = [(*self.best(part), place) for place, part in parts(text)] if text else []
+        found = [(*self.best(part), place) for place, part in parts(text)] + self.runs(text) if text else []
         score, name, place = max(found, key=lambda f: f[0], default=(0.0, None, None))
         own = (name, score, place) if score >= THRESHOLD else (None, score, None)
         score, name, _ = max((f for f in found if f[2] == "file"), key=lambda f: f[0], default=(0.0, None, None))

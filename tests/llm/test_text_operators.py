@@ -277,6 +277,27 @@ def test_licence_files_are_judged_apart_from_headers(spark):
     assert (rows["short/x"]["place"], rows["both/x"]["place"], rows["header/x.py"]["place"]) == ("file", "header", "header")
 
 
+def test_notices_between_the_edges_are_found(spark):
+    """After a shebang and copyright lines, in the middle of a long file, wrapped over lines."""
+    head = "#!/usr/bin/python\n# encoding: utf-8\n# Copyright someone\n# Copyright another\n"
+    code = "\n".join("value %d of a table" % i for i in range(60)) + "\n"
+    wrapped = "\n#\n# ".join(licenses.TEMPLATES["MIT"][2].split())
+    files = [
+        ("a/head", head + "# Released under the MIT License.\n" + code),
+        ("a/middle", code + "This part is licensed under CC BY-NC 4.0.\n" + code),
+        ("a/wrapped", code + "# " + wrapped + "\n" + code),
+        ("a/none", code * 3),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["path"]: (r["license"], r["place"], r["from_folder"]) for r in licenses.license_scan(df, apart=True).collect()}
+    assert got == {
+        "a/head": ("MIT", "body", None),
+        "a/middle": ("CC-BY-NC-4.0", "body", None),
+        "a/wrapped": ("MIT", "body", None),
+        "a/none": (None, None, None),
+    }
+
+
 def test_nearest_folder_wins(spark):
     closing = lambda n: "text\n" * 9 + n
     files = [
