@@ -1,10 +1,12 @@
 """Personal data in texts, all in column functions: patterns propose, checksums confirm, context scores.
 
 Kinds email, ip, card and phone are the base: leftmost non-overlapping matches of a fixed pattern
-per kind, failing matches dropped without a second try. Two kinds are added: `iban` (confirmed by
-mod-97) and `ssn` (no checksum exists; only context words nearby lift it over the threshold).
+per kind, failing matches dropped without a second try. Two kinds are added: `iban` (of the fixed length
+of its country, confirmed by mod-97) and `ssn` (no checksum exists; only context words nearby lift it over
+the threshold).
 Every span has a score: the kind's own, plus a bonus for context words within CONTEXT characters.
-Base spans are kept at any score.
+Base spans are kept at any score. Only the first four characters of an `iban` are taken as the match, the
+rest is looked ahead for, so a failing number hides none that begins inside it.
 
 The patterns are written so that the Java matcher never goes back: possessive repeats, and a start
 only where a run starts or the previous match ended. They find what the plain patterns find, in
@@ -31,6 +33,23 @@ BLOCK = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 
+#: characters of an account number by country, of the IBAN registry and of countries that use the form without being in it
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "IR IS TR DZ", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU",
+}
+_LISTED = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+#: a number of any length that is an account number's is taken for a country without an entry
+_IBAN = "(?:%s)(?![A-Za-z0-9])" % "|".join(
+    [rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items()]
+    + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"]
+)
+#: no less than what follows a head: 30 signs, a blank before each, one that must not follow, and the context
+TAIL = 2 * 30 + 1 + CONTEXT
+
 #: kind: (pattern, characters without which there is no match, base score, context words)
 KINDS = {
     "email": (
@@ -42,7 +61,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login"),
     "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,}+", None, 0.8, "card|visa|credit|pay"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.6, r"phone|tel\b|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.8, "iban|bank|account"),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9])(?={_IBAN})[A-Z]{{2}}[0-9]{{2}}", None, 0.8, "iban|bank|account"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security|taxpayer"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -151,22 +170,34 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return ends.select("doc_id", F.array_sort(F.concat(*[_spans(k, i) for i, k in enumerate(KINDS)])).alias("spans"))
 
 
+def _tail(kind: str, i: Column) -> Column:
+    """TAIL characters after match i, those of later matches included."""
+    later = lambda of: F.slice(F.col(f"_{of}_{kind}"), i + 2, F.lit(TAIL // 4 + 1))
+    joined = F.zip_with(later("p"), later("m"), lambda p, m: F.concat(F.left(p, F.lit(TAIL)), F.coalesce(m, F.lit(""))))
+    return F.left(F.array_join(joined, ""), F.lit(TAIL))
+
+
 def _spans(kind: str, order: int) -> Column:
     _, _, base, words = KINDS[kind]
     pieces = F.col(f"_p_{kind}")
     typed = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,score:double>>"
 
     def span(match: Column, i: Column) -> Column:
-        near = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)))
-        end = F.get(F.col(f"_e_{kind}"), i)
+        start = F.get(F.col(f"_e_{kind}"), i) - F.length(match)
+        after = F.get(pieces, i + 1)
+        if kind == "iban":
+            tail = _tail(kind, i)
+            head, match = F.length(match), F.regexp_extract(F.concat(match, tail), f"^{_IBAN}", 0)
+            after = F.substr(tail, F.length(match) - head + 1)
+        near = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)))
         score = F.lit(base) + F.when(F.rlike(F.lower(near), F.lit(words)), F.lit(BONUS)).otherwise(F.lit(0.0))
         return F.when(
             CONFIRM[kind](match),
             F.struct(
-                (end - F.length(match)).alias("start"),
+                start.alias("start"),
                 F.lit(order).alias("kind_no"),
                 F.lit(kind).alias("kind"),
-                end.alias("end"),
+                (start + F.length(match)).alias("end"),
                 F.round(F.least(score, F.lit(1.0)), 2).alias("score"),
             ),
         )

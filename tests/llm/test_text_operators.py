@@ -29,6 +29,29 @@ def test_pii_checksums_and_context(docs):
     assert found == [("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")]
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    """What follows a number after a blank is no part of it, nor is a failing number in front."""
+    german, british, spaced = "DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    texts = [
+        (f"IBAN {german} Please pay", [german]),
+        (f"{german} I paid", [german]),
+        (f"IBAN {spaced} BIC COBADEFFXXX", [spaced]),
+        (f"{british} 12 May", [british]),
+        (f"{german} {british} {spaced}", [german, british, spaced]),
+        (f"NO12 {german} A", [german]),
+        (f"é {spaced} {british}x {german}1", [spaced]),
+        ("DE88370400440532013000 Please", []),
+        ("DE8937040044053201300 0 1", ["DE8937040044053201300 0"]),
+        (" ".join([german] * 300), [german] * 300),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    spans = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_spans(df).collect()}
+    assert {i: [t[s["start"] : s["end"]] for s in spans[i]] for i, (t, _) in enumerate(texts)} == {
+        i: found for i, (_, found) in enumerate(texts)
+    }
+    assert [spans[i][0]["score"] for i in (0, 1, 3)] == [1.0, 0.8, 0.8]
+
+
 def test_pii_fuzz(spark, result):
     rng = random.Random(2)
     parts = ["a", "@", ".", "-", "1", "23", " ", "+", "(", "%", "_", "b.c", "4111 1111 1111 1111", "1.2.3.4", "é", "x@y.z"]
