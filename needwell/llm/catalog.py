@@ -1,3 +1,17 @@
 """Imports every module that registers queries."""
 
-from . import bpe, chat, contamination, licenses, lines, near_dedup, pii, quality, repeats, sharding  # noqa: F401
+from . import (  # noqa: F401
+    bpe,
+    chat,
+    contamination,
+    licenses,
+    lines,
+    manifest,
+    near_dedup,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    spelling,
+    toxicity,
+)

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = set(entry_module.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.QUERIES} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in registry.QUERIES} and "pipeline" in names
     assert set(registry.QUERIES) <= names and set(registry.SQL) <= set(entry_module.oracle_sql())
 
 
