@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +10,10 @@ from pyspark.sql import types as T
 
 from needwell.functions.text import clean_text
 from needwell.functions.urls import host_name
+from needwell.operators.connect import connected
+from needwell.operators.names import FUZZY_THRESHOLD, name_classes, similar_names
 from needwell.operators.rules import join_present, with_registered_domain
-
-# Fixed value: similarity in percent from which two names are flagged.
-FUZZY_THRESHOLD = 92
+from needwell.session import staged
 
 # --- duplicates and merging ------------------------------------------------------
 
@@ -24,12 +23,6 @@ def name_key(name: Column) -> Column:
     return F.lower(clean_text(name))
 
 
-def name_tokens(name: Column) -> Column:
-    """Sorted distinct words of a name."""
-    words = F.filter(F.split(F.lower(name), r"(?U)[^\w]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(words))
-
-
 def completeness(df: DataFrame, ignore: Sequence[str] = ("id",)) -> Column:
     """Number of filled fields of a row."""
     total = F.lit(0)
@@ -46,17 +39,20 @@ def completeness(df: DataFrame, ignore: Sequence[str] = ("id",)) -> Column:
     return total
 
 
-def with_merge_key(companies: DataFrame, by: str) -> DataFrame:
-    """Adds ``_key``; rows without one get a key of their own and stay alone."""
-    keys = {
+def _merge_keys() -> dict[str, Column]:
+    """What rows of one company share, by pass; NULL where a row has nothing to share."""
+    return {
         "domain": F.nullif(F.lower("domain"), F.lit("")),
         "name_city": F.when(
             (F.coalesce("business_name", F.lit("")) != "") & (F.coalesce("city", F.lit("")) != ""),
             F.concat_ws("\x01", name_key(F.col("business_name")), F.lower("city")),
         ),
     }
-    alone = F.concat(F.lit("\x02"), F.col("id"))
-    return companies.withColumn("_key", F.coalesce(keys[by], alone))
+
+
+def with_merge_key(companies: DataFrame, by: str) -> DataFrame:
+    """Adds ``_key``; rows without one get a key of their own and stay alone."""
+    return companies.withColumn("_key", F.coalesce(_merge_keys()[by], F.concat(F.lit("\x02"), F.col("id"))))
 
 
 def _order(companies: DataFrame) -> Column:
@@ -65,48 +61,58 @@ def _order(companies: DataFrame) -> Column:
 
 
 def merge_companies(companies: DataFrame, by: str) -> DataFrame:
-    """One row per key: the most complete row, gaps filled from the next ones, lists united.
+    """One row per key: the most complete row, gaps filled from the next ones, lists united."""
+    return merge_groups(with_merge_key(companies, by)).drop("_key")
+
+
+def merge_groups(keyed: DataFrame) -> DataFrame:
+    """One row per ``_key``: the most complete row, gaps filled from the next ones.
 
-    Scalars reduce with map-side combine. List items are made distinct before
-    they are gathered, so a group of copies does not grow an array.
+    Scalars reduce with map-side combine. Lists are united item by item: items are made
+    distinct before they are gathered, so what one row holds in the end is what its
+    list holds, however many rows the group has.
     """
-    keyed = with_merge_key(companies, by)
-    order = _order(companies)
-    lists = [f.name for f in companies.schema if isinstance(f.dataType, T.ArrayType)]
-    scalars = [c for c in companies.columns if c not in lists]
-    ranked = keyed.withColumn("_order", order)
+    columns = [c for c in keyed.columns if c != "_key"]
+    lists = [f.name for f in keyed.schema if isinstance(f.dataType, T.ArrayType)]
+    ranked = keyed.withColumn("_order", _order(keyed.drop("_key")))
 
     def present(name: str) -> Column:
-        blank = isinstance(companies.schema[name].dataType, T.StringType)
+        blank = isinstance(keyed.schema[name].dataType, T.StringType)
         return (F.coalesce(F.col(name), F.lit("")) != "") if blank else F.col(name).isNotNull()
 
     merged = ranked.groupBy("_key").agg(
-        *[F.max_by(F.col(c), F.when(present(c), F.col("_order"))).alias(c) for c in scalars]
+        *[F.max_by(F.col(c), F.when(present(c), F.col("_order"))).alias(c) for c in columns if c not in lists]
     )
     if lists:
-
-        def labelled(name: str) -> Column:
-            values = F.coalesce(F.col(name), F.array().cast("array<string>"))
-            return F.transform(values, lambda x: F.struct(F.lit(name).alias("_field"), x.alias("_item")))
-
-        stacked = F.flatten(F.array(*[labelled(c) for c in lists]))
-        items = keyed.select("_key", F.inline(stacked)).distinct()
-        united = items.groupBy("_key").agg(
-            *[F.array_sort(F.collect_set(F.when(F.col("_field") == c, F.col("_item")))).alias(c) for c in lists]
+        united = list_items(keyed).groupBy("_key").agg(
+            *[F.array_sort(F.collect_list(F.when(F.col("field") == c, F.col("item")))).alias(c) for c in lists]
         )
         merged = merged.join(united, "_key", "left")
     empty = F.array().cast("array<string>")
-    return merged.select(
-        *[F.coalesce(F.col(c), empty).alias(c) if c in lists else F.col(c) for c in companies.columns]
-    )
+    return merged.select("_key", *[F.coalesce(F.col(c), empty).alias(c) if c in lists else F.col(c) for c in columns])
+
+
+def list_items(keyed: DataFrame) -> DataFrame:
+    """The distinct list items of each group as rows: _key, field, item."""
+    lists = [f.name for f in keyed.schema if isinstance(f.dataType, T.ArrayType)]
+
+    def labelled(name: str) -> Column:
+        values = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return F.transform(values, lambda x: F.struct(F.lit(name).alias("field"), x.alias("item")))
+
+    return keyed.select("_key", F.inline(F.flatten(F.array(*[labelled(c) for c in lists])))).distinct()
 
 
 def merge_log(companies: DataFrame, by: str) -> DataFrame:
     """Which row each merged row went into: (kept_id, merged_id, rule)."""
-    keyed = with_merge_key(companies, by).select("_key", "id", _order(companies).alias("_order"))
-    kept = keyed.groupBy("_key").agg(F.max_by("id", "_order").alias("kept_id"))
-    joined = keyed.join(kept, "_key").where(F.col("id") != F.col("kept_id"))
-    return joined.select("kept_id", F.col("id").alias("merged_id"), F.lit(by).alias("rule"))
+    return _decided(with_merge_key(companies, by), F.lit(by))
+
+
+def _decided(keyed: DataFrame, rule: Column) -> DataFrame:
+    rows = keyed.select("_key", "id", _order(keyed.drop("_key", "_rule")).alias("_order"), rule.alias("rule"))
+    kept = rows.groupBy("_key").agg(F.max_by("id", "_order").alias("kept_id"))
+    joined = rows.join(kept, "_key").where(F.col("id") != F.col("kept_id"))
+    return joined.select("kept_id", F.col("id").alias("merged_id"), "rule")
 
 
 def merge_in_passes(companies: DataFrame, suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +130,50 @@ def merge_in_passes(companies: DataFrame, suffixes: DataFrame) -> tuple[DataFram
     return merge_companies(once, "name_city"), first.unionByName(second)
 
 
+def company_links(companies: DataFrame, fuzzy: float | None = FUZZY_THRESHOLD) -> DataFrame:
+    """a, b, rule: pairs that hold groups of one company together.
+
+    Every row of a key is tied to the smallest id of that key, so a key of n rows makes n - 1
+    pairs; similar names tie their classes and a class its members. ``fuzzy=None`` leaves names out.
+    """
+    tied = []
+    for rule, key in _merge_keys().items():
+        rows = companies.select("id", key.alias("_k")).where(F.col("_k").isNotNull())
+        first = rows.groupBy("_k").agg(F.min("id").alias("b"))
+        tied.append(rows.join(first, "_k").select(F.col("id").alias("a"), "b", F.lit(rule).alias("rule")))
+    if fuzzy is not None and {"city", "country"} <= set(companies.columns):
+        members = name_classes(companies).select(F.col("id").alias("a"), F.col("class_id").alias("b"))
+        pairs = similar_names(companies, fuzzy).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        tied.append(members.unionByName(pairs).withColumn("rule", F.lit("similar_name")))
+    links = tied[0]
+    for more in tied[1:]:
+        links = links.unionByName(more)
+    return links.where("a != b")
+
+
+def merge_connected(
+    companies: DataFrame, suffixes: DataFrame, fuzzy: float | None = FUZZY_THRESHOLD
+) -> tuple[DataFrame, DataFrame]:
+    """Companies merged over all passes at once, and the decision for every merged row.
+
+    Rows belong together if a chain of shared domains, of shared names in a city, or of similar
+    names leads from one to the other, whichever pass finds each step. A row without a domain takes that of
+    its website. A decision names the row that is left in the end and the first
+    pass, cheapest first, that ties the merged row to any other.
+    """
+    sited = with_registered_domain(companies, "website", suffixes, out="_site")
+    named = sited.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), F.col("_site"))).select(*companies.columns)
+    named = staged(named, "companies")
+    links = staged(company_links(named, fuzzy), "company-links")
+    groups = connected(links.select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("_label"))
+    order = F.when(F.col("rule") == "domain", 0).when(F.col("rule") == "name_city", 1).otherwise(2)
+    ends = links.select(F.col("a").alias("id"), "rule").unionByName(links.select(F.col("b").alias("id"), "rule"))
+    rules = ends.groupBy("id").agg(F.min_by("rule", order).alias("_rule"))
+    keyed = named.join(groups, "id", "left").join(rules, "id", "left")
+    keyed = staged(keyed.select(*named.columns, F.coalesce("_label", "id").alias("_key"), "_rule"), "company-groups")
+    return merge_groups(keyed.drop("_rule")).drop("_key"), _decided(keyed, F.col("_rule"))
+
+
 def repoint_links(leads: DataFrame, decisions: DataFrame, link: str = "lead_id") -> DataFrame:
     """Leads whose link follows a merged company to the kept one."""
     moved = decisions.select(F.col("merged_id").alias(link), F.col("kept_id").alias("_kept"))
@@ -131,104 +181,6 @@ def repoint_links(leads: DataFrame, decisions: DataFrame, link: str = "lead_id")
     return joined.withColumn(link, F.coalesce("_kept", link)).select(*leads.columns)
 
 
-def _without(sets: DataFrame, drops: int) -> DataFrame:
-    """Token sets with every choice of ``drops`` (0, 1 or 2) tokens left out, as ``key``."""
-    tokens = F.col("tokens")
-    if drops == 0:
-        return sets.select("country", "city", tokens.alias("key"), "id")
-    positions = F.sequence(F.lit(0), F.size(tokens) - 1)
-    if drops == 1:
-        choices = F.transform(positions, lambda i: F.array(i))
-    else:
-        later = F.transform(
-            positions, lambda i: F.transform(F.filter(positions, lambda j: j > i), lambda j: F.array(i, j))
-        )
-        choices = F.flatten(later)
-    chosen = sets.select("country", "city", "tokens", "id", F.explode(choices).alias("_out"))
-    kept = F.filter("tokens", lambda _, i: ~F.array_contains("_out", i))
-    return chosen.select("country", "city", kept.alias("key"), "id")
-
-
-def similar_names(companies: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
-    """Pairs of companies of one city whose name tokens overlap by the threshold.
-
-    Similarity is 200·common / (tokens of both). Equal token sets are collapsed to
-    their smallest id first and reported against it. From there on every pair that
-    qualifies falls in exactly one place by the number of tokens that differ:
-
-    * one or two: both sides offer the tokens they may have in common, and equal
-      offers are a match. Each joined row is a result, there are no candidates;
-    * three and more, possible for very long names only: names that share one of
-      their rarest tokens are compared (prefix filter).
-    """
-    place = ["country", "city"]
-    rows = companies.select(
-        F.coalesce(F.lower("country"), F.lit("")).alias("country"),
-        F.coalesce(F.lower("city"), F.lit("")).alias("city"),
-        F.col("id"),
-        name_tokens(F.col("business_name")).alias("tokens"),
-    ).where(F.size("tokens") > 0)
-    sets = rows.groupBy(*place, "tokens").agg(F.min("id").alias("id"))
-    kept = sets.select(*place, "tokens", F.col("id").alias("id_a"))
-    found = (
-        rows.join(kept, [*place, "tokens"])
-        .where(F.col("id") != F.col("id_a"))
-        .select("id_a", F.col("id").alias("id_b"), F.lit(100.0).alias("similarity"))
-    )
-
-    t = threshold / 100
-    n = F.size("tokens")
-
-    def common_needed(differing: int) -> int:
-        return math.ceil(differing * t / (2 * (1 - t)) - 1e-9)
-
-    for left_drops, right_drops in ((0, 1), (0, 2), (1, 1)):
-        differing = left_drops + right_drops
-        least = common_needed(differing)
-        left = _without(sets.where(n >= least + left_drops), left_drops).withColumnRenamed("id", "id_l")
-        right = _without(sets.where(n >= least + right_drops), right_drops).withColumnRenamed("id", "id_r")
-        matched = left.join(right, [*place, "key"])
-        if left_drops == right_drops:
-            matched = matched.where(F.col("id_l") < F.col("id_r"))
-        common = F.size("key")
-        found = found.unionByName(
-            matched.select(
-                F.least("id_l", "id_r").alias("id_a"),
-                F.greatest("id_l", "id_r").alias("id_b"),
-                (F.lit(200.0) * common / (2 * common + differing)).alias("similarity"),
-            )
-        )
-    return found.unionByName(_similar_long_names(sets.where(n >= common_needed(3)), t))
-
-
-def _similar_long_names(sets: DataFrame, t: float) -> DataFrame:
-    """Pairs that differ in three tokens or more, among sets long enough for that."""
-    place = ["country", "city"]
-    single = sets.select(*place, "id", "tokens", F.explode("tokens").alias("token"))
-    frequency = single.groupBy(*place, "token").count()
-    marked = (
-        single.join(frequency, [*place, "token"])
-        .groupBy(*place, "id", "tokens")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("_rare"))
-    )
-    n = F.size("tokens")
-    needed = F.ceil(n * F.lit(t / (2 - t)) - 1e-9)
-    prefix = F.slice(F.transform("_rare", lambda r: r["token"]), 1, (n - needed + 1).cast("int"))
-    blocks = marked.select(*place, "id", "tokens", F.explode(prefix).alias("token"))
-    a = blocks.select(*place, "token", F.col("id").alias("id_a"), F.col("tokens").alias("ta"))
-    b = blocks.select(*place, "token", F.col("id").alias("id_b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    both = F.size("ta") + F.size("tb")
-    return (
-        a.join(b, [*place, "token"])
-        .where(F.col("id_a") < F.col("id_b"))
-        .where(F.abs(F.size("ta") - F.size("tb")) <= F.lit(1 - t) * both)
-        .where((both - 2 * common >= 3) & (F.lit(200.0) * common >= F.lit(100 * t) * both))
-        .select("id_a", "id_b", (F.lit(200.0) * common / both).alias("similarity"))
-        .distinct()
-    )
-
-
 # --- profile fit ------------------------------------------------------------------
 
 FACTORS = (
@@ -385,45 +337,89 @@ SITE_COLUMNS = {
 def purge_tables(tables: Mapping[str, DataFrame], domains: DataFrame) -> dict[str, DataFrame]:
     """Stored tables without the rows that name a purged domain, or one below it, in any column.
 
-    Hosts are looked up once each, however many rows share one, and no table needs a key.
+    The hosts of all site columns are gathered in one pass and looked up once each, however many rows
+    share one. The rows are read once more and meet the hosts that have to go, column by column.
     """
     listed = domains.select(F.lower("domain").alias("_d")).distinct()
     left = {}
     for name, rows in tables.items():
-        for column in SITE_COLUMNS[name]:
-            hosted = rows.withColumn("_host", F.nullif(host_name(F.col(column)), F.lit("")))
-            hosts = hosted.select("_host").where(F.col("_host").isNotNull()).distinct()
-            above = hosts.select("_host", F.explode(host_tails(F.col("_host"))).alias("_d"))
-            gone = above.join(listed, "_d", "left_semi").select("_host").distinct()
-            rows = hosted.join(gone, "_host", "left_anti").select(*rows.columns)
-        left[name] = rows
+        columns = SITE_COLUMNS[name]
+        hosts = rows.select(F.explode(F.array_distinct(F.array(*[_host(c) for c in columns]))).alias("_host"))
+        hosts = hosts.where(F.col("_host").isNotNull()).distinct()
+        above = hosts.select("_host", F.explode(host_tails(F.col("_host"))).alias("_d"))
+        gone = staged(above.join(listed, "_d", "left_semi").select("_host").distinct(), "gone")
+        kept = rows
+        for column in columns:
+            kept = kept.join(gone, _host(column) == gone["_host"], "left_anti")
+        left[name] = kept
     return left
 
 
+def _host(column: str) -> Column:
+    return F.nullif(host_name(F.col(column)), F.lit(""))
+
+
 # --- enrichment of companies and links --------------------------------------------
 
 
-def classify_industry(companies: DataFrame, taxonomy: DataFrame, longest: int = 4) -> DataFrame:
-    """Industry with most keyword hits in name, description and lists; ties by name.
+def phrase_trie(taxonomy: DataFrame) -> DataFrame:
+    """node, word, next, industry: the phrases (keyword, industry) as paths from the node ''.
 
-    ``taxonomy`` holds (keyword, industry); a keyword is a phrase of ``longest`` words at most.
-    A phrase counts where its words follow each other within one field.
+    A node is named by the words that lead to it; ``industry`` is set where a phrase ends.
     """
-    fields = F.concat(F.array("business_name", "description"), F.coalesce("keywords", F.array().cast("array<string>")))
-    words = lambda text: F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower("keyword"), r"(?U)[^\w]+"), lambda w: w != "")
+    phrases = taxonomy.select(words.alias("w"), "industry").where(F.size("w") > 0).distinct()
+    join = lambda n: F.array_join(F.slice("w", F.lit(1), n), " ")
+    steps = phrases.select("*", F.posexplode("w").alias("i", "word"))
+    steps = steps.select(
+        join(F.col("i")).alias("node"),
+        "word",
+        join(F.col("i") + 1).alias("next"),
+        F.when(F.col("i") == F.size("w") - 1, F.col("industry")).alias("industry"),
+    )
+    return steps.distinct()
 
-    def phrases(text: Column) -> Column:
-        own = words(text)
-        runs = F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(own, lambda _, i: F.array_join(F.slice(own, i + 1, n), " ")),
-        )
-        return F.flatten(runs)
 
-    found = F.array_distinct(F.flatten(F.transform(F.filter(fields, lambda t: t.isNotNull()), phrases)))
-    offered = companies.select("id", F.explode(found).alias("keyword"))
-    tidy = taxonomy.select(F.array_join(words(F.col("keyword")), " ").alias("keyword"), F.col("industry").alias("_sector")).distinct()
-    hits = offered.join(tidy, "keyword").groupBy("id", "_sector").agg(F.count(F.lit(1)).alias("n"))
+def phrases_found(texts: DataFrame, trie: DataFrame) -> DataFrame:
+    """id, phrase, industry: from each word of (id, field) the longest phrase of the trie that begins there.
+
+    The trie is walked a level at a time: a place in a text goes on to the next level only if
+    its words so far begin some phrase, and takes along the words that the longest phrase could need.
+    """
+    trie = staged(trie, "trie")
+    depth = trie.agg(F.max(F.size(F.split("next", " ")))).first()[0] or 0
+    words = F.filter(F.split(F.lower("field"), r"(?U)[^\w]+"), lambda w: w != "")
+    fields = texts.withColumn("_w", words).select("id", F.monotonically_increasing_id().alias("_f"), "_w")
+    places = fields.select("id", "_f", F.posexplode("_w").alias("_at", "word"), "_w").select(
+        "id", "_f", "_at", "word", F.slice("_w", F.col("_at") + 2, F.lit(max(depth - 1, 1))).alias("_rest")
+    )
+    open_, found = places.withColumn("node", F.lit("")), None
+    steps = trie.select("node", "word", "next").distinct()
+    ends = trie.where("industry IS NOT NULL").select(F.col("next").alias("phrase"), "industry").distinct()
+    for level in range(depth):
+        walked = staged(open_.join(steps, ["node", "word"]), "phrases")
+        reached = walked.select("id", "_f", "_at", F.lit(level).alias("_level"), F.col("next").alias("phrase"))
+        reached = reached.join(ends.select("phrase").distinct(), "phrase", "left_semi")
+        found = reached if found is None else found.unionByName(reached)
+        open_ = walked.where(F.size("_rest") > 0).select(
+            "id", "_f", "_at", F.col("next").alias("node"),
+            F.element_at("_rest", 1).alias("word"), F.slice("_rest", F.lit(2), F.size("_rest")).alias("_rest"),
+        )
+    if found is None:
+        return texts.select("id", F.col("field").alias("phrase"), F.lit(None).cast("string").alias("industry")).limit(0)
+    longest = found.groupBy("id", "_f", "_at").agg(F.max_by("phrase", "_level").alias("phrase"))
+    return longest.select("id", "phrase").distinct().join(ends, "phrase").select("id", "phrase", "industry")
+
+
+def classify_industry(companies: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Industry with most keyword hits in name, description and lists; ties by name.
+
+    ``taxonomy`` holds (keyword, industry); a keyword is a phrase of any number of words, and counts where
+    its words follow each other within one field and no longer phrase begins at the same word.
+    """
+    fields = F.concat(F.array("business_name", "description"), F.coalesce("keywords", F.array().cast("array<string>")))
+    found = phrases_found(companies.select("id", F.explode(fields).alias("field")), phrase_trie(taxonomy))
+    hits = found.groupBy("id", F.col("industry").alias("_sector")).agg(F.count(F.lit(1)).alias("n"))
     best = hits.groupBy("id").agg(F.min_by("_sector", F.struct(-F.col("n"), F.col("_sector"))).alias("_industry"))
     joined = companies.join(best, "id", "left")
     return joined.withColumn("industry", F.coalesce("_industry", "industry")).drop("_industry")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +33,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="needwell-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir; a private one only for a session on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="needwell-")
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+    return _own_dir()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a frame, written to the shared folder and read back: they are worked out once."""
+    path = f"{shared_dir(df.sparkSession)}/needwell/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

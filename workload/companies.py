@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needwell.operators import company, rules, runs
+from needwell.operators import company, ingest, names, rules, runs
+from needwell.functions.urls import host_name
 from workload import dialect as q
+from workload.ingest import tagged
 from workload.leads import RESCORED, UPSERT_SQL, merged_leads, rescored
 from workload.registry import query, table
 from workload.runs import ATTEMPTS_SQL, attempts
+from workload.views import now
 
 
 
@@ -52,6 +57,7 @@ _FILLED = " + ".join(f"(coalesce({n}, '') <> '')::INT" for n in _EXPR if n != "i
 _KEYS = {
     "domain": "coalesce(nullif(lower(domain), ''), '#' || id)",
     "name_city": "lower(business_name) || '|' || lower(city)",
+    "label": "label",
 }
 
 
@@ -159,33 +165,119 @@ def pass_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chain(spark, sf_dir)[1]
 
 
-_FUZZY_NAME = """concat(CASE WHEN c_custkey % 2 = 0 THEN 'The ' ELSE '' END, 'Bright Oak ', c_mktsegment,
-    ' Retail And Media Holding Group ', c_custkey % 40, CASE WHEN c_custkey % 5 = 0 THEN ' GmbH' ELSE '' END,
-    CASE WHEN c_custkey % 11 = 0 THEN ' one two three four five six seven eight' ELSE '' END)"""
+_WORDS = ("Bright Oak", "Acme", "Globex Studio", "Nord", "Bread & Co", "Pixel Media Lab", "Quiet", "Oak", "Harbour Light", "Blue Acme", "Fern", "Studio Nord", "Media")
+_SHORT_NAME = f"""concat_ws(' ', element_at({{words}}, CAST(c_custkey % {len(_WORDS)} + 1 AS INT)), CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Group' END, CASE WHEN c_custkey % 5 = 0 THEN 'GmbH' END, CASE WHEN c_custkey % 7 > 2 THEN concat('N', c_custkey % 37) END)"""
+_SHORT = _SHORT_NAME.format(words="array(" + ", ".join(f"'{w}'" for w in _WORDS) + ")")
+_SHORT_SQL = _SHORT_NAME.format(words="[" + ", ".join(f"'{w}'" for w in _WORDS) + "]").replace("element_at", "list_extract")
+
+
+def _similar_ctes(rows: str) -> tuple[tuple[str, str], ...]:
+    """Word sets of (id, business_name, city, country), their classes, and similar classes of a place."""
+    joined = lambda words: f"(list_sum(list_transform({words}, lambda w: length(w))) + len({words}) - 1)"
+    rest = lambda a: f"list_filter({a}.tok, lambda w: NOT list_contains(m, w))"
+    return (
+        ("c", rf"""SELECT id, lower(city) AS city, lower(country) AS country, list_sort(list_distinct(list_filter(
+            regexp_split_to_array(lower(business_name), '[^a-z0-9_]+'), lambda w: w <> ''))) AS tok FROM {rows}"""),
+        ("s", "SELECT city, country, tok, min(id) AS id, count(*) AS n FROM c GROUP BY ALL"),
+        ("p", f"""SELECT a.id AS id_a, b.id AS id_b, {joined('m')} AS same,
+            least(coalesce({joined(rest('a'))}, 0), coalesce({joined(rest('b'))}, 0)) AS rest
+          FROM (SELECT s AS a, t AS b, list_intersect(s.tok, t.tok) AS m FROM s JOIN s t ON s.city = t.city AND s.country = t.country AND s.id < t.id)
+          WHERE len(m) > 0"""),
+        ("alike", """SELECT id_a, id_b, CASE WHEN rest <= 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * same / (2 * same + 1 + rest) END AS similarity FROM p
+          WHERE rest <= 0 OR 200.0::DOUBLE * same / (2 * same + 1 + rest) >= 92"""),
+    )
+
+
+_NAMED_ROWS = ("named_rows", f"SELECT concat('c', c_custkey) AS id, {_SHORT_SQL} AS business_name, concat('City ', c_nationkey) AS city, 'Land' AS country FROM customer")
+
+
+def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.expr("concat('c', c_custkey)").alias("id"),
+        F.expr(_SHORT).alias("business_name"),
+        F.expr("concat('City ', c_nationkey)").alias("city"),
+        F.lit("Land").alias("country"),
+    )
 
 
 @query(
     "similar_companies",
-    rf"""WITH c AS (SELECT concat('c', c_custkey) AS id, concat('city ', c_nationkey) AS city,
-        list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_FUZZY_NAME}), '[^a-z0-9_]+'), lambda w: w <> ''))) AS tok FROM customer),
-      s AS (SELECT city, tok, min(id) AS id FROM c GROUP BY city, tok),
-      p AS (SELECT a.id AS id_a, b.id AS id_b, len(a.tok) + len(b.tok) AS n, len(list_intersect(a.tok, b.tok)) AS m
-            FROM s a JOIN s b ON a.city = b.city AND a.id < b.id)
-    SELECT id_a, id_b, round(20000.0::DOUBLE * m / n)::BIGINT AS similarity FROM p WHERE 200 * m >= 92 * n
-    UNION ALL SELECT s.id, c.id, 10000 FROM c JOIN s ON s.city = c.city AND s.tok = c.tok WHERE c.id <> s.id""",
+    f"{q.with_ctes(_NAMED_ROWS, *_similar_ctes('named_rows'))} SELECT id_a, id_b, round(similarity * 100)::BIGINT AS similarity FROM alike",
 )
 def similar_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nearly equal names inside one city, similarity in hundredths of a percent."""
-    c = table(spark, sf_dir, "customer").select(
-        F.expr("concat('c', c_custkey)").alias("id"),
-        F.expr(_FUZZY_NAME).alias("business_name"),
-        F.expr("concat('city ', c_nationkey)").alias("city"),
-        F.lit("land").alias("country"),
-    )
-    pairs = company.similar_names(c)
+    """Pairs of names of a city that say the same in more or fewer words, in hundredths of a percent.
+
+    Each name stands for all companies that have its words.
+    """
+    pairs = names.similar_names(_named_rows(spark, sf_dir))
     return pairs.withColumn("similarity", F.round(F.col("similarity") * 100).cast("bigint"))
 
 
+@query(
+    "company_name_links",
+    f"""{q.with_ctes(_NAMED_ROWS, *_similar_ctes('named_rows'), ('ends', 'SELECT id_a AS id FROM alike UNION ALL SELECT id_b FROM alike'))}
+    SELECT c.id, s.id AS class_id, (SELECT count(*) FROM ends WHERE ends.id = s.id) AS links FROM c JOIN s USING (city, country, tok)""",
+)
+def company_name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every named company, and how many classes are similar to it."""
+    return names.name_links(_named_rows(spark, sf_dir))
+
+
+# three rows in a row share a domain, half of them by their website only; names are shared or similar across these
+_TIED = {
+    "business_name": "concat('Oak', c_custkey % 53, ' ', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN ' Group' ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN ' Holding' ELSE '' END)",
+    "domain": "CASE WHEN c_custkey % 2 = 0 OR c_custkey % 5 = 0 THEN NULL ELSE concat('T', CAST(floor(c_custkey / 3) AS BIGINT), '.co.uk') END",
+    "website": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('https://www.t', CAST(floor(c_custkey / 3) AS BIGINT), '.co.uk/') END",
+}
+
+
+def _tied_ctes() -> tuple[tuple[str, str], ...]:
+    tied = {**_EXPR, **_INTS, **_TIED}
+    tied["domain"] = f"coalesce({_TIED['domain']}, regexp_extract({_TIED['website']}, 'www[.](.*)/', 1))"
+    columns = ", ".join(f"nullif({e}, '') AS {n}" if n == "domain" else f"{e} AS {n}" for n, e in tied.items())
+    lists = "[lower(c_mktsegment), concat('k', c_custkey % 7)] AS keywords, ['shopify', concat('t', c_custkey % 3)] AS tech_stack"
+    return (
+        ("tied", f"SELECT {columns}, {lists} FROM customer"),
+        *_similar_ctes("tied"),
+        ("classes", "SELECT c.id, s.id AS class_id, s.n FROM c JOIN s USING (city, country, tok)"),
+        ("links", """SELECT a.id AS x, b.id AS y, 'domain' AS rule FROM tied a JOIN tied b ON lower(a.domain) = lower(b.domain) AND a.id <> b.id
+          UNION ALL SELECT a.id, b.id, 'name_city' FROM tied a JOIN tied b ON lower(a.business_name) = lower(b.business_name) AND lower(a.city) = lower(b.city) AND a.id <> b.id
+          UNION ALL SELECT id, class_id, 'similar_name' FROM classes WHERE n > 1
+          UNION ALL SELECT class_id, id, 'similar_name' FROM classes WHERE n > 1
+          UNION ALL SELECT id_a, id_b, 'similar_name' FROM alike UNION ALL SELECT id_b, id_a, 'similar_name' FROM alike"""),
+        ("steps", "SELECT DISTINCT x, y FROM links"),
+        ("reach", "SELECT id AS x, id AS y FROM tied UNION SELECT reach.x, steps.y FROM reach JOIN steps ON steps.x = reach.y"),
+        ("labels", "SELECT x AS id, min(y) AS label FROM reach GROUP BY x"),
+        ("ruled", "SELECT x AS id, min(rule) AS own_rule FROM links GROUP BY x"),
+        ("labelled", "SELECT tied.*, label FROM tied JOIN labels USING (id)"),
+        *_merge_ctes("labelled", "label", "joined"),
+    )
+
+
+def _tied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return company.merge_connected(companies(spark, sf_dir, _TIED), rules.default_suffixes(spark))
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("connected_companies", f"{_recursive(q.with_ctes(*_tied_ctes()))} SELECT {_ROW_SQL} FROM joined")
+def connected_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies merged along chains of shared domains, shared names and similar names."""
+    return _rows(_tied(spark, sf_dir)[0])
+
+
+@query(
+    "connected_decisions",
+    f"{_recursive(q.with_ctes(*_tied_ctes()))} SELECT kept_id, merged_id, own_rule AS rule FROM joined_log JOIN ruled ON ruled.id = merged_id",
+)
+def connected_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which company each merged one ended in, and the first pass that ties it to another."""
+    return _tied(spark, sf_dir)[1]
+
+
 PROFILES = (
     {
         "name": "shops",
@@ -268,13 +360,13 @@ def purged_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies left after purging a list of domains from URLs and addresses."""
     gone = table(spark, sf_dir, "nation").select(F.expr("concat('d', n_nationkey * 7, '.example.com')").alias("domain"))
     rows = companies(spark, sf_dir)
-    from needwell.functions.urls import host_name
-
     hosts = [host_name(F.col("website")), F.substring_index("email", "@", -1)]
     return company.purge_domains(rows, gone, hosts, "id").select("id")
 
 
-_OPTED_OUT = ("bakery-shop.example", "d7.example.com", "Example.org")
+_OPTED_OUT = ("bakery-shop.example", "d7.example.com", "Example.org", "User-3.Social.example")
+# rejected posts of a user stand below a host of their own
+_OWN_HOST = (r"social\.example/posts/(user-\d)_", "www.$1.social.example/")
 
 
 @query(
@@ -283,6 +375,7 @@ _OPTED_OUT = ("bakery-shop.example", "d7.example.com", "Example.org")
     SELECT 'leads' AS tab, count(*) AS n FROM merged WHERE NOT regexp_matches(lower(concat_ws(' ', contact_email, website)),
       '[@./](bakery-shop[.]example|example[.]org)( |/|$)')
     UNION ALL SELECT 'companies', count(*) FROM companies WHERE coalesce(domain, '') <> 'd7.example.com' AND coalesce(email, '') <> 'info@mail.d7.example.com'
+    UNION ALL SELECT 'rejects', count(*) FROM tagged WHERE reason IS NOT NULL AND post_url NOT LIKE 'https://social.example/posts/user-3%'
     UNION ALL SELECT 'progress', count(*) FROM (SELECT DISTINCT source, query, url FROM attempts WHERE outcome = 'ok')""",
 )
 def purged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,11 +383,12 @@ def purged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {
         "leads": merged_leads(spark, sf_dir),
         "companies": companies(spark, sf_dir),
+        "rejects": ingest.reject_rows(tagged(spark, sf_dir), now()).withColumn("source_url", F.regexp_replace("source_url", *_OWN_HOST)),
         "progress": runs.seen_urls(attempts(spark, sf_dir)),
     }
     left = company.purge_tables(tables, spark.createDataFrame([(d,) for d in _OPTED_OUT], "domain STRING"))
     counted = [rows.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n")) for name, rows in left.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return reduce(DataFrame.unionByName, counted)
 
 
 _TAXONOMY = (("furniture", "home"), ("household", "home"), ("machinery", "industry"), ("building", "industry"), ("seo", "marketing"), ("automobile", "vehicles"), ("group", "holding"))
@@ -314,6 +408,34 @@ def company_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company.classify_industry(companies(spark, sf_dir), taxonomy).select("id", "industry")
 
 
+_PHRASES = (
+    ("we sell", "trade"), ("we sell furniture and seo", "home"), ("sell household and seo", "home"), ("acme building group", "construction"),
+    ("Acme  AUTOMOBILE Group 7", "vehicles"), ("seo", "marketing"), ("and seo", "marketing"), ("machinery", "industry"), ("sell machinery and seo or more", "never"),
+    ("long list of six given words", "lists"),
+)
+
+
+@query(
+    "company_phrases",
+    f"""{q.with_ctes(COMPANIES_SQL,
+      ('tax', 'SELECT k, len(k) AS n, sector FROM (SELECT DISTINCT regexp_split_to_array(lower(keyword), ' + q.lit('[^a-z0-9_]+') + ') AS k, sector FROM (VALUES '
+        + ', '.join(f"({q.lit(k)}, {q.lit(i)})" for k, i in _PHRASES) + ') AS t(keyword, sector))'),
+      ('fields', "SELECT id, unnest([business_name, concat(description, CASE WHEN data_quality_score % 3 = 0 THEN ', a long list of six given words' ELSE '' END)] || keywords) AS field FROM companies"),
+      ('tok', "SELECT id, row_number() OVER () AS f, list_filter(regexp_split_to_array(lower(field), '[^a-z0-9_]+'), lambda w: w <> '') AS w FROM fields"),
+      ('spots', 'SELECT id, f, w, unnest(range(1, len(w) + 1)) AS i FROM tok'),
+      ('hit', 'SELECT id, f, i, tax.k, sector, n FROM spots JOIN tax ON w[i : i + n - 1] = tax.k'),
+      ('longest', 'SELECT DISTINCT id, k, sector FROM hit QUALIFY rank() OVER (PARTITION BY id, f, i ORDER BY n DESC) = 1'),
+      ('votes', 'SELECT id, sector, count(*) AS n FROM longest GROUP BY 1, 2'))}
+    SELECT id, sector AS industry FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, sector) = 1""",
+)
+def company_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industry by phrases of one to six words, the longest that begins at a word winning."""
+    taxonomy = spark.createDataFrame(list(_PHRASES), "keyword STRING, industry STRING")
+    more = F.when(F.col("data_quality_score") % 3 == 0, ", a long list of six given words").otherwise("")
+    rows = companies(spark, sf_dir).withColumn("description", F.concat("description", more)).withColumn("industry", F.lit(None).cast("string"))
+    return company.classify_industry(rows, taxonomy).where("industry IS NOT NULL").select("id", "industry")
+
+
 @query(
     "page_technology",
     r"""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '(?i)wp-content|wp-includes') THEN 'wordpress' END,
