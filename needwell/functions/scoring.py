@@ -130,9 +130,11 @@ def lead_score(
     cfg: ScoringConfig = ScoringConfig(),
 ) -> Column:
     """Weighted blend of the rounded factors, capped for everything but client leads."""
-    w_fresh, w_need, w_quality = (F.lit(w) for w in cfg.weights())
+    share = cfg.shares()
     blended = (
-        w_fresh * freshness_score + w_need * need_score + w_quality * clamp_quality(quality_score)
+        F.lit(share["freshness"]) * freshness_score
+        + F.lit(share["need_match"]) * need_score
+        + F.lit(share["data_quality"]) * clamp_quality(quality_score)
     )
     capped = F.when(is_client(category), blended).otherwise(
         F.least(blended, F.lit(float(cfg.non_client_score_cap)))
@@ -150,17 +152,12 @@ def score_breakdown(
     cfg: ScoringConfig = ScoringConfig(),
 ) -> Column:
     """STRUCT that explains a score: factors, weights, fallback, cap and signals."""
-    w_fresh, w_need, w_quality = cfg.weights()
     return F.struct(
         category.alias("category"),
         freshness_struct["score"].alias("freshness"),
         need_score.alias("need_match"),
         clamp_quality(quality_score).alias("data_quality"),
-        F.struct(
-            F.lit(w_fresh).alias("freshness"),
-            F.lit(w_need).alias("need_match"),
-            F.lit(w_quality).alias("data_quality"),
-        ).alias("weights"),
+        F.struct(*[F.lit(share).alias(factor) for factor, share in cfg.shares().items()]).alias("weights"),
         freshness_struct["used_fallback"].alias("freshness_used_fallback"),
         (~is_client(category)).alias("non_client_capped"),
         has_request(text).alias("has_request"),

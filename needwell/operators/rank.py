@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from needwell.config import CLIENT_LEAD, resolve_category
+from needwell.session import staged
+
+#: a page that ends before this row is a bounded top-k; later ones are cut out by rank
+TOP_ROWS = 10_000
 
 # Columns of an exported ranking, in file order.
 EXPORT_COLUMNS = (
@@ -73,16 +78,36 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0, key: str = "id") -> DataFrame:
-    """A page by offset under a total order; see :func:`page_after` for deep pages.
+def numbered(df: DataFrame, order: list[Column], first: int = 0, end: int | None = None) -> DataFrame:
+    """Adds ``position``, the zero-based global rank under a total order; of ranks first to end, if given.
 
-    Without a limit the rows before the page are taken out by key, so that the
-    rest is sorted in parallel instead of passing through one task.
+    Rows are dealt into ranges of the order, and the sizes of the ranges before its own (a table of one row
+    per range) make a row's number inside a range global. Only ranges that
+    overlap the wanted ranks are numbered, so no task holds the rows before a page.
     """
-    if limit is not None:
+    ranges = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = starts.where(F.col("_start") + F.col("_n") > first)
+    if end is not None:
+        wanted = wanted.where(F.col("_start") < end)
+    inside = W.partitionBy("_range").orderBy(*order)
+    rows = ranges.join(wanted.select("_range", "_start"), "_range").withColumn("position", F.col("_start") + F.row_number().over(inside) - 1)
+    rows = rows.where(F.col("position") >= first)
+    if end is not None:
+        rows = rows.where(F.col("position") < end)
+    return rows.select(*df.columns, "position")
+
+
+def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page by offset under a total order; see :func:`page_after` for pages that follow each other."""
+    if limit is not None and offset + limit <= TOP_ROWS:
         return df.orderBy(*order).offset(offset).limit(limit)
-    before = df.orderBy(*order).limit(offset).select(key)
-    return df.join(before, key, "left_anti").select(*df.columns).orderBy(*order)
+    if not offset and limit is None:
+        return df.orderBy(*order)
+    rows = numbered(df, order, offset, None if limit is None else offset + limit)
+    return rows.orderBy("position").drop("position")
 
 
 def page_after(leads: DataFrame, last: dict, limit: int) -> DataFrame:

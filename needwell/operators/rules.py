@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from needwell.functions.contact import DIALLING_RULES
 from needwell.functions.text import strip
@@ -28,9 +29,14 @@ def default_dialling(spark: SparkSession) -> DataFrame:
 
 
 def join_present(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Left join on a key that is unique in ``known``; rows whose key is NULL pass by."""
-    joined = df.where(F.col(key).isNotNull()).join(known, key, "left")
-    return joined.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+    """Left join on a key that is unique in ``known``, reading ``df`` once.
+
+    Rows whose key is NULL find nothing; a second key, a hash of the whole row, deals them out evenly.
+    """
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, MapType | VariantType)]
+    apart = F.when(F.col(key).isNull(), F.xxhash64(*hashable)).otherwise(F.lit(0).cast("long"))
+    joined = df.withColumn("_apart", apart).join(known.withColumn("_apart", F.lit(0).cast("long")), [key, "_apart"], "left")
+    return joined.select(*df.columns, *[c for c in known.columns if c != key])
 
 
 def with_registered_domain(df: DataFrame, url: str, suffixes: DataFrame, out: str = "domain") -> DataFrame:

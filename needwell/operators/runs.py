@@ -186,6 +186,34 @@ def summarize_runs(stopped: DataFrame, limits: RunLimits) -> DataFrame:
     )
 
 
+def audit_runs(attempts: DataFrame) -> DataFrame:
+    """One audit row per run out of the log as it was written, in one aggregation.
+
+    ``status`` and ``message``, where the log has them, are those of the run's last attempt.
+    """
+    has = set(attempts.columns)
+    optional = lambda name, kind: F.col(name) if name in has else F.lit(None).cast(kind)
+    last = F.max_by(F.struct(optional("status", "string").alias("status"), optional("message", "string").alias("message")), "seq")
+    refused = F.coalesce(optional("rejected", "boolean"), F.lit(False))
+    grouped = attempts.groupBy("run_id", "source", "query").agg(
+        last.alias("_last"),
+        F.count(F.lit(1)).alias("pages_visited"),
+        F.count_if(_is(OK)).alias("leads_found"),
+        F.count_if(_is(PARSE_ERROR) | (_is(OK) & refused)).alias("rejects"),
+        F.count_if(_is(TRANSIENT)).alias("errors"),
+        F.count_if(optional("stored", "string") == "new").alias("stored_new"),
+        F.count_if(optional("stored", "string") == "updated").alias("stored_updated"),
+        F.min("ts").alias("started_at"),
+        F.max("ts").alias("finished_at"),
+    )
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / F.lit(1e6)
+    return grouped.select(
+        "run_id", "source", "query", F.coalesce("_last.status", F.lit("completed")).alias("status"),
+        "pages_visited", "leads_found", "rejects", "errors", "stored_new", "stored_updated", "started_at", "finished_at",
+        seconds.alias("duration_seconds"), F.col("_last.message").alias("error_message"),
+    )
+
+
 def batch_totals(summaries: DataFrame, key: str = "query") -> DataFrame:
     """Counters per need and, where the need is NULL, for the whole batch."""
     counters = ("leads_found", "stored_new", "stored_updated", "rejects", "errors")

@@ -36,15 +36,29 @@ def feed_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("id STRING").json(f"{checkpoint}/metadata").first()["id"]
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed_state(spark: SparkSession) -> None:
+    """State of streams on the executors' disks, with their changes in the checkpoint: it may outgrow memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def _start(
-    rows: DataFrame, checkpoint: str, apply: Callable[[DataFrame, str], None], available_now: bool, interval: str
+    rows: DataFrame,
+    checkpoint: str,
+    apply: Callable[[DataFrame, str], None],
+    available_now: bool,
+    interval: str,
+    mode: str = "append",
 ) -> StreamingQuery:
     """Hand every micro-batch to ``apply``, with an id that no other feed or batch has."""
 
     def each(batch: DataFrame, number: int) -> None:
         apply(batch, f"{feed_id(batch.sparkSession, checkpoint)}-{number}")
 
-    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
@@ -72,38 +86,40 @@ def start_ingest(
 def start_first_arrivals(
     rows: DataFrame, out: str, checkpoint: str, key: list[str], available_now: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:
-    """Keep one row per key at ``out``: a key is held back by what is stored, however late it comes.
+    """Keep one row per key at ``out``, however late a repeat comes.
 
-    A repeated batch writes its own folder again, compared with all the others.
+    The keys seen are the query's state: a batch looks its own keys up and nothing that is stored is read
+    again. There is no watermark, so no key is ever forgotten. Feeds that
+    share keys go through one query, as a union. A repeated batch writes its own folder again.
     """
+    _keyed_state(rows.sparkSession)
 
     def apply(batch: DataFrame, batch_id: str) -> None:
-        spark = batch.sparkSession
-        schema = StructType([*batch.schema.fields, StructField("batch", StringType())])
-        known = store.read_or_empty(spark, out, schema, "parquet")
-        others = known.where(F.col("batch") != batch_id).select(*key)
-        fresh = batch.dropDuplicates(key).join(others, key, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return _start(rows, checkpoint, apply, available_now, interval)
+    return _start(rows.dropDuplicates(key), checkpoint, apply, available_now, interval)
 
 
 def start_daily_requests(
     attempts: DataFrame, out: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:
-    """Count requests per source and UTC day of every micro-batch into its own folder at ``out``.
+    """Running counts of requests per source and UTC day: each micro-batch writes the days it has changed.
 
-    There is no watermark, so nothing is ever too late; `read_daily_requests` adds up.
+    The counts are windows in the query's state. There is no watermark, so late requests count too;
+    `read_daily_requests` has the latest count of every day.
     """
+    _keyed_state(attempts.sparkSession)
 
     def apply(batch: DataFrame, batch_id: str) -> None:
-        requests_per_day(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return _start(attempts, checkpoint, apply, available_now, interval)
+    return _start(requests_per_day(attempts), checkpoint, apply, available_now, interval, mode="update")
 
 
 def read_daily_requests(spark: SparkSession, out: str) -> DataFrame:
-    """Requests per source and UTC day over all micro-batches of all feeds."""
+    """Requests per source and UTC day: of each feed the latest count, which is its largest, then all feeds together."""
     schema = "source STRING, day_start TIMESTAMP, requests LONG, batch STRING"
     counts = store.read_or_empty(spark, out, schema, "parquet")
-    return counts.groupBy("source", "day_start").agg(F.sum("requests").alias("requests"))
+    feed = F.regexp_extract("batch", r"^(.*)-\d+$", 1)
+    latest = counts.groupBy(feed.alias("feed"), "source", "day_start").agg(F.max("requests").alias("requests"))
+    return latest.groupBy("source", "day_start").agg(F.sum("requests").alias("requests"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from needwell import schemas
 from needwell.functions.dates import clock
-from needwell.operators import ingest, merge, rank, score, store
+from needwell.operators import buckets, company, ingest, merge, rank, rules, runs, score, store
 from needwell.plans.export import export_leads
 from needwell.sources.posts import enabled_sources, read_raw_posts
 from needwell.streaming import ingest as stream
@@ -274,3 +274,155 @@ def test_explanations(spark):
     assert b.signals.request == ["we need"] and b.signals.target == ["designer"]
     blend = sum(b.weights[k] * b[k] for k in ("freshness", "need_match", "data_quality"))
     assert scored.lead_score == round(blend)
+
+
+def bucket_files(path):
+    return {f: (f.stat().st_mtime_ns, f.stat().st_size) for f in Path(path).glob("bucket=*/*.parquet")}
+
+
+def test_a_batch_rewrites_touched_buckets_only(spark, tmp_path):
+    path, n = str(tmp_path / "leads"), 16
+    first = ingest.valid_rows(ingest_rows(spark, *[post(i, f"https://x.example/p{i}") for i in range(300)]))
+    assert len(buckets.upsert_buckets(spark, path, first, clock(NOW), n)) == n
+    before = bucket_files(path)
+    second = ingest.valid_rows(
+        ingest_rows(spark, post(1, "https://x.example/p5", author="Bo Ray"), post(2, "https://x.example/new"), post(3, "https://x.example/p5", posted_at=datetime(2025, 1, 1)))
+    )
+    touched = buckets.upsert_buckets(spark, path, second, clock(LATER), n)
+    assert 1 <= len(touched) <= 2
+    after = bucket_files(path)
+    same = {f for f in before if after.get(f) == before[f]}
+    assert {f.parent.name for f in before} - {f.parent.name for f in same} == {f"bucket={b}" for b in touched}
+    # the table is the one that a whole rewrite gives
+    whole = merge.upsert(merge.upsert(spark.createDataFrame([], schemas.INTENT_LEADS), first, clock(NOW)), second, clock(LATER))
+    left = buckets.read_buckets(spark, path).drop("bucket")
+    assert left.exceptAll(whole).isEmpty() and whole.exceptAll(left).isEmpty()
+    # again: nothing changes but the files
+    buckets.upsert_buckets(spark, path, second, clock(LATER), n)
+    assert buckets.read_buckets(spark, path).drop("bucket").exceptAll(whole).isEmpty()
+    assert buckets.upsert_buckets(spark, path, second.limit(0), clock(LATER), n) == []
+
+
+def rows_scanned(df):
+    """Rows that the scan of a frame hands on, after row groups were skipped."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    stack, found = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    assert plan is not None
+    return found
+
+
+def test_lookups_skip_what_cannot_match(spark, tmp_path):
+    path, n = str(tmp_path / "leads"), 8
+    rows = ingest.valid_rows(ingest_rows(spark, *[post(i, f"https://x.example/p{i}") for i in range(400)]))
+    buckets.upsert_buckets(spark, path, rows, clock(NOW), n)
+    url = "https://x.example/p77"
+    by_url = buckets.lead_by_url(spark, path, url, n)
+    ident = by_url.first()["id"]
+    plan = by_url._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(post_url" in plan
+    by_id = buckets.lead_by_id(spark, path, ident)
+    assert by_id.first()["post_url"] == url
+    # one bucket of eight, by its name and by its filter
+    assert rows_scanned(by_url) < 150 and rows_scanned(by_id) < 150
+    assert rows_scanned(buckets.lead_by_id(spark, path, "nobody")) == 0
+    assert buckets.lead_by_url(spark, path, "https://x.example/none", n).isEmpty()
+
+
+def test_first_arrivals_survive_restarts(spark, tmp_path):
+    """Batches out of order, then a restart with repeats of all of them: the state knows every key."""
+    inbox, out, progress = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    rows = day_files(spark, inbox, [4, 1, 9, 1, 2])
+    stream.start_first_arrivals(rows, out, progress, ["source", "url"]).awaitTermination()
+    first = spark.read.parquet(out).count()
+    assert first == 4 * 10 + 1
+    rows = day_files(spark, inbox, [9, 2, 5])
+    query = stream.start_first_arrivals(rows, out, progress, ["source", "url"])
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == first + 10 == got.select("source", "url").distinct().count()
+    # a batch looks up its own rows: it reads nothing that is stored
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(updated) == 10 and all(p["numInputRows"] <= 11 for p in query.recentProgress)
+    state = [p["stateOperators"][0] for p in query.recentProgress][-1]
+    assert state["numRowsTotal"] == first + 10 and any("rocksdb" in name for name in state["customMetrics"])
+
+
+def test_daily_counts_survive_restarts_and_feeds(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        rows = day_files(spark, str(tmp_path / "in"), [9, 1, 1])
+        stream.start_daily_requests(rows, out, str(tmp_path / "p")).awaitTermination()
+    other = day_files(spark, str(tmp_path / "other"), [1])
+    stream.start_daily_requests(other, out, str(tmp_path / "p2")).awaitTermination()
+    daily = {r.day_start.day: r.requests for r in stream.read_daily_requests(spark, out).collect()}
+    assert daily == {1: 4 * 11 + 11, 9: 2 * 11}
+
+
+@pytest.mark.parametrize("window", [(0, None), (7, 19), (0, 1), (95, 200), (100, None), (100, 120)])
+def test_global_ranks(spark, window):
+    rng = random.Random(4)
+    rows = [(f"i{i}", rng.choice([None, 1, 2, 3]), datetime(2025, 1, rng.randint(1, 3))) for i in range(100)]
+    df = spark.createDataFrame(rows, "id STRING, lead_score INT, first_seen TIMESTAMP").repartition(4)
+    whole = [r.id for r in df.orderBy(*rank.rank_order()).collect()]
+    got = sorted((r.position, r.id) for r in rank.numbered(df, rank.rank_order(), *window).collect())
+    first, end = window
+    assert got == list(enumerate(whole))[first:end]
+
+
+def test_pages_past_the_bound_go_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(rank, "TOP_ROWS", 2)
+    leads = leads_for_ranking(spark)
+    whole = [r.id for r in rank.ranked(leads, "all").collect()]
+    pages = [rank.page(leads, rank.rank_order(), limit=2, offset=o) for o in (0, 2, 4)]
+    assert [r.id for p in pages for r in p.collect()] == whole
+    assert "TakeOrdered" not in pages[1].drop("x")._jdf.queryExecution().optimizedPlan().toString()
+    assert rank.page(leads, rank.rank_order(), limit=3, offset=9).columns == leads.columns
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_inputs_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, f"k{i}" if i % 3 else None, f"https://a{i}.example.com/x", {"a": "b"}) for i in range(30)]
+    spark.createDataFrame(rows, "n INT, k STRING, u STRING, m MAP<STRING, STRING>").write.parquet(path)
+    df = spark.read.parquet(path)
+    known = spark.createDataFrame([("k1", "one"), (None, "never")], "k STRING, v STRING")
+    joined = rules.join_present(df, known, "k")
+    assert scans(joined) == 1 and joined.columns == ["n", "k", "u", "m", "v"]
+    assert sorted((r.n, r.k, r.v) for r in joined.collect()) == [(i, k, "one" if i == 1 else None) for i, k, _, _ in rows]
+    # a rule table is looked up with the distinct values: one column of the input, and the input itself
+    assert scans(rules.with_registered_domain(df, "u", rules.default_suffixes(spark))) == 2
+    gone = spark.createDataFrame([("example.org",)], "domain STRING")
+    leads = spark.createDataFrame([], schemas.INTENT_LEADS)
+    leads.write.parquet(str(tmp_path / "leads"))
+    left = company.purge_tables({"leads": spark.read.parquet(str(tmp_path / "leads"))}, gone)["leads"]
+    assert scans(left) == 1 + 4  # the rows once, the purged hosts for each of four columns
+
+
+def test_run_audit_of_a_written_log(spark):
+    t = [datetime(2025, 1, 1, 0, m) for m in range(6)]
+    rows = [
+        ("r", "s", "q", 1, "ok", t[0], False, "new", "running", None), ("r", "s", "q", 2, "ok", t[1], True, None, "running", None),
+        ("r", "s", "q", 5, "blocked", t[5], None, None, "aborted", "five blocks"), ("r", "s", "q", 3, "transient", t[2], None, None, "running", "x"),
+        ("r", "s", "q", 4, "parse_error", t[3], None, None, "running", None), ("e", "s", "q", 9, "ok", t[0], None, "updated", None, None),
+    ]
+    log = spark.createDataFrame(rows, "run_id STRING, source STRING, query STRING, seq LONG, outcome STRING, ts TIMESTAMP, rejected BOOLEAN, stored STRING, status STRING, message STRING")
+    got = {r.run_id: r for r in runs.audit_runs(log).collect()}
+    r = got["r"]
+    assert (r.status, r.error_message, r.pages_visited, r.leads_found, r.rejects, r.errors, r.stored_new, r.stored_updated) == ("aborted", "five blocks", 5, 2, 2, 1, 1, 0)
+    assert r.duration_seconds == 300.0 and (got["e"].status, got["e"].stored_updated) == ("completed", 1)
+    bare = runs.audit_runs(log.drop("rejected", "stored", "status", "message")).where("run_id = 'r'").first()
+    assert (bare.status, bare.error_message, bare.rejects, bare.stored_new) == ("completed", None, 1, 0)
+    plan = runs.audit_runs(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

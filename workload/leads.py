@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needwell import schemas
 from needwell.functions import dates
 from needwell.config import NEEDS
-from needwell.operators import discover, merge, rank, runs, score
+from needwell.operators import buckets, discover, merge, rank, runs, score
+from needwell.session import staged
 from needwell.plans.export import export_explained, export_leads, export_view
 from needwell.sources.posts import read_raw_posts
 from workload import dialect as q
@@ -101,8 +104,13 @@ MERGED_SQL = (
 UPSERT_SQL = (*INGEST_SQL, VALID_SQL, STORED_SQL, REDUCED_SQL, MERGED_SQL)
 
 
+def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid arrivals, written down: the stored side is derived from them too, and the posts are cleaned once."""
+    return staged(clean_posts(spark, sf_dir), "arrivals")
+
+
 def merged_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrivals = clean_posts(spark, sf_dir)
+    arrivals = arrived(spark, sf_dir)
     return merge.merge_arrivals(stored_leads(arrivals), merge.reduce_arrivals(arrivals), now())
 
 
@@ -144,6 +152,60 @@ def lead_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printable(merged_leads(spark, sf_dir))
 
 
+# --- leads in buckets ----------------------------------------------------------
+
+BUCKETS = 32
+_BATCH = "seq % 100 = 7"
+# a batch of one arrival in a hundred on top of the stored leads and the rest of the arrivals
+_BATCH_SQL = (
+    ("first_batch", "SELECT * FROM valid WHERE NOT coalesce(" + _BATCH + ", false)"),
+    (REDUCED_SQL[0] + "_first", REDUCED_SQL[1].replace("FROM valid", "FROM first_batch")),
+    ("kept", MERGED_SQL[1].replace("JOIN reduced", "JOIN reduced_first")),
+    ("second_batch", "SELECT * FROM valid WHERE " + _BATCH),
+    (REDUCED_SQL[0] + "_second", REDUCED_SQL[1].replace("FROM valid", "FROM second_batch")),
+    ("after", MERGED_SQL[1].replace("JOIN reduced", "JOIN reduced_second").replace("FROM stored", "FROM kept").replace(NOW_SQL, "TIMESTAMP '2024-02-01 00:00:00'")),
+)
+
+
+def bucketed(spark: SparkSession, sf_dir: str, arrivals: DataFrame, first: DataFrame) -> str:
+    """The folder of a bucketed table: the stored leads, then a first batch."""
+    path = f"{work_dir(spark, 'buckets')}/leads"
+    buckets.write_buckets(stored_leads(arrivals), path, BUCKETS)
+    buckets.upsert_buckets(spark, path, first, now(), BUCKETS)
+    return path
+
+
+@query("lead_upsert_in_buckets", f"{q.with_ctes(*INGEST_SQL, VALID_SQL, STORED_SQL, *_BATCH_SQL)} {printable_sql('after')}")
+def lead_upsert_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after a batch of a hundredth of the arrivals, which rewrites only the buckets it touches."""
+    arrivals = arrived(spark, sf_dir)
+    batch = F.coalesce(F.expr(_BATCH), F.lit(False))
+    path = bucketed(spark, sf_dir, arrivals, arrivals.where(~batch))
+    buckets.upsert_buckets(spark, path, arrivals.where(batch), dates.clock("2024-02-01T00:00:00Z"), BUCKETS)
+    return printable(buckets.read_buckets(spark, path))
+
+
+_WANTED = tuple(f"https://social.example/posts/user-{n % 7}_{n}" for n in (10, 20, 21, 63)) + ("https://social.example/posts/nobody_1",)
+
+
+@query(
+    "indexed_lookups",
+    f"""{q.with_ctes(*UPSERT_SQL)} SELECT wanted.u AS wanted, 'post_url' AS by, author_name, {ts_text_sql('posted_at')} FROM (VALUES {', '.join(f'({q.lit(u)})' for u in _WANTED)}) AS wanted(u)
+      JOIN merged ON post_url = wanted.u
+    UNION ALL SELECT wanted.u, 'id', author_name, {ts_text_sql('posted_at')} FROM (VALUES {', '.join(f'({q.lit(u)})' for u in _WANTED)}) AS wanted(u) JOIN merged ON id = sha256(wanted.u)""",
+)
+def indexed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads found by URL in one bucket, and by id through Bloom filters."""
+    arrivals = arrived(spark, sf_dir)
+    path = bucketed(spark, sf_dir, arrivals, arrivals)
+    found = []
+    for url in _WANTED:
+        ident = spark.range(1).select(merge.lead_id(F.lit(url)).alias("id")).first()["id"]
+        for by, rows in (("post_url", buckets.lead_by_url(spark, path, url, BUCKETS)), ("id", buckets.lead_by_id(spark, path, ident))):
+            found.append(rows.select(F.lit(url).alias("wanted"), F.lit(by).alias("by"), "author_name", ts_text("posted_at")))
+    return reduce(DataFrame.unionAll, found)
+
+
 @query(
     "upsert_tally",
     f"""{q.with_ctes(*UPSERT_SQL)} SELECT count_if(was_new) AS stored_new,
@@ -163,7 +225,7 @@ def upsert_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def need_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New leads per need, each counted once across needs."""
-    arrivals = clean_posts(spark, sf_dir)
+    arrivals = arrived(spark, sf_dir)
     merged = merge.merge_arrivals(stored_leads(arrivals), merge.reduce_arrivals(arrivals), now())
     return merge.need_tally(arrivals, merged)
 
@@ -175,7 +237,7 @@ def need_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def existing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arrivals already have a stored row: one equi-join for the whole batch."""
-    arrivals = clean_posts(spark, sf_dir)
+    arrivals = arrived(spark, sf_dir)
     stored = stored_leads(arrivals).select("post_url", F.col("id").alias("stored_id"))
     joined = arrivals.select("seq", "post_url").join(stored, "post_url", "left")
     return joined.select("seq", "stored_id", F.col("stored_id").isNotNull().alias("existed"))
@@ -270,6 +332,19 @@ def ranked_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("post_url", "lead_score")
 
 
+@query(
+    "deep_page",
+    f"""{q.with_ctes(*RESCORED, ('placed', f'SELECT post_url, new_lead_score AS lead_score, row_number() OVER (ORDER BY {_RANK}) - 1 AS place, count(*) OVER () AS n FROM scored'))}
+    SELECT post_url, lead_score, place FROM placed WHERE place >= n // 10 AND place < n // 10 + 40""",
+)
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty rows of the ranking from a tenth of the table on, cut out by global rank."""
+    leads = staged(rescored(spark, sf_dir).select("post_url", "lead_score", "first_seen", "id"), "scored")
+    first = leads.count() // 10
+    placed = rank.numbered(leads, rank.rank_order(), first, first + 40)
+    return placed.select("post_url", "lead_score", F.col("position").cast("bigint").alias("place"))
+
+
 @query(
     "recent_leads",
     f"""{q.with_ctes(*UPSERT_SQL)} SELECT post_url, {ts_text_sql('first_seen')} FROM merged

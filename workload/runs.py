@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from needwell.config import NEEDS, RunLimits
 from needwell.functions.dates import clock
 from needwell.operators import runs
+from needwell.sources.needs import needs_table
 from workload import dialect as q
 from workload.registry import query, table
 from workload.views import choose
@@ -15,8 +16,8 @@ from workload.views import choose
 LIMITS = RunLimits(daily_cap=60, block_limit=4, extracted_limit=22)
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One attempt per event; a run is one source on one day."""
+def attempts(spark: SparkSession, sf_dir: str, more: dict[str, str] | None = None) -> DataFrame:
+    """One attempt per event; a run is one source on one day. More columns may be given as expressions."""
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     outcome = (
@@ -37,6 +38,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts.alias("ts"),
         (F.col("value") > 20).alias("rejected"),
         F.when((outcome == "ok") & (F.col("value") <= 20), F.when(F.col("event_id") < 4001, "new").otherwise("updated")).alias("stored"),
+        *[F.expr(e).alias(name) for name, e in (more or {}).items()],
     )
 
 
@@ -164,8 +166,6 @@ def _values(rows) -> str:
 )
 def needs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per need in list order, needs without runs included."""
-    from needwell.sources.needs import needs_table
-
     return runs.needs_in_order(needs_table(spark, NEEDS), summaries(spark, sf_dir))
 
 
@@ -181,6 +181,74 @@ def requests_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.requests_since(summaries(spark, sf_dir), listed, clock("2024-01-20T00:00:00Z"))
 
 
+# the log as a collector writes it: each attempt with the state of its run at that time
+_STATED = "CASE event_type WHEN 'error' THEN 'aborted' WHEN 'signup' THEN 'running' ELSE 'completed' END"
+_NOTE = "CASE WHEN event_type = 'error' THEN concat('stopped at ', event_id) END"
+_AUDIT_SQL = (
+    ("written", ATTEMPTS_SQL[1].replace("SELECT", f"SELECT {_STATED} AS status, {_NOTE} AS message,", 1)),
+    (
+        "audit",
+        """SELECT run_id, source, query, first(status ORDER BY seq DESC) AS status, first(message ORDER BY seq DESC) AS error_message,
+          count(*) AS pages_visited, count_if(outcome = 'ok') AS leads_found,
+          count_if(outcome = 'parse_error') + count_if(outcome = 'ok' AND rejected) AS rejects, count_if(outcome = 'transient') AS errors,
+          count(*) FILTER (WHERE stored = 'new') AS stored_new, count(*) FILTER (WHERE stored = 'updated') AS stored_updated,
+          min(ts) AS started_at, max(ts) AS finished_at FROM written GROUP BY run_id, source, query""",
+    ),
+)
+
+
+def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.audit_runs(attempts(spark, sf_dir, {"status": _STATED, "message": _NOTE}))
+
+
+@query(
+    "run_audit",
+    f"""{q.with_ctes(*_AUDIT_SQL)} SELECT {_SUMMARY_COLUMNS}, epoch_us(started_at) AS started, epoch_us(finished_at) AS finished FROM audit""",
+)
+def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of the log as it was written."""
+    return audits(spark, sf_dir).select(
+        *[c.strip() for c in _SUMMARY_COLUMNS.split(",")],
+        F.unix_micros("started_at").alias("started"),
+        F.unix_micros("finished_at").alias("finished"),
+    )
+
+
+@query(
+    "audit_totals",
+    f"""{q.with_ctes(*_AUDIT_SQL)} SELECT query, sum(leads_found)::BIGINT AS leads_found, sum(rejects)::BIGINT AS rejects,
+      sum(errors)::BIGINT AS errors, sum(stored_new)::BIGINT AS stored_new, sum(stored_updated)::BIGINT AS stored_updated,
+      count(*) AS runs FROM audit GROUP BY ROLLUP (query)""",
+)
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters per need and for the whole batch, of the written log."""
+    return runs.batch_totals(audits(spark, sf_dir))
+
+
+@query(
+    "audit_by_need",
+    f"""{q.with_ctes(*_AUDIT_SQL)} SELECT n.pos, n.need, coalesce(sum(pages_visited), 0)::BIGINT AS pages_visited,
+      coalesce(sum(leads_found), 0)::BIGINT AS leads_found, coalesce(sum(rejects), 0)::BIGINT AS rejects,
+      coalesce(sum(errors), 0)::BIGINT AS errors
+    FROM (VALUES {_values(enumerate(NEEDS))}) AS n(pos, need) LEFT JOIN audit s ON s.query = n.need GROUP BY 1, 2""",
+)
+def audit_by_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the written log in the order of the needs."""
+    return runs.needs_in_order(needs_table(spark, NEEDS), audits(spark, sf_dir))
+
+
+@query(
+    "audited_requests",
+    f"""{q.with_ctes(*_AUDIT_SQL)} SELECT s.source, coalesce(sum(pages_visited), 0)::BIGINT AS used FROM
+      (VALUES ('src0'), ('src1'), ('src2'), ('src3'), ('src4'), ('src9')) AS s(source)
+      LEFT JOIN audit r ON r.source = s.source AND r.started_at >= TIMESTAMP '2024-01-20' GROUP BY 1""",
+)
+def audited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per source since a time, of the written log."""
+    listed = spark.createDataFrame([(s,) for s in ("src0", "src1", "src2", "src3", "src4", "src9")], "source STRING")
+    return runs.requests_since(audits(spark, sf_dir), listed, clock("2024-01-20T00:00:00Z"))
+
+
 @query("seen_urls", f"{q.with_ctes(ATTEMPTS_SQL)} SELECT DISTINCT source, query, url FROM attempts WHERE outcome = 'ok'")
 def seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted URLs per run key as rows."""
