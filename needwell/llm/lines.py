@@ -1,8 +1,8 @@
 """Removal of boilerplate lines that spread over many sites, all in column functions.
 
-The spread of a line is the number of distinct sources it occurs in. Lines are hashed; those that
-never leave one source are set aside by the smallest and largest source hash, which one aggregation
-of fixed-width numbers gives. For the rest, HyperLogLog sketches of the sources merge per line hash.
+The spread of a line is the number of distinct sources it occurs in. Lines and sources are hashed once, into a
+table of numbers; it shrinks to a row for each line and source, and lines that
+never leave one source are set aside by the smallest and largest source hash. For the rest, HyperLogLog sketches of the sources merge per line hash.
 Lines whose estimate is near the threshold get an exact distinct count; the others are decided by the
 sketch. A line on MIN_SITES sources or more is boilerplate: it goes from every document but the one
 with the smallest id, so nothing is lost altogether, and one whole copy of a copied document stays.
@@ -38,38 +38,38 @@ def _row_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each distinct line that is not blank, of each document."""
+    """A row of fixed width for each distinct line that is not blank, of each document; split and hashed once."""
     hashes = F.array_distinct(
         F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _hash)
     )
-    return docs.where("text IS NOT NULL").select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("site"), _row_key().alias("row"), F.explode(hashes).alias("line")
+    rows = docs.where("text IS NOT NULL").select(
+        "doc_id",
+        F.xxhash64(F.coalesce("source", F.lit(""))).alias("site"),
+        _row_key().alias("row"),
+        F.explode(hashes).alias("line"),
     )
+    return staged(rows, "lines")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """line (hash), first (smallest id that has it) of every boilerplate line."""
-    return _boilerplate(_travelled(_lines(docs)), min_sites)
-
-
-def _travelled(lines: DataFrame) -> DataFrame:
-    """The lines that occur in more than one site."""
-    site = F.xxhash64("site")
-    ends = lines.groupBy("line").agg(F.min(site).alias("low"), F.max(site).alias("high"))
-    return lines.join(ends.where("low != high").select("line"), "line", "left_semi")
+    return _boilerplate(_lines(docs), min_sites)
 
 
-def _boilerplate(travelled: DataFrame, min_sites: int) -> DataFrame:
+def _boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
+    """Of rows of lines: one row for each line and site first, then what the sites of a line say."""
+    sites = lines.groupBy("line", "site").agg(F.min("doc_id").alias("first"))
+    ends = sites.groupBy("line").agg(F.min("site").alias("low"), F.max("site").alias("high"))
+    # the lines that occur in more than one site, written down: few, and sketched in a stage of their own
+    travelled = staged(sites.join(ends.where("low != high").select("line"), "line", "left_semi"), "travelled")
     sketches = travelled.groupBy("line").agg(
-        F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"), F.min("doc_id").alias("first")
+        F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"), F.min("first").alias("first")
     )
     spread = staged(sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     band = max(1.0, NEAR * min_sites)
     near = spread.where(F.abs(F.col("sites") - min_sites) <= band)
     exact = (
         travelled.join(near.select("line"), "line", "left_semi")
-        .groupBy("line", "site")
-        .agg(F.min("doc_id").alias("first"))
         .groupBy("line")
         .agg(F.count("*").alias("sites"), F.min("first").alias("first"))
         .where(F.col("sites") >= min_sites)
@@ -79,9 +79,9 @@ def _boilerplate(travelled: DataFrame, min_sites: int) -> DataFrame:
 
 def _dropped(docs: DataFrame, min_sites: int) -> DataFrame:
     """row, drop: the line hashes that each row loses."""
-    travelled = _travelled(_lines(docs))
-    spread = _boilerplate(travelled, min_sites)
-    lost = travelled.join(spread, "line").where(
+    lines = _lines(docs)
+    spread = _boilerplate(lines, min_sites)
+    lost = lines.join(spread, "line").where(
         F.col("first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first")))
     )
     return lost.groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_drop"))
