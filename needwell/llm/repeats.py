@@ -6,16 +6,17 @@ windows hold equal anchors, so suffixes need to start at anchors only, some six
 1. What a window can reach around an anchor (LENGTH - GRAM bytes to both sides) is its context. Rows hold
    GROUP_BITS of the anchor's hash, then all 64 bits of the context's: the first of these share a column with
    the group, so one column settles most of the order. Distinct (anchor, context, document) rows are
-   range-partitioned and sorted. A row after another document with the same context is a whole repeat. Of
-   the rest, anchors with one context only are dropped; a group of anchors cut by the border of a
-   batch stays in any case, so a group may be spread over any number of partitions.
+   dealt by ranges of the hash, which are even as they are, and sorted. A row after another document with the same
+   context is a whole repeat. Of the rest, anchors with one context only are dropped; a group of anchors
+   cut by the border of a batch stays in any case. Anchors that HOT_DOCS of a sample of documents have
+   are spread over partitions of their own, where all that is no whole repeat stays.
 2. Each document gets back its context hashes of both kinds. The contexts of the kind that is left are cut out of
    its text and sorted by anchor and right context: a suffix array, with the common-prefix lengths of
    neighbours beside it. The intervals of its common-prefix tree are visited by depth; inside one, the
    common lengths of the reversed left contexts tell where left extensions differ, and so which
    occurrences share a whole window. All occurrences count, not just neighbours. Depth is bounded, so
    the visit is a loop over LENGTH - GRAM + 1 levels for all intervals at once.
-   A group cut by a partition border, or with over BIG rows, is not held together: what its rows in
+   A group with over BIG rows, or of a spread anchor, is not held together: what its rows in
    hand leave open among themselves becomes rows of windows, which are aggregated.
 3. An occurrence is removed where a window of it is in a document with a smaller id. The reach of an
    anchor is one interval, for every window of it holds the anchor.
@@ -34,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import U64, chunks, mix, prefix_sums, run_hashes
@@ -47,6 +49,10 @@ SIDE = LENGTH - GRAM
 WIDTH = 2 + 2 * SIDE
 BIG = 50_000
 GROUP_BITS = 40
+#: frequent anchors are those of HOT_DOCS documents in a sample of about HOT_SAMPLE
+HOT_SAMPLE = 20_000
+HOT_DOCS = 100
+HOT_WAYS = 16
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -117,8 +123,9 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_out(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows of sorted batches that repeat an earlier document as a whole, or may in part."""
+    spread = TaskContext.get().partitionId() >= parts
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -133,6 +140,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.cumsum(border) - 1
         several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(border)) > 1
         several[0] = several[-1] = True
+        several |= spread
         keep = whole | several[number]
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[keep]), pa.array(key[keep] << GROUP_BITS | rest[keep]), pa.array(whole[keep])],
@@ -265,19 +273,21 @@ def window_hashes(
 _REACH = "doc_id long, text_hash long, start long, end long, window long"
 
 
-def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reaches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of anchor to their reach, or to their windows where a group is not whole in hand."""
+    spread = TaskContext.get().partitionId() >= parts
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    open_group = None  # the partition's first group, or one grown too big
+    open_group = None  # a group grown too big
     for batch in batches:
         if not batch.num_rows:
             continue
         context = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).reshape(-1, WIDTH)
         part = (batch.column("h").to_numpy(), context, *(batch.column(c).to_numpy() for c in ("doc_id", "at", "text_hash")))
-        if open_group is None:
-            open_group = part[0][0]
-        if not size:
+        if spread:
+            yield from _as_windows(part)
+            continue
+        if not size and open_group is not None:
             lead = int(np.searchsorted(part[0], open_group, "right"))
             if lead:
                 yield from _as_windows(tuple(x[:lead] for x in part))
@@ -294,7 +304,7 @@ def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _as_windows(_together(held))
             open_group, held, size = held[0][0][0], [], 0
     if size:
-        yield from _as_windows(_together(held))
+        yield _as_reach(_together(held))
 
 
 def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -334,44 +344,84 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
 
 
-def _key_lists(docs: DataFrame) -> DataFrame:
+class _Dealt:
+    """How anchors go to partitions: by ranges of their hash, frequent ones spread over as many again."""
+
+    def __init__(self, docs: DataFrame):
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = max(1, docs.count() // HOT_SAMPLE)
+        sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+        held = sample.mapInArrow(_holders, "key long, rest long, doc_id long")
+        one = held.select(self._group("key").alias("anchor"), "doc_id").distinct()
+        many = one.groupBy("anchor").agg(F.count("*").alias("docs")).where(F.col("docs") >= HOT_DOCS)
+        # a document has a bounded share of its bytes as anchors, so few can be in so many documents
+        self.frequent = [r["anchor"] for r in many.select("anchor").collect()]
+
+    @staticmethod
+    def _group(name: str) -> Column:
+        return F.shiftrightunsigned(name, 64 - GROUP_BITS)
+
+    def out(self, rows: DataFrame, name: str, context: str) -> DataFrame:
+        """Rows by the hash in a column, each group in one partition; of frequent ones each context in HOT_WAYS."""
+        group = self._group(name)
+        even = F.shiftright(group * self.parts, GROUP_BITS)
+        spread = self.parts + F.pmod(F.xxhash64(context, F.pmod("doc_id", F.lit(HOT_WAYS))), F.lit(self.parts))
+        part = F.when(group.isin(self.frequent), spread).otherwise(even) if self.frequent else even
+        return rows.repartitionById(2 * self.parts, part.cast("int"))
+
+
+def _key_lists(docs: DataFrame, dealt: _Dealt) -> DataFrame:
     """doc_id, wholes, parts: the context hashes of a document's whole repeats, and of those that may be partial."""
+    parts = dealt.parts
     holders = _texts(docs).mapInArrow(_holders, "key long, rest long, doc_id long")
-    ordered = holders.repartitionByRange("key", "rest", "doc_id").sortWithinPartitions("key", "rest", "doc_id")
-    kinds = ordered.mapInArrow(_sorted_out, "doc_id long, key long, whole boolean")
+    ordered = dealt.out(holders, "key", "rest").sortWithinPartitions("key", "rest", "doc_id")
+    kinds = ordered.mapInArrow(lambda batches: _sorted_out(batches, parts), "doc_id long, key long, whole boolean")
     return kinds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("whole"), F.col("key"))).alias("wholes"),
         F.collect_list(F.when(~F.col("whole"), F.col("key"))).alias("parts"),
     )
 
 
-def _partial_spans(texts: DataFrame, lists: DataFrame) -> DataFrame:
+def _partial_spans(texts: DataFrame, lists: DataFrame, dealt: _Dealt) -> DataFrame:
     """doc_id, text_hash, start, end of partial repeats, overlapping ones included."""
-    rows = texts.join(lists, "doc_id").mapInArrow(
+    parts = dealt.parts
+    rows = texts.join(lists, "doc_id").where(F.size("parts") > 0).mapInArrow(
         _partial, "h long, context binary, doc_id long, at long, text_hash long"
     )
-    ordered = rows.repartitionByRange("h", "context", "doc_id").sortWithinPartitions("h")
-    reaches = ordered.mapInArrow(_reaches, _REACH)
+    ordered = dealt.out(rows, "h", "context").sortWithinPartitions("h")
+    reaches = ordered.mapInArrow(lambda batches: _reaches(batches, parts), _REACH)
     windows = reaches.where("window IS NOT NULL")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
     late = windows.join(firsts, "window").where("doc_id > first").select("doc_id", "text_hash", "start", "end")
     return reaches.where("window IS NULL").select("doc_id", "text_hash", "start", "end").unionByName(late)
 
 
+def _whole_places(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+    """By row, where the anchors of whole repeats stand; rows without any are not looked at."""
+    sizes = batch.column("wholes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes)
+    own = batch.take(pa.array(rows))
+    lists, found = _lists(own, "wholes"), {}
+    for row, data, bounds in chunks(own.column("text")):
+        at, text, _, sums = anchors(data, bounds)
+        first = np.searchsorted(text, np.arange(len(bounds)))
+        whole = _listed(_keys(sums, bounds, at, text), first, row, lists)
+        for i in range(len(bounds) - 1):
+            here = slice(first[i], first[i + 1])
+            found[int(rows[row + i])] = at[here][whole[here]] - bounds[i]
+    return found
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, their keys of whole repeats and their other spans, to what is left and how much went."""
     for batch in batches:
-        spans, lists = batch.column("spans").to_pylist(), _lists(batch, "wholes")
+        spans, places = batch.column("spans").to_pylist(), _whole_places(batch)
         out: list[tuple] = []
         for row, data, bounds in chunks(batch.column("text")):
-            at, text, _, sums = anchors(data, bounds)
-            first = np.searchsorted(text, np.arange(len(bounds)))
-            whole = _listed(_keys(sums, bounds, at, text), first, row, lists)
-            whole_texts = run_hashes(sums, bounds[:-1], bounds[1:]).view(np.int64)
+            whole_texts = run_hashes(prefix_sums(data), bounds[:-1], bounds[1:]).view(np.int64)
             for i in range(len(bounds) - 1):
                 size = int(bounds[i + 1] - bounds[i])
-                places = at[first[i] : first[i + 1]][whole[first[i] : first[i + 1]]] - bounds[i]
-                own = [(max(p - SIDE, 0), min(p + LENGTH, size)) for p in places.tolist()]
+                own = [(max(p - SIDE, 0), min(p + LENGTH, size)) for p in places.get(row + i, np.zeros(0, int)).tolist()]
                 own += [(s["start"], s["end"]) for s in spans[row + i] or () if s["text_hash"] == whole_texts[i]]
                 merged: list[list[int]] = []
                 for start, end in sorted(own):
@@ -396,9 +446,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     The texts move once, by id; both readers of the key lists share that exchange.
     """
-    texts = _texts(docs)
-    lists = staged(_key_lists(docs), "keys")
-    spans = _partial_spans(texts, lists).distinct().groupBy("doc_id").agg(
+    texts, dealt = _texts(docs), _Dealt(docs)
+    lists = staged(_key_lists(docs, dealt), "keys")
+    spans = _partial_spans(texts, lists, dealt).distinct().groupBy("doc_id").agg(
         F.collect_list(F.struct("text_hash", "start", "end")).alias("spans")
     )
     known = texts.join(lists, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "text", "wholes", "spans")

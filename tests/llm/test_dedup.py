@@ -44,9 +44,11 @@ def test_nothing_in_nothing_out(empty):
     assert lines.strip_boilerplate(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100, 2])
 @pytest.mark.parametrize("big", [50_000, 3])
-def test_repeats(docs, rows, result, monkeypatch, big):
+def test_repeats(docs, rows, result, monkeypatch, big, hot):
     monkeypatch.setattr(repeats, "BIG", big)
+    monkeypatch.setattr(repeats, "HOT_DOCS", hot)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37" if big == 3 else "2000")
     got = result(repeats.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
