@@ -6,10 +6,10 @@ the longest run ending there that occurs in some item. A length of WINDOW or mor
 so does the whole of a shorter item. Hits of a document are merged into spans; a document is contaminated
 if spans cover at least a twentieth of its words.
 
-The benchmark is a query set, read in blocks: a block has about BLOCK_BYTES of text, is shipped to the
-workers as one broadcast of that size, and is one narrow pass over the documents. No shuffle at all.
-Several blocks chain; after every fourth the rows go to the shared folder, so that no task runs
-more than four automata.
+The benchmark is a query set, read in blocks of its distinct items: a block has about BLOCK_BYTES of text, is
+shipped to the workers as one broadcast of that size, and is one narrow pass over the documents. No shuffle of
+documents at all. Several blocks chain; after every fourth the rows go to the shared folder and the blocks
+are let go, so that no task runs more than four automata and the driver holds no more blocks.
 
 Defined cases: a null or wordless text has no hits and is clean; a null or wordless item has no
 window; an item without id counts as one item named `null`, repeated ids count once; repeated
@@ -164,14 +164,19 @@ def _automaton(name: str, block) -> Automaton:
     return _built[name]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items block by block; each block is what the driver and a broadcast hold at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    """How many blocks the distinct items make, and the blocks, each read when it is asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text"))
+    items = items.where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-total // block_bytes) or 1
-    for number in range(count):
-        rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == number).collect()
-        yield [(r["name"], words_of(bytes(r["text"]))) for r in rows if r["text"] is not None]
+
+    def read() -> Iterator[list[tuple[str, list[bytes]]]]:
+        for number in range(count):
+            rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == number).toLocalIterator()
+            yield [(r["name"], words_of(bytes(r["text"]))) for r in rows]
+
+    return count, read()
 
 
 def scan(
@@ -179,18 +184,23 @@ def scan(
 ) -> DataFrame:
     """The columns kept, with _dc_n_words, _dc_spans (merged, of words) and _dc_items of each row."""
     spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, block_bytes))
+    count, blocks = _blocks(benchmark, block_bytes)
     out = docs.select(*dict.fromkeys([*keep, "text"]))
+    held = []
     for number, items in enumerate(blocks):
-        out = _pass(out, spark.sparkContext.broadcast((items, window)), keep, number == 0, number == len(blocks) - 1)
-        if number % 4 == 3 and number < len(blocks) - 1:
+        held.append(spark.sparkContext.broadcast((items, window)))
+        out = _pass(out, held[-1], keep, number == 0, number == count - 1)
+        if number % 4 == 3 and number < count - 1:
             out = staged(out, "contamination")
+            for block in held:
+                block.unpersist()
+            held = []
     return out
 
 
 def _pass(docs: DataFrame, block, keep: list[str], first: bool, last: bool) -> DataFrame:
-    own = [c for c in docs.columns if not c.startswith("_dc_") and (not last or c in keep)]
     added = T._parse_datatype_string(_ADDED)
+    own = [c for c in docs.columns if c not in added.names and (not last or c in keep)]
     schema = T.StructType([docs.schema[c] for c in own] + added.fields)
     name = f"{block._jbroadcast.id()}-{docs.sparkSession.sparkContext.applicationId}"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .hashing import U64, chunks, mix, prefix_sums, run_hashes, words
@@ -278,10 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """One document of each group of near-duplicates, and every row without id; columns as they are."""
-    kept = near_duplicates(docs, width).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates, and every row without id; columns as they are.
+
+    Of rows that share an id, the one with the smallest hash of all its values stays, whichever task finds it.
+    """
+    kept = near_duplicates(docs, width).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    hashed = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    named = docs.join(kept, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), F.xxhash64(*hashed).alias("place"))
+    one = named.groupBy("doc_id").agg(F.min_by("row", "place").alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

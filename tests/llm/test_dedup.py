@@ -37,6 +37,16 @@ def test_keep_first_leaves_one_of_each_group(docs, rows, result):
     assert ids == sorted([(i,) for i, (_, c) in expected.items() if i == c] + [(None,)] * 3, key=repr)
 
 
+def test_keep_first_whatever_the_columns_and_the_tasks(spark):
+    """An inner name as a column, and two texts of one id: the same row stays, however rows are dealt."""
+    texts = [(1, "a b c d e f", "x"), (1, "g h i j k l m", "y"), (2, "a b c d e f", None), (None, "n o", "z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, _kept string")
+    got = {tuple(sorted(map(tuple, near_dedup.keep_first(x).collect()), key=repr)) for x in (df, df.repartition(3), df.orderBy("_kept").coalesce(1))}
+    assert len(got) == 1
+    (rows,) = got
+    assert len([r for r in rows if r[0] == 1]) == 1 and texts[3] in rows
+
+
 def test_nothing_in_nothing_out(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.keep_first(empty).count() == 0
