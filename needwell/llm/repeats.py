@@ -6,7 +6,7 @@ windows hold equal anchors, so suffixes need to start at anchors only, some six
 1. What a window can reach around an anchor (LENGTH - GRAM bytes to both sides) is its context. Rows hold
    GROUP_BITS of the anchor's hash, then all 64 bits of the context's: the first of these share a column with
    the group, so one column settles most of the order. Distinct (anchor, context, document) rows are
-   dealt by ranges of the hash, which are even as they are, and sorted. A row after another document with the same
+   dealt by anchor and sorted. A row after another document with the same
    context is a whole repeat. Of the rest, anchors with one context only are dropped; a group of anchors
    cut by the border of a batch stays in any case. Anchors that HOT_DOCS of a sample of documents have
    are spread over partitions of their own, where all that is no whole repeat stays.
@@ -51,7 +51,7 @@ BIG = 50_000
 GROUP_BITS = 40
 #: frequent anchors are those of HOT_DOCS documents in a sample of about HOT_SAMPLE
 HOT_SAMPLE = 20_000
-HOT_DOCS = 100
+HOT_DOCS = 400
 HOT_WAYS = 16
 
 
@@ -345,7 +345,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 class _Dealt:
-    """How anchors go to partitions: by ranges of their hash, frequent ones spread over as many again."""
+    """How anchors go to partitions: by a hash, frequent ones spread over as many again."""
 
     def __init__(self, docs: DataFrame):
         self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -364,7 +364,8 @@ class _Dealt:
     def out(self, rows: DataFrame, name: str, context: str) -> DataFrame:
         """Rows by the hash in a column, each group in one partition; of frequent ones each context in HOT_WAYS."""
         group = self._group(name)
-        even = F.shiftright(group * self.parts, GROUP_BITS)
+        # anchors are the smallest hashes around, so their ranges are uneven until they are hashed again
+        even = F.pmod(F.xxhash64(group), F.lit(self.parts))
         spread = self.parts + F.pmod(F.xxhash64(context, F.pmod("doc_id", F.lit(HOT_WAYS))), F.lit(self.parts))
         part = F.when(group.isin(self.frequent), spread).otherwise(even) if self.frequent else even
         return rows.repartitionById(2 * self.parts, part.cast("int"))
