@@ -361,12 +361,13 @@ class _Dealt:
     def _group(name: str) -> Column:
         return F.shiftrightunsigned(name, 64 - GROUP_BITS)
 
-    def out(self, rows: DataFrame, name: str, context: str) -> DataFrame:
-        """Rows by the hash in a column, each group in one partition; of frequent ones each context in HOT_WAYS."""
+    def out(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows by the hash in a column, each group in one partition; frequent ones in HOT_WAYS, more where there are many parts."""
         group = self._group(name)
         # anchors are the smallest hashes around, so their ranges are uneven until they are hashed again
         even = F.pmod(F.xxhash64(group), F.lit(self.parts))
-        spread = self.parts + F.pmod(F.xxhash64(context, F.pmod("doc_id", F.lit(HOT_WAYS))), F.lit(self.parts))
+        ways = max(HOT_WAYS, self.parts // 8)
+        spread = self.parts + F.pmod(F.xxhash64(group, F.pmod(F.xxhash64("doc_id"), F.lit(ways))), F.lit(self.parts))
         part = F.when(group.isin(self.frequent), spread).otherwise(even) if self.frequent else even
         return rows.repartitionById(2 * self.parts, part.cast("int"))
 
@@ -375,7 +376,7 @@ def _key_lists(docs: DataFrame, dealt: _Dealt) -> DataFrame:
     """doc_id, wholes, parts: the context hashes of a document's whole repeats, and of those that may be partial."""
     parts = dealt.parts
     holders = _texts(docs).mapInArrow(_holders, "key long, rest long, doc_id long")
-    ordered = dealt.out(holders, "key", "rest").sortWithinPartitions("key", "rest", "doc_id")
+    ordered = dealt.out(holders, "key").sortWithinPartitions("key", "rest", "doc_id")
     kinds = ordered.mapInArrow(lambda batches: _sorted_out(batches, parts), "doc_id long, key long, whole boolean")
     return kinds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("whole"), F.col("key"))).alias("wholes"),
@@ -389,7 +390,7 @@ def _partial_spans(texts: DataFrame, lists: DataFrame, dealt: _Dealt) -> DataFra
     rows = texts.join(lists, "doc_id").where(F.size("parts") > 0).mapInArrow(
         _partial, "h long, context binary, doc_id long, at long, text_hash long"
     )
-    ordered = dealt.out(rows, "h", "context").sortWithinPartitions("h")
+    ordered = dealt.out(rows, "h").sortWithinPartitions("h")
     reaches = ordered.mapInArrow(lambda batches: _reaches(batches, parts), _REACH)
     windows = reaches.where("window IS NOT NULL")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
