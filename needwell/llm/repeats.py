@@ -8,8 +8,8 @@ windows hold equal anchors, so suffixes need to start at anchors only, some six
    the group, so one column settles most of the order. Distinct (anchor, context, document) rows are
    dealt by anchor and sorted. A row after another document with the same
    context is a whole repeat. Of the rest, anchors with one context only are dropped; a group of anchors
-   cut by the border of a batch stays in any case. Anchors that HOT_DOCS of a sample of documents have
-   are spread over partitions of their own, where all that is no whole repeat stays.
+   cut by the border of a batch stays in any case. Anchors that more than BIG documents have, going by
+   a sample, are spread over partitions of their own, where all that is no whole repeat stays.
 2. Each document gets back its context hashes of both kinds. The contexts of the kind that is left are cut out of
    its text and sorted by anchor and right context: a suffix array, with the common-prefix lengths of
    neighbours beside it. The intervals of its common-prefix tree are visited by depth; inside one, the
@@ -49,9 +49,9 @@ SIDE = LENGTH - GRAM
 WIDTH = 2 + 2 * SIDE
 BIG = 50_000
 GROUP_BITS = 40
-#: frequent anchors are those of HOT_DOCS documents in a sample of about HOT_SAMPLE
+#: frequent anchors have over BIG rows, going by HOT_DOCS documents or more in a sample of about HOT_SAMPLE
 HOT_SAMPLE = 20_000
-HOT_DOCS = 400
+HOT_DOCS = 100
 HOT_WAYS = 16
 
 
@@ -353,7 +353,7 @@ class _Dealt:
         sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
         held = sample.mapInArrow(_holders, "key long, rest long, doc_id long")
         one = held.select(self._group("key").alias("anchor"), "doc_id").distinct()
-        many = one.groupBy("anchor").agg(F.count("*").alias("docs")).where(F.col("docs") >= HOT_DOCS)
+        many = one.groupBy("anchor").agg(F.count("*").alias("docs")).where(F.col("docs") >= max(HOT_DOCS, BIG // every))
         # a document has a bounded share of its bytes as anchors, so few can be in so many documents
         self.frequent = [r["anchor"] for r in many.select("anchor").collect()]
 
