@@ -70,25 +70,29 @@ def page_title(html: Column) -> Column:
 def _element(html: Column, name: str) -> Column:
     """What the first element of a name holds, up to its own end tag or the end of the page.
 
-    Start and end tags cut the page into pieces, and a running depth tells which of them are inside.
+    Start and end tags cut the page into pieces; a running depth finds the tags between which the element lies,
+    and its pieces are joined once.
     """
     tag = rf"(?is)</?{name}\b{_ATTRS}>"
-    pieces = F.split(html, tag, -1)
-    steps = F.zip_with(
+    steps = F.transform(
         F.regexp_extract_all(html, F.lit(tag), F.lit(0)),
-        F.slice(pieces, F.lit(2), F.size(pieces)),
-        lambda t, p: F.struct(F.when(t.startswith("</"), -1).otherwise(1).alias("step"), p.alias("piece")),
+        lambda t, i: F.struct(F.when(t.startswith("</"), -1).otherwise(1).alias("step"), i.alias("at")),
     )
-
-    def state(depth: Column, text: Column, closed: Column) -> Column:
-        return F.struct(depth.alias("depth"), text.alias("text"), closed.alias("closed"))
+    before = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("opened"), F.lit(-1).alias("closed"))
 
     def follow(s: Column, x: Column) -> Column:
         depth = s["depth"] + x["step"]
-        inside = F.when(depth > 0, F.concat(s["text"], F.lit(" "), x["piece"])).otherwise(s["text"])
-        return F.when(s["closed"] | (depth < 0), s).otherwise(state(depth, inside, depth == 0))
+        opened = F.when(s["opened"] < 0, x["at"]).otherwise(s["opened"])
+        closed = F.when(depth == 0, x["at"]).otherwise(F.lit(-1))
+        moved = F.struct(depth.alias("depth"), opened.alias("opened"), closed.alias("closed"))
+        return F.when((s["closed"] >= 0) | (depth < 0), s).otherwise(moved)
+
+    def inside(s: Column) -> Column:
+        count = F.when(s["closed"] >= 0, s["closed"]).otherwise(F.size(steps)) - s["opened"]
+        pieces = F.slice(F.split(html, tag, -1), s["opened"] + 2, count)
+        return F.when(s["opened"] >= 0, F.array_join(pieces, " ")).otherwise("")
 
-    return F.aggregate(steps, state(F.lit(0), F.lit(""), F.lit(False)), follow)["text"]
+    return F.aggregate(steps, before, follow, inside)
 
 
 def main_text(html: Column) -> Column:
@@ -137,19 +141,34 @@ def first_profile_url(html: Column, platform: Platform) -> Column:
     return F.when(F.contains(html, F.lit(platform.profile_path)), first)
 
 
+_STRING = r"\"(?:[^\"\\]++|\\.)*+\""
+
+
+def json_strings(block: Column, name: str) -> Column:
+    """Every string that stands under a key in valid JSON, at any depth and in the order of the text.
+
+    The string tokens of the text are taken in turn, each key together with a string behind it, so nothing inside
+    another string is taken for a key. What may be the key is read as an object of its own, which resolves escapes
+    in key and value. (A walk over a VARIANT would lose the order: its objects are sorted by key.)
+    """
+    tokens = F.regexp_extract_all(block, F.lit(rf"(?s){_STRING}(?:\s*+:\s*+{_STRING})?"), F.lit(0))
+    named = F.filter(tokens, lambda t: t.startswith(f'"{name}"') | t.rlike(rf"^\"[^\"]*\\"))
+    member = lambda t: F.try_parse_json(F.concat(F.lit("{"), t, F.lit("}")))
+    values = F.transform(named, lambda t: F.try_variant_get(member(t), f"$.{name}", "string"))
+    return F.filter(values, lambda v: v.isNotNull())
+
+
 def posted_at(html: Column) -> Column:
-    """First readable ``datePublished`` of the JSON-LD blocks, else ``<time datetime>``."""
+    """First readable ``datePublished`` of the JSON-LD blocks, else ``<time datetime>``.
+
+    A block that is no valid JSON, or names a key of one object twice, is passed over.
+    """
     block = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
     valid = F.filter(
         F.regexp_extract_all(html, F.lit(block), F.lit(1)),
         lambda b: F.try_parse_json(b).isNotNull(),
     )
-    dates = F.flatten(
-        F.transform(
-            valid,
-            lambda b: F.regexp_extract_all(b, F.lit(r'"datePublished"\s*:\s*"([^"\\]*)"'), F.lit(1)),
-        )
-    )
+    dates = F.flatten(F.transform(valid, lambda b: json_strings(b, "datePublished")))
     readable = F.filter(F.transform(dates, parse_iso), lambda t: t.isNotNull())
     published = F.when(
         F.contains(html, F.lit("ld+json")), F.try_element_at(readable, F.lit(1))
@@ -165,7 +184,7 @@ def link_targets(html: Column) -> Column:
 
 __all__ = [
     "BLOCKED", "OK", "PARSE_ERROR", "attribute", "author_from_slug", "author_headline",
-    "decode_entities", "first_profile_url", "is_wall", "link_targets", "main_text",
+    "decode_entities", "first_profile_url", "is_wall", "json_strings", "link_targets", "main_text",
     "meta_content", "meta_tags", "page_title", "plausible_name", "posted_at",
     "split_named_body", "visible_text", "without_comments",
 ]

@@ -154,3 +154,40 @@ def test_link_entities(apply):
     page = "<a href='/x?a=1&amp;b=2'>1</a><a href=\"/y?q=&#233;&quot;&lt\">2</a><a>none</a><a href='/z\n?u=&copy;'>3</a>"
     plain = "<a href='/x?a=1&amp;b=2&c'>1</a>"
     assert apply(html.link_targets, [page, plain, "no links"]) == [["/x?a=1&b=2", '/y?q=é"<', "/z?u=©"], ["/x?a=1&b=2&c"], []]
+
+
+def test_strings_of_a_key_at_any_depth(apply):
+    from needwell.functions import html
+
+    blocks = {
+        r'{"d":"1","x":{"y":[{"d":"2"},["d",{"d":3,"e":"d"}]]},"d2":"no","a":{"d":{"d":"4"}}}': ["1", "2", "4"],
+        r'{"x":"\"d\":\"no\"","\u0064":"a\u002db\/c","y\\":"d","d" : "\"5\""}': ["a-b/c", '"5"'],
+        r'["d","d",{"z":"b","d":"1","a":{"d":"2"}},{"d":""}]': ["1", "2", ""],
+        r'{"d":null,"e":{}}': [],
+        '"d"': [],
+    }
+    assert apply(lambda c: html.json_strings(c, "d"), list(blocks)) == list(blocks.values())
+
+
+def test_dates_of_posts(apply):
+    from needwell.functions import html
+
+    block = '<script type="application/ld+json">%s</script>'
+    pages = {
+        block % r'{"text":"\"datePublished\":\"2020-01-01\"","b":[{"z":{"date\u0050ublished":"2025\u002d02-03"}}]}': datetime(2025, 2, 3),
+        block % '{"z":{"datePublished":"2025-02-04"},"a":{"datePublished":"2025-02-03"}}': datetime(2025, 2, 4),
+        block % '{"datePublished":broken}' + block % '{"datePublished":"2025-02-05"}': datetime(2025, 2, 5),
+        block % '{"datePublished":"soon"}' + "<time datetime='2025-02-06'>": datetime(2025, 2, 6),
+        block % ('{"a":' * 50 + '{"datePublished":"2025-02-07"}' + "}" * 50): datetime(2025, 2, 7),
+        block % ('{"t":"%s","datePublished":"2025-02-08"}' % (r"\"" * 100_000)): datetime(2025, 2, 8),
+        "": None,
+    }
+    assert apply(html.posted_at, list(pages)) == list(pages.values())
+
+
+def test_an_element_of_very_many_pieces(apply):
+    from needwell.functions import html
+
+    deep = "<article>a" * 30_000 + "</article>" * 30_000 + "<article>no</article>"
+    (text,) = apply(html.main_text, [deep])
+    assert text == " ".join("a" * 30_000)

@@ -338,7 +338,8 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HEADS = (
     '<meta property="og:title" content="Wrong title"><meta property="og:description" content="Paul McCarron on LinkedIn: We need help &amp; advice N">'
-    '<script type="application/ld+json">{"@type":"Post","inner":[{"datePublished":"soon"},{"datePublished":"2024-01-1DT14:22:00.000Z"}]}</script>',
+    r'<script type="application/ld+json">{"@type":"Post","text":"a \"datePublished\":\"2020-02-02\" in words","inner":[{"datePublished":"soon"},'
+    r'{"a":[[{"b":{"date\u0050ublished":"2024\u002d01-1DT14:22:00.000Z"}}]]},{"datePublished":"2021-01-01"}]}</script>',
     "<meta content='Looking for an agency N' name='og:title'/>",
     "",
     '<meta property="og:title" content="Sign Up | LinkedIn">',
@@ -421,7 +422,7 @@ _READ_SQL = (
     f"""SELECT page_id, url, html, {_meta_sql('og:title')} AS og_title, {_meta_sql('og:description')} AS og_description,
       {_decoded_sql(q.collapse("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, {_ARTICLE} AS body,
       regexp_extract(html, '<a [^>]*href="((?:https:|//|/in/)[^"]*/in/[^"]*|/in/[^"]*)"', 1) AS profile,
-      coalesce(nullif(regexp_extract(html, '"datePublished":"(20[^"]*)"', 1), ''), regexp_extract(html, '<time[^>]* datetime="([^"]*)"', 1)) AS stamp,
+      coalesce(nullif(regexp_extract(replace(replace(html, '\\u0050', 'P'), '\\u002d', '-'), '"datePublished":"(20[^"]*)"', 1), ''), regexp_extract(html, '<time[^>]* datetime="([^"]*)"', 1)) AS stamp,
       {_decoded_sql(r"trim(coalesce(nullif(regexp_extract(html, '<p class=.author-headline.>([^<]*)</p>', 1), ''), regexp_extract(html, '<span data-test-id=.author-headline. class=.x.>([^<]*)</span>', 1)))")} AS headline
       FROM post_pages""",
 )
