@@ -4,8 +4,11 @@ A conversation is cut into windows of whole turns. Prefix sums of turn tokens ch
 body budget of a window is halved, a turn belongs to the half-budget step that its prefix sum ends
 in, and a turn longer than a step stands alone; so a window's own turns never exceed the body
 budget, unless a single turn does. Each window starts with the system turn of the conversation,
-then repeats the last turns of the window before it, as far as the history budget goes. Repeated
-turns are marked and take no part in the loss: each assistant turn is a target exactly once.
+then repeats the last turns of the window before it, as far as the history budget goes. A system turn
+longer than half the body budget is not retained in every window, or each would be little but that
+turn: it is an ordinary turn then, kept whole, once. So only a window with one own turn can exceed the
+budget, and only by that turn. Repeated turns are marked and take no part in the loss: each assistant
+turn is a target exactly once.
 
 Template of a turn: `<s>[INST]` mark `:` role `[/INST]` text `</s>`; mark is `o` for a window's own
 turn and `r` for a repeated one. Inside roles and texts a backslash is doubled and a control string
@@ -64,9 +67,11 @@ def format_windows(
         "pos",
         "_role",
         escape(F.col("_text")).alias("_esc"),
-        ((F.col("pos") == 1) & (F.col("_role") == "system")).alias("_sys"),
+        ((F.col("pos") == 1) & (F.col("_role") == "system")).alias("_first"),
+    )
+    sized = ranked.withColumn("_tokens", (count_tokens(F.col("_esc")) + PER_TURN).cast("long")).withColumn(
+        "_sys", F.col("_first") & (F.col("_tokens") <= (budget - history) // 2)
     )
-    sized = ranked.withColumn("_tokens", (count_tokens(F.col("_esc")) + PER_TURN).cast("long"))
     body_tokens = F.when(F.col("_sys"), F.lit(0)).otherwise(F.col("_tokens"))
     step = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("_sys_tokens")) / 2))
     cut = (
@@ -179,7 +184,8 @@ turns AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given)),
 sized AS (
-  SELECT *, pos = 1 AND role = 'system' AS sys, CAST(ceil(strlen(esc) / 4) AS BIGINT) + {PER_TURN} AS tokens FROM turns),
+  SELECT *, pos = 1 AND role = 'system' AND tokens <= {(BUDGET - HISTORY) // 2} AS sys
+  FROM (SELECT *, CAST(ceil(strlen(esc) / 4) AS BIGINT) + {PER_TURN} AS tokens FROM turns)),
 ended AS (
   SELECT *, coalesce(max(tokens) FILTER (WHERE sys) OVER (PARTITION BY conv_id), 0) AS sys_tokens,
     sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM sized),

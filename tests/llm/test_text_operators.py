@@ -92,6 +92,21 @@ def test_chat_reads_back_whole(spark, budget, history):
         assert row["targets"] == "".join(t for _, r, t in turns if r == "assistant")
 
 
+def test_a_long_system_turn_is_kept_once(spark):
+    """A system turn over half of what a window may hold is no part of the other windows, and budgets hold."""
+    data = [(1, 0, "system", "s" * 40_000)] + [(1, i, "user" if i % 2 else "assistant", "t" * 11) for i in range(1, 401)]
+    data += [(2, 0, "system", "s" * 4 * (384 - chat.PER_TURN))] + [(2, i, "user", "t" * 400) for i in range(1, 30)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(df).orderBy("conv_id", "window").collect()
+    size = lambda w: sum(len(p.split("[/INST]")[1]) / 4 + chat.PER_TURN for p in w["formatted"].split("</s>")[:-1])
+    long, short = ([w for w in windows if w["conv_id"] == c] for c in (1, 2))
+    assert [w["formatted"].count("ssss") > 0 for w in long] == [True] + [False] * (len(long) - 1) and len(long) < 30
+    assert all(size(w) <= chat.BUDGET for w in [*long[1:], *short]) and sum(len(w["formatted"]) for w in long) < 70_000
+    assert all(w["formatted"].startswith("<s>[INST]%s:system" % ("r" if w["window"] else "o")) for w in short) and len(short) > 1
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(df)).collect()}
+    assert back[1]["targets"] == "t" * 11 * 200 and back[1]["n_turns"] == 401
+
+
 def test_chat_windows_keep_budget_and_history(spark):
     turns = [(1, t, "system" if t == 0 else ("user", "assistant")[t % 2], "abcd" * 20) for t in range(30)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
