@@ -369,3 +369,106 @@ def test_cosine_is_that_of_plain_vectors():
         for v in map(vector, texts)
     )
     assert scorer.best(part) == best
+
+
+SENTENCE = licenses.TEMPLATES["GPL-3.0"][1].replace("or any later", "or (at your option) any later")
+BY = licenses.TEMPLATES["CC-BY-4.0"][1]
+CLAUSES = licenses.TEMPLATES["BSD-2-Clause"][1].replace(": ", ":\n").replace(". ", ".\n")
+FAMILIES = {
+    SENTENCE: "GPL-3.0",
+    SENTENCE.replace("version 3", "version 2"): "GPL-2.0",
+    SENTENCE.replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+    SENTENCE.replace("GNU General", "GNU Lesser General"): "LGPL-3.0",
+    SENTENCE.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"): "LGPL-2.1",
+    SENTENCE.replace("version 3", "version 1"): None,
+    BY: "CC-BY-4.0",
+    BY.replace("Attribution", "Attribution-ShareAlike"): "CC-BY-SA-4.0",
+    BY.replace("Attribution", "Attribution-NoDerivatives"): "CC-BY-ND-4.0",
+    BY.replace("Attribution", "Attribution-NonCommercial"): "CC-BY-NC-4.0",
+    BY.replace("Attribution", "Attribution-NonCommercial-\nShareAlike"): "CC-BY-NC-SA-4.0",
+    BY.replace("Attribution", "Attribution-NonCommercial-NoDerivatives"): "CC-BY-NC-ND-4.0",
+    BY.replace("4.0", "3.0"): None,
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Copyright 2020 A\n" + CLAUSES: "BSD-2-Clause",
+    CLAUSES + "\n" + "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote "
+    "products derived from this software without\nspecific prior written permission.": "BSD-3-Clause",
+    CLAUSES.split("\n")[0]: None,
+    "Mozilla Public License Version 2.0\n==================\n1. Definitions": "MPL-2.0",
+    "ISC License\nCopyright (c) A\n" + licenses.TEMPLATES["ISC"][1] + "\nTHE SOFTWARE IS PROVIDED AS IS": "ISC",
+    licenses.TEMPLATES["Unlicense"][0]: "Unlicense",
+    "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "# SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+    "// SPDX-License-Identifier: GPL-2.0+": "GPL-2.0",
+    "SPDX-License-Identifier: EPL-2.0": None,
+    "SPDX-License-Identifier: MIT": "MIT",
+    "This file is not licensed under the MIT License.": None,
+    "This file is no longer\nlicensed under the MIT License.": None,
+}
+
+
+def test_licences_of_a_family_are_told_apart(spark):
+    """Each notice alone, between lines of code, and in the middle of a long text."""
+    data = []
+    for n, notice in enumerate(FAMILIES):
+        code = [f"x{i} = y{i * n}" for i in range(40)]
+        data += [(f"a{n}", notice), (f"b{n}", "\n".join(["#!x", notice, *code])), (f"c{n}", "\n".join([*code, notice, *code]))]
+    found = {r["path"]: r["own_license"] for r in licenses.license_scan(spark.createDataFrame(data, "path string, text string"), apart=True).collect()}
+    assert {p: (found[p], t) for p, t in data if found[p] != list(FAMILIES.values())[int(p[1:])]} == {}
+
+
+def plain_scan(files):
+    """Licence and score of each text: every run of lines against every template, one by one."""
+    vocabulary = {t for texts in licenses.TEMPLATES.values() for text in texts for t in licenses.terms(text)}
+    total, held = len(files), dict.fromkeys(vocabulary, 0)
+    for _, text in files:
+        for t in vocabulary.intersection(licenses.terms(text or "")):
+            held[t] += 1
+    weight = lambda t: np.log((total + 1) / (held.get(t, 0) + 1)) + 1
+
+    def vector(text):
+        own = licenses.terms(text)
+        return {t: own.count(t) * weight(t) for t in own}
+
+    def cosine(x, y):
+        size = np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return round(float(sum(v * y.get(t, 0) for t, v in x.items()) / size), 6) if size else 0.0
+
+    templates = [(name, vector(text)) for name in sorted(licenses.TEMPLATES) for text in licenses.TEMPLATES[name]]
+    out = {}
+    for path, text in files:
+        lines = [line for line in (text or "").split("\n") if line.strip()]
+        runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+        best = 0.0, None
+        for i, j in runs:
+            part, around = "\n".join(lines[i:j]), "\n".join(lines[max(i - 1, 0) : j + 1])
+            own = vector(part)
+            for name, template in templates:
+                score = cosine(own, template)
+                if score >= licenses.THRESHOLD and score > best[0] and licenses.stands(name, part, around):
+                    best = score, name
+        out[path] = best
+    return out
+
+
+def test_licences_against_every_run_of_lines(spark):
+    rng = random.Random(12)
+    pieces = [line for texts in licenses.TEMPLATES.values() for text in texts for line in (text, *text.split(", "))]
+    words = ["the", "license", "version", "x", "public", "zeta", "2.0", "not"]
+    files = []
+    for i in range(60):
+        lines = [rng.choice([rng.choice(pieces), " ".join(rng.choices(words, k=rng.randint(0, 9)))]) for _ in range(rng.randint(0, 7))]
+        files.append((f"p{i}", "\n".join(lines)))
+    files += [("null", None), ("empty", "")]
+    want = plain_scan(files)
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["path"]: (r["own_license"], r["score"]) for r in licenses.license_scan(df, apart=True).collect()}
+    for path, (score, name) in want.items():
+        licence, found = got[path]
+        assert (licence is None) == (name is None) and (name is None or abs(found - score) < 2e-6), path
+    assert sum(name is not None for _, name in want.values()) > 20
+
+
+def test_licences_on_hostile_rows(docs, rows, empty):
+    files = docs.withColumn("path", F.concat(F.lit("a/"), F.col("doc_id").cast("string")))
+    assert licenses.license_scan(files, keep=("doc_id",), apart=True).count() == len(rows)
+    assert licenses.license_scan(empty.withColumn("path", F.lit("x")), apart=True).count() == 0
