@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z) and cut into words. One automaton holds every run of
 items; the words of a document stream through it, and at each word its state and match length tell
 the longest run ending there that occurs in some item. A length of WINDOW or more means a hit, and
 so does the whole of a shorter item. Hits of a document are merged into spans; a document is contaminated
-if spans cover at least a twentieth of its words.
+if spans cover at least a twentieth of its words. `cut_contaminated` takes out of the texts the spans that
+are too long, or all spans where they cover too much; `drop_contaminated` leaves out the documents instead.
 
 The benchmark is a query set, read in blocks of its distinct items: a block has about BLOCK_BYTES of text, is
 shipped to the workers as one broadcast of that size, and is one narrow pass over the documents. No shuffle of
@@ -13,11 +14,14 @@ are let go, so that no task runs more than four automata and the driver holds no
 
 Defined cases: a null or wordless text has no hits and is clean; a null or wordless item has no
 window; an item without id counts as one item named `null`, repeated ids count once; repeated
-documents are judged each; empty tables give no rows, or no hits.
+documents are judged each; empty tables give no rows, or no hits. Spans are cut from the start of their first word to
+the end of their last one, as found in the text as given: what remains is not scanned again, and a text that is
+nothing but spans keeps the signs around them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +39,8 @@ BLOCK_BYTES = 1 << 20
 _IS_WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else (b if b in _IS_WORD else 0x20) for b in range(256))
 
+_SPACED = bytes(b if b in _IS_WORD or 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+
 _ADDED = "_dc_n_words long, _dc_spans array<struct<start:long,end:long>>, _dc_items array<string>"
 
 
@@ -260,6 +266,38 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     return scan(docs, benchmark, docs.columns, **options).where(~_contaminated()).select(*docs.columns)
 
 
+_RUN = re.compile(rb"[^ ]+")
+
+
+def without_spans(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    """A text in UTF-8 without the words of some spans; spans are in order and apart."""
+    places = [m.span() for m in _RUN.finditer(text.translate(_SPACED))]
+    kept, at = [], 0
+    for span in spans:
+        kept.append(text[at : places[span["start"]][0]])
+        at = places[span["end"] - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans; null texts, which have nothing to cut, stay null."""
+    texts = (t.as_py() for t in text.cast(pa.binary()))
+    cut = [None if t is None else without_spans(t, s) for t, s in zip(texts, spans.to_pylist(), strict=True)]
+    return pa.array(cut, pa.binary()).cast(pa.string())
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, coverage: int = COVERAGE, **options) -> DataFrame:
+    """All rows of documents, their texts without spans of `length` words or more, and without any
+    span where together they are one in `coverage` words or more. Only texts that change leave the JVM.
+    """
+    long = F.filter("_dc_spans", lambda s: s["end"] - s["start"] >= length)
+    out = F.when(coverage * _hit_words() >= F.col("_dc_n_words"), F.col("_dc_spans")).otherwise(long)
+    found = scan(docs, benchmark, docs.columns, **options).withColumn("_dc_out", out)
+    text = F.coalesce(_cut(F.when(F.size("_dc_out") > 0, F.col("text")), F.col("_dc_out")), "text")
+    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,6 +1,7 @@
 """Personal data, chat windows, encoding, quality, contamination, sharding and licences against plain versions."""
 
 import random
+import re
 import zlib
 
 import brute
@@ -254,6 +255,52 @@ def test_decontamination_leaves_the_rest_alone(spark, docs, rows, empty):
     assert contamination.drop_contaminated(empty, table).count() == 0
 
 
+def plain_cut(text, table, length, coverage):
+    """A text without runs of words that lie in windows of items, found window by window."""
+    find = lambda t: list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)))
+    windows = set()
+    for _, item in table:
+        words = [m.group() for m in find(item or "")]
+        size = min(len(words), contamination.WINDOW)
+        windows |= {tuple(words[i : i + size]) for i in range(len(words) - size + 1) if size}
+    found = find(text)
+    words, hit = [m.group() for m in found], [False] * len(found)
+    for size in {len(w) for w in windows}:
+        for i in range(len(words) - size + 1):
+            if tuple(words[i : i + size]) in windows:
+                hit[i : i + size] = [True] * size
+    every, out, i = coverage * sum(hit) >= len(words), "", 0
+    end = 0
+    while i < len(words):
+        j = i
+        while j < len(words) and hit[j]:
+            j += 1
+        if j > i and (every or j - i >= length):
+            out, end = out + text[end : found[i].start()], found[j - 1].end()
+        i = max(j, i + 1)
+    return out + text[end:]
+
+
+@pytest.mark.parametrize(("length", "coverage", "block_bytes"), [(13, 20, 1 << 20), (20, 2, 400), (1, 1, 1 << 20)])
+def test_spans_are_cut_out(spark, length, coverage, block_bytes):
+    docs, table = items()
+    docs = [(i, t and f"Ünö {t} -é-") for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("x"))
+    given = spark.createDataFrame(table, "item_id long, text string")
+    cut = contamination.cut_contaminated(df, given, length, coverage, block_bytes=block_bytes)
+    assert cut.columns == df.columns
+    want = [(i, None if t is None else plain_cut(t, table, length, coverage)) for i, t in docs]
+    assert sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(w != t for (_, w), (_, t) in zip(want, docs, strict=True)) > 20
+
+
+def test_cutting_leaves_the_rest_alone(spark, docs, rows, empty):
+    table = spark.createDataFrame([(1, rows[0][1]), (2, None)], "item_id long, text string")
+    cut = contamination.cut_contaminated(docs, table.limit(0))
+    assert cut.columns == docs.columns and cut.exceptAll(docs).count() == 0 and cut.count() == len(rows)
+    assert contamination.cut_contaminated(empty, table).count() == 0
+
+
 def test_licences(spark):
     notice = licenses.TEMPLATES["MIT"][2]
     files = [
