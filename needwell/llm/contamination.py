@@ -261,9 +261,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
+def _scanned(docs: DataFrame, benchmark: DataFrame, **options) -> tuple[DataFrame, list[str]]:
+    """All columns of documents under names that cannot meet those of the scan, but for the text; and these names."""
+    names = ["text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]
+    return scan(docs.toDF(*names), benchmark, names, **options), names
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of documents that are not contaminated, with their columns as they are."""
-    return scan(docs, benchmark, docs.columns, **options).where(~_contaminated()).select(*docs.columns)
+    found, names = _scanned(docs, benchmark, **options)
+    return found.where(~_contaminated()).select(*names).toDF(*docs.columns)
 
 
 _RUN = re.compile(rb"[^ ]+")
@@ -293,9 +300,10 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW
     """
     long = F.filter("_dc_spans", lambda s: s["end"] - s["start"] >= length)
     out = F.when(coverage * _hit_words() >= F.col("_dc_n_words"), F.col("_dc_spans")).otherwise(long)
-    found = scan(docs, benchmark, docs.columns, **options).withColumn("_dc_out", out)
+    scanned, names = _scanned(docs, benchmark, **options)
+    found = scanned.withColumn("_dc_out", out)
     text = F.coalesce(_cut(F.when(F.size("_dc_out") > 0, F.col("text")), F.col("_dc_out")), "text")
-    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in names]).toDF(*docs.columns)
 
 
 SQL = r"""

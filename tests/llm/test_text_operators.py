@@ -294,6 +294,20 @@ def test_spans_are_cut_out(spark, length, coverage, block_bytes):
     assert sum(w != t for (_, w), (_, t) in zip(want, docs, strict=True)) > 20
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+def test_columns_named_like_those_of_the_scan(spark, block_bytes):
+    docs, table = items()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    given = spark.createDataFrame(table, "item_id long, text string")
+    clash = df.select("doc_id", F.lit(1).alias("_dc_spans"), "text", F.lit("x").alias("_dc_n_words"), F.lit(2).alias("_0"), F.lit(3).alias("a b.c"))
+    for operator in (contamination.drop_contaminated, contamination.cut_contaminated):
+        plain = operator(df, given, block_bytes=block_bytes)
+        found = operator(clash, given, block_bytes=block_bytes)
+        assert found.columns == clash.columns
+        assert {tuple(r)[1:2] + tuple(r)[3:] for r in found.collect()} == {(1, "x", 2, 3)}
+        assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, found.select("doc_id", "text").collect()), key=repr)
+
+
 def test_cutting_leaves_the_rest_alone(spark, docs, rows, empty):
     table = spark.createDataFrame([(1, rows[0][1]), (2, None)], "item_id long, text string")
     cut = contamination.cut_contaminated(docs, table.limit(0))
