@@ -13,11 +13,13 @@ for all its pairs. Most holders of such a value have enough values that are not
 through those: linked documents share some. (Where a share of HOT_SHARE is hot in both, and all of
 that is shared, the others are in common with probability 0.56; one pair in 5e5 then shares no key.)
 Documents with more hot values are crowded, and are compared through their whole sets: only shingles
-among the rarest that a link must share make lists, and what two documents can share from a shingle
-on bounds their similarity. In each list all are first compared with the LEADERS that share most, and
+among the rarest that a link must share make lists, and what a document can share from a shingle on
+bounds the size of those it can be linked with there: its reach. Two documents fit if each is within the
+reach of the other. In each list all are first compared with the LEADERS that share most, and
 components are built. Then only members outside a list's main component are compared with members of
-other components. So a large group of copies costs a few comparisons per member, and no pair of
-different components is left out.
+other components, the smaller of two first: it has to reach its own size, which letters of one form
+below the similarity don't, and it meets only sizes within its reach. So a large group of copies costs a few
+comparisons per member, one of unlinked form letters none, and no pair of different components is left out.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing; a text of fewer
 words than a shingle is one shingle; rows with the same id count as one document; a row without id
@@ -50,6 +52,8 @@ LEADERS = 2
 MARGIN = 0.35
 SIMILARITY = 80
 SHINGLE = 5
+#: sizes are compared in steps of this ratio
+STEP = 1.1
 #: how much a Python worker holds at a time
 PAIRS_AT_ONCE = 128
 SETS_AT_ONCE = 64
@@ -148,12 +152,13 @@ def _sets(batches: Iterator[pa.RecordBatch], most: int, width: int) -> Iterator[
 
 
 def _prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """node, n, t, c: the shingles through which a crowded document can meet another one.
+    """node, n, t, reach: the shingles through which a crowded document can meet another one.
 
     Shingles are counted over crowded documents. Those that no other one has can't be shared. In order
     of rarity, two sets of similarity 0.8 have one of the first n - ceil(0.8 n) + 1 shingles in
-    common, so only these, less the ones nobody shares, make lists. c is the number of shared ones
-    from t on: all that two documents can have in common if t is the first that they have.
+    common, so only these, less the ones nobody shares, make lists. The shared ones from t on are all
+    that two documents can have in common if t is the first that they have: reach is the largest size
+    of another document for which they are enough.
 
     Only counts up to HOT are told apart: rare shingles are joined with their count, and all others
     come after them by their own order. A hot shingle is counted in hand, and is a row per some
@@ -193,16 +198,55 @@ def _prefixes(texts: DataFrame, width: int) -> DataFrame:
     c = F.size("shared").cast("long")
     most = F.greatest(c - F.ceil(F.col("n") * SIMILARITY / 100) + 1, F.lit(0)).cast("int")
     listed = ordered.select("node", "n", c.alias("shared"), F.posexplode(F.slice("shared", F.lit(1), most)).alias("place", "t"))
-    return listed.select("node", "n", "t", (F.col("shared") - F.col("place")).alias("c"))
+    rest = F.col("shared") - F.col("place")
+    return listed.select("node", "n", "t", (F.floor(rest * (100 + SIMILARITY) / SIMILARITY) - F.col("n")).alias("reach"))
 
 
-def _other() -> list[Column]:
-    return [F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("d")]
+def _other(members: DataFrame) -> DataFrame:
+    names = {"node": "other", "n": "m", "reach": "reach_m", "label": "other_label"}
+    return members.withColumnsRenamed({k: v for k, v in names.items() if k in members.columns})
 
 
-def _fits() -> Column:
-    """Whether what two crowded documents can share from a shingle on is enough for their sizes."""
-    return (100 + SIMILARITY) * F.least("c", "d") >= SIMILARITY * (F.col("n") + F.col("m"))
+def _fit() -> Column:
+    """Whether two crowded documents can share enough from a shingle on."""
+    return (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("reach_m"))
+
+
+def _with_partners(prefixes: DataFrame) -> DataFrame:
+    """Members that may fit another one of their list: of two that fit, the smaller reaches its own size."""
+    smaller = prefixes.where("reach >= n").groupBy("t").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    fitting = prefixes.join(smaller, "t").where("reach >= n OR (least <= reach AND n <= most)")
+    return fitting.select("node", "n", "t", "reach")
+
+
+def _apart(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) that fit, of members (node, n, t, reach, label) of one list with different labels.
+
+    Members of a list's main label are not compared with each other. A smaller one stands at every step of
+    size within its reach, a larger one at the step of its own; at each step only those within what the
+    other side has are joined.
+    """
+    sizes = held.groupBy("t", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("t").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
+    split = held.join(main.where("parts > 1"), "t").withColumn("stray", F.col("label") != F.col("main")).drop("main", "parts")
+
+    def step(size: str) -> Column:
+        return F.floor(F.log(STEP, F.col(size)))
+
+    small = split.where("reach >= n").withColumn("step", F.explode(F.sequence(step("n"), step("reach"))))
+    large = _other(split.withColumnRenamed("stray", "other_stray")).withColumn("step", step("m"))
+    both = ["t", "step"]
+
+    def joined(small: DataFrame, large: DataFrame) -> DataFrame:
+        ends = small.groupBy(both).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+        large = large.join(ends, both).where("least <= reach_m AND m <= most").drop("least", "most")
+        ends = large.groupBy(both).agg(F.min("m").alias("least"), F.max("reach_m").alias("most"))
+        small = small.join(ends, both).where("least <= reach AND n <= most").drop("least", "most")
+        ordered = F.struct("n", "node") < F.struct(F.col("m").alias("n"), F.col("other").alias("node"))
+        return small.join(large, both).where(ordered & _fit() & (F.col("label") != F.col("other_label")))
+
+    pairs = joined(small.where("stray"), large).unionByName(joined(small.where("NOT stray"), large.where("other_stray")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -243,29 +287,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     texts = staged(named.join(wanted.hint("merge"), "node", "left_semi"), "texts")
 
     # documents made mostly of hot values, compared with each other: leaders first
-    members = staged(_prefixes(texts.join(crowded, "node", "left_semi"), width), "members")
-    by_centre = Window.partitionBy("t").orderBy(F.desc(F.col("c") / F.col("n")), "node")
+    prefixes = staged(_prefixes(texts.join(crowded, "node", "left_semi"), width), "prefixes")
+    members = staged(_with_partners(prefixes), "members")
+    by_centre = Window.partitionBy("t").orderBy(F.desc(F.col("reach") / F.col("n")), "node")
     leaders = members.withColumn("_place", F.row_number().over(by_centre)).where(F.col("_place") <= LEADERS)
-    stars = members.join(leaders.select("t", *_other()), "t").where((F.col("node") != F.col("other")) & _fits())
+    stars = members.join(_other(leaders.drop("_place")), "t").where((F.col("node") != F.col("other")) & _fit())
     stars = stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
     links = staged(_confirmed(cool.unionByName(likely(stars)).distinct(), texts, width), "links")
     labels = components(links)
 
     # what the leaders have left apart
-    held = staged(
-        members.join(labels, "node", "left").select("node", "n", "c", "t", F.coalesce("label", "node").alias("label")), "held"
-    )
-    sizes = held.groupBy("t", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("t").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts"))
-    split = held.join(main.where("parts > 1"), "t")
-    strays = split.where("label != main").select("t", F.col("label").alias("other_label"), *_other())
-    apart = strays.join(split, "t").where(
-        (F.col("label") != F.col("other_label"))
-        & ((F.col("label") == F.col("main")) | (F.col("other") < F.col("node")))
-        & _fits()
-    )
-    apart = likely(apart.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = likely(_apart(staged(named, "held")))
     more = staged(_confirmed(apart, texts, width), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))

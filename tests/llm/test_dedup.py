@@ -29,6 +29,40 @@ def test_near_duplicates(docs, rows, result, monkeypatch, hot, width):
     assert got == sorted(want, key=repr)
 
 
+def fits(x, y):
+    return y["n"] <= x["reach"] and x["n"] <= y["reach"]
+
+
+def test_members_apart_are_all_pairs_that_fit(spark, result):
+    rng = random.Random(4)
+    data = []
+    for t in range(12):
+        for node in rng.sample(range(300), 40):
+            n = rng.randrange(1, 60) if t % 2 else rng.randrange(95, 125)
+            data.append({"node": node, "n": n, "t": t, "reach": int(2.25 * rng.randrange(n * 4 // 5, n + 1)) - n, "label": node % 5 if t % 3 else 3})
+    held = spark.createDataFrame(data, "node long, n long, t long, reach long, label long")
+    want = {
+        (x["node"], y["node"]) for x in data for y in data if x["t"] == y["t"] and x["node"] < y["node"] and x["label"] != y["label"] and fits(x, y)
+    }
+    assert result(near_dedup._apart(held).distinct(), "a", "b") == sorted(want, key=repr) and len(want) > 500
+    partners = result(near_dedup._with_partners(held), "node", "t")
+    assert {(x["node"], x["t"]) for x in data for y in data if x is not y and x["t"] == y["t"] and fits(x, y)} <= set(partners)
+
+
+def test_form_letters_below_the_similarity_are_not_compared(spark, monkeypatch):
+    """Letters with 83 in 100 words of one form are no links; those with 95 are one group. No pair of the first is formed."""
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    loose, tight = own(166), own(190)
+    letters = [(i, f"{loose} {own(34 + i % 3)}") for i in range(200)] + [(500 + i, f"{tight} {own(10)}") for i in range(100)]
+    formed, partners, apart = [], near_dedup._with_partners, near_dedup._apart
+    monkeypatch.setattr(near_dedup, "_with_partners", lambda rows: formed.append(partners(rows).select("node").distinct().count()) or partners(rows))
+    monkeypatch.setattr(near_dedup, "_apart", lambda rows: formed.append(apart(rows).count()) or apart(rows))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(letters, "doc_id long, text string"), 4).collect()}
+    assert got == {i: i if i < 500 else 500 for i, _ in letters}
+    assert formed == [100, 0]
+
+
 def test_keep_first_leaves_one_of_each_group(docs, rows, result):
     expected = brute.near_duplicates(pairs(rows), 5)
     kept = near_dedup.keep_first(docs)
