@@ -5,7 +5,8 @@ items; the words of a document stream through it, and at each word its state and
 the longest run ending there that occurs in some item. A length of WINDOW or more means a hit, and
 so does the whole of a shorter item. Hits of a document are merged into spans; a document is contaminated
 if spans cover at least a twentieth of its words. `cut_contaminated` takes out of the texts the spans that
-are too long, or all spans where they cover too much; `drop_contaminated` leaves out the documents instead.
+are too long, or all spans where they cover too much; `drop_contaminated` leaves out the documents instead, and
+`decontaminate` does both: documents where spans cover too much go, and the others lose the spans that are too long.
 
 The benchmark is a query set, read in blocks of its distinct items: a block has about BLOCK_BYTES of text, is
 shipped to the workers as one broadcast of that size, and is one narrow pass over the documents. No shuffle of
@@ -25,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,12 +299,33 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW
     """All rows of documents, their texts without spans of `length` words or more, and without any
     span where together they are one in `coverage` words or more. Only texts that change leave the JVM.
     """
-    long = F.filter("_dc_spans", lambda s: s["end"] - s["start"] >= length)
-    out = F.when(coverage * _hit_words() >= F.col("_dc_n_words"), F.col("_dc_spans")).otherwise(long)
-    scanned, names = _scanned(docs, benchmark, **options)
-    found = scanned.withColumn("_dc_out", out)
+    out = F.when(coverage * _hit_words() >= F.col("_dc_n_words"), F.col("_dc_spans")).otherwise(_long_spans(length))
+    found, names = _scanned(docs, benchmark, **options)
+    return _without(found.withColumn("_dc_out", out), names).toDF(*docs.columns)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, **options) -> DataFrame:
+    """The rows of documents that are not contaminated, without spans of `length` words or more; n_chars, where
+    there is one, follows a text that changes, and all else stays as it is.
+    """
+    found, names = _scanned(docs, benchmark, **options)
+    left = _without(found.where(~_contaminated()).withColumn("_dc_out", _long_spans(length)), [*names, "_dc_out"])
+    counted = [c for c, own in zip(names, docs.columns, strict=True) if own == "n_chars"]
+    cells = [
+        F.when(F.size("_dc_out") > 0, F.length("text").cast(left.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in counted else F.col(c)
+        for c in names
+    ]
+    return left.select(*cells).toDF(*docs.columns)
+
+
+def _long_spans(length: int) -> Column:
+    return F.filter("_dc_spans", lambda s: s["end"] - s["start"] >= length)
+
+
+def _without(found: DataFrame, names: list[str]) -> DataFrame:
+    """Some columns of rows, the text without the spans in _dc_out."""
     text = F.coalesce(_cut(F.when(F.size("_dc_out") > 0, F.col("text")), F.col("_dc_out")), "text")
-    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in names]).toDF(*docs.columns)
+    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in names])
 
 
 SQL = r"""

@@ -33,6 +33,12 @@ def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "bpe"]
 
 
+def test_pipeline_over_empty_tables(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_equals_plain_stages(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, rows[3][1]), (2, "a few words only that no document has in this order at all")]

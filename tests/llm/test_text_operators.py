@@ -315,6 +315,33 @@ def test_cutting_leaves_the_rest_alone(spark, docs, rows, empty):
     assert contamination.cut_contaminated(empty, table).count() == 0
 
 
+def test_decontaminate_drops_and_cuts(spark, docs, rows, empty):
+    """Contaminated documents go, long passages in others are cut out, short ones and all else stay."""
+    item, short = " ".join(f"q{i}" for i in range(20)), "just four words here"
+    filler = " ".join(f"f{i}" for i in range(600))
+    texts = [
+        (1, f"{item} and little else", 7),
+        (2, f"{filler}\n{item}, {filler}", 7),
+        (3, f"{filler} {short} {filler}", 7),
+        (4, filler, 7),
+        (5, None, None),
+        (6, "", 0),
+        (2, f"{filler}\n{item}, {filler}", 7),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string, n_chars int").withColumn("_dc_out", F.lit("mine"))
+    benchmark = spark.createDataFrame([(1, item), (2, short), (3, None)], "item_id long, text string")
+    got = sorted(map(tuple, contamination.decontaminate(df, benchmark).collect()), key=repr)
+    cut = (2, f"{filler}\n, {filler}", len(f"{filler}\n, {filler}"), "mine")
+    assert got == sorted([cut, cut, *[(*t, "mine") for t in texts[2:6]]], key=repr)
+
+    own = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    left = contamination.decontaminate(docs, own)
+    assert left.schema.names == docs.columns
+    assert left.count() == contamination.drop_contaminated(docs, own).count()
+    assert contamination.decontaminate(docs, own.limit(0)).exceptAll(docs).count() == 0
+    assert contamination.decontaminate(empty, own).count() == 0
+
+
 def test_licences(spark):
     notice = licenses.TEMPLATES["MIT"][2]
     files = [
