@@ -1,7 +1,7 @@
 """A training corpus out of `documents`: five stages, each written as Parquet and read by the next.
 
 Quality rules drop rejected documents, lines shared by many sources are cut, one document of each group of
-near-duplicates stays, documents contaminated by the benchmark go, and the rest is encoded and decoded.
+near-duplicates stays, documents contaminated by the benchmark go, others lose its passages, and the rest is encoded and decoded.
 The columns of `documents` stay as they are until the last stage, which returns digests of the ids.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from needwell.llm.bpe import round_trip
-from needwell.llm.contamination import drop_contaminated
+from needwell.llm.contamination import decontaminate
 from needwell.llm.lines import strip_boilerplate
 from needwell.llm.near_dedup import keep_first
 from needwell.llm.quality import keep_good
@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are less than a twentieth."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark passages are less than a twentieth, without these passages."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
