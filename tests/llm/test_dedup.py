@@ -1,14 +1,18 @@
 """Near-duplicates, repeated strings, boilerplate lines and components against plain versions."""
 
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
+import recall
 
 from needwell.llm import graph, lines, near_dedup, repeats
 from needwell.llm.hashing import prefix_sums, run_hashes
 
+SF_DIR = "/root/testdata/sf0.1"
+
 
 def pairs(rows):
     return [(r[0], r[1]) for r in rows]
@@ -63,6 +67,12 @@ def test_form_letters_below_the_similarity_are_not_compared(spark, monkeypatch):
     assert formed == [100, 0]
 
 
+@pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
+def test_no_link_of_a_table_is_lost(spark):
+    total, lost = recall.lost(spark.read.parquet(f"{SF_DIR}/documents.parquet"), 5)
+    assert total > 10 and lost == 0
+
+
 def test_keep_first_leaves_one_of_each_group(docs, rows, result):
     expected = brute.near_duplicates(pairs(rows), 5)
     kept = near_dedup.keep_first(docs)
