@@ -170,3 +170,34 @@ def test_category_choice():
     assert config.resolve_category("Unclear") == "unclear"
     with pytest.raises(ValueError):
         config.resolve_category("spam")
+
+
+def test_every_match_has_a_plain_string_of_its_pattern(apply):
+    """Texts made of the patterns' own words: guarded and unguarded searches find the same."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    words = [*re.findall(r"[a-z]+", " ".join(p for g in lexicon.GROUPS.values() for p in g)), "7", "2024", "٣", "we’re", "é", "x_", ".", "\n", ":", "@a.hire.b"]
+    texts = [rng.choice([" ", " ", "  ", ""]).join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(400)]
+    texts += [t.lower() for _, t, _ in POSTS if t] + ["٣ tips", "need a", "a need a", "éneed a"]
+    for group in lexicon.GROUPS.values():
+        assert patterns.needles(tuple(group))
+        got = apply(lambda c: classify.signal_hits(c, group), texts)  # noqa: B023
+        plain = apply(
+            lambda c: F.array_distinct(F.filter(F.array(*[F.trim(F.regexp_replace(F.regexp_extract(c, patterns.jvm(p), 0), r"(?U)\s+", " ")) for p in group]), lambda h: h != "")),  # noqa: B023
+            texts,
+        )
+        assert got == plain
+
+
+def test_patterns_without_a_required_string_are_searched_everywhere(apply):
+    assert patterns.needles((r"\b\d+\b", "need")) is None
+    assert apply(lambda c: classify.occurs(c, (r"\b(?:a|7)?\w+",)), ["x7", "!"]) == [True, False]
+
+
+def test_characters_that_nfkc_may_change(apply):
+    from needwell.functions import text
+
+    stable = ["", "abc\n", "é ü", "Привет", "漢字\n", "á"[:1]]
+    assert apply(text._may_change_under_nfkc, [*stable, "ﬁ", "abc ﬁ\n", "é́", "漢Ａ"]) == [False] * len(stable) + [True] * 4

@@ -207,6 +207,11 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lowered(rows: DataFrame) -> DataFrame:
+    """Lower-cased once, in columns that all groups are searched in."""
+    return rows.withColumns({c: classify.lowered(F.col(c)) for c in ("author_name", "post_text")})
+
+
 _GROUP_COLUMN = {name: "author_name" if name == "company_author" else "post_text" for name in lexicon.GROUPS}
 
 
@@ -219,11 +224,8 @@ _GROUP_COLUMN = {name: "author_name" if name == "company_author" else "post_text
 )
 def signal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the eight signal groups occur, over whole posts."""
-    rows = cleaned(spark, sf_dir)
-    return rows.select(
-        "seq",
-        *[classify.signals_any(F.col(_GROUP_COLUMN[n]), p).alias(n) for n, p in lexicon.GROUPS.items()],
-    )
+    rows = _lowered(cleaned(spark, sf_dir))
+    return rows.select("seq", *[classify.occurs(F.col(_GROUP_COLUMN[n]), p).alias(n) for n, p in lexicon.GROUPS.items()])
 
 
 def hits_sql(column: str, patterns) -> str:
@@ -245,8 +247,8 @@ def hits_sql(column: str, patterns) -> str:
 )
 def signal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matched wording of each group."""
-    rows = cleaned(spark, sf_dir)
-    signals = rows.select("seq", classify.all_signals(F.col("post_text"), F.col("author_name")).alias("s"))
+    rows = _lowered(cleaned(spark, sf_dir))
+    signals = rows.select("seq", classify.all_signals_lowered(F.col("post_text"), F.col("author_name")).alias("s"))
     return signals.select("seq", *[F.array_join(f"s.{n}", "|").alias(n) for n in lexicon.GROUPS])
 
 
