@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from needwell.config import ScoringConfig
 from needwell.functions import lexicon as lx
-from needwell.functions.classify import all_signals, has_request, is_client, occurs, signals_any
+from needwell.functions.classify import all_signals_lowered, has_request_lowered, is_client, lowered, occurs, signals_any
 from needwell.functions.text import content_tokens, strip
 
 SECONDS_PER_DAY = 86_400.0
@@ -152,6 +152,21 @@ def score_breakdown(
     cfg: ScoringConfig = ScoringConfig(),
 ) -> Column:
     """STRUCT that explains a score: factors, weights, fallback, cap and signals."""
+    return score_breakdown_lowered(
+        category, lowered(text), lowered(author_name), freshness_struct, need_score, quality_score, cfg
+    )
+
+
+def score_breakdown_lowered(
+    category: Column,
+    low: Column,
+    low_author: Column,
+    freshness_struct: Column,
+    need_score: Column,
+    quality_score: Column,
+    cfg: ScoringConfig = ScoringConfig(),
+) -> Column:
+    """:func:`score_breakdown` over columns that are lower-cased already."""
     return F.struct(
         category.alias("category"),
         freshness_struct["score"].alias("freshness"),
@@ -160,6 +175,6 @@ def score_breakdown(
         F.struct(*[F.lit(share).alias(factor) for factor, share in cfg.shares().items()]).alias("weights"),
         freshness_struct["used_fallback"].alias("freshness_used_fallback"),
         (~is_client(category)).alias("non_client_capped"),
-        has_request(text).alias("has_request"),
-        all_signals(text, author_name).alias("signals"),
+        has_request_lowered(low).alias("has_request"),
+        all_signals_lowered(low, low_author).alias("signals"),
     )

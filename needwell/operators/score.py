@@ -9,8 +9,8 @@ from needwell.config import CATEGORIES, ScoringConfig
 from needwell.functions import classify, contact, scoring
 
 
-def with_factors(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """Adds ``_category``, ``_fresh`` and ``_need`` to leads; the text is lower-cased once."""
+def _with_lowered_factors(leads: DataFrame, now: Column, cfg: ScoringConfig) -> DataFrame:
+    """Adds ``_category``, ``_fresh``, ``_need`` and the lower-cased ``_low`` and ``_low_author``."""
     lowered = leads.withColumns(
         {
             "_low": classify.lowered(F.col("post_text")),
@@ -23,7 +23,12 @@ def with_factors(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConf
             "_category": classify.category_lowered(F.col("_low"), F.col("_low_author")),
             "_fresh": scoring.freshness_details(F.col("posted_at"), F.col("first_seen"), now, cfg),
         }
-    ).drop("_low", "_low_author")
+    )
+
+
+def with_factors(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+    """Adds ``_category``, ``_fresh`` and ``_need`` to leads; the text is lower-cased once."""
+    return _with_lowered_factors(leads, now, cfg).drop("_low", "_low_author")
 
 
 def score_leads(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
@@ -44,17 +49,17 @@ def score_leads(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfi
 
 def explain_scores(leads: DataFrame, now: Column, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Leads with a ``breakdown`` struct that shows where each score comes from."""
-    breakdown = scoring.score_breakdown(
+    breakdown = scoring.score_breakdown_lowered(
         F.col("_category"),
-        F.col("post_text"),
-        F.col("author_name"),
+        F.col("_low"),
+        F.col("_low_author"),
         F.col("_fresh"),
         F.col("_need.score"),
         F.col("data_quality_score"),
         cfg,
     )
-    staged = with_factors(leads, now, cfg).withColumn("breakdown", breakdown)
-    return staged.drop("_category", "_fresh", "_need")
+    staged = _with_lowered_factors(leads, now, cfg).withColumn("breakdown", breakdown)
+    return staged.drop("_low", "_low_author", "_category", "_fresh", "_need")
 
 
 def enrich_leads(leads: DataFrame) -> DataFrame:
