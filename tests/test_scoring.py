@@ -201,3 +201,20 @@ def test_characters_that_nfkc_may_change(apply):
 
     stable = ["", "abc\n", "é ü", "Привет", "漢字\n", "á"[:1]]
     assert apply(text._may_change_under_nfkc, [*stable, "ﬁ", "abc ﬁ\n", "é́", "漢Ａ"]) == [False] * len(stable) + [True] * 4
+
+
+def test_ranked_queries_classify_no_lead_twice(spark, monkeypatch):
+    """The classifier isn't part of the plan that filters and sorts: its results are on disk by then."""
+    from workload import leads
+
+    rows = [("a", "u1", "We need a designer", 5), ("b", "u2", "salary", 4), ("c", "u3", "We need help", 9)]
+    df = spark.createDataFrame(rows, "author_name string, post_url string, post_text string, lead_score int")
+    seen = dates.clock("2024-01-30T00:00:00Z")
+    df = df.withColumns({"need_text": F.lit("n"), "platform": F.lit("p"), "posted_at": seen, "first_seen": seen, "id": F.col("post_url")})
+    df = df.withColumn("category", classify.category(F.col("post_text"), F.col("author_name")))
+    monkeypatch.setattr(leads, "rescored", lambda *_: df)
+    top = leads.ranked_leads(spark, "")
+    assert [r["post_url"] for r in top.collect()] == ["u3", "u1"]
+    assert "salary" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert leads.filtered_count(spark, "").collect()[0]["n"] == 1
+    assert leads.all_but_the_first_leads(spark, "").collect() == []

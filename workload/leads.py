@@ -253,6 +253,15 @@ def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score_leads(leads, now(), CFG)
 
 
+def scored_leads(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the rescored leads, written down: every lead is merged and classified once.
+
+    Otherwise a filter on the category repeats the classifier below the projection that lower-cases
+    the texts, and a range partitioning samples all of it first.
+    """
+    return staged(rescored(spark, sf_dir).select(*columns), "scored")
+
+
 @query(
     "rescored_leads",
     f"""{q.with_ctes(*RESCORED)} SELECT post_url, new_category AS category, fresh AS freshness_score,
@@ -318,7 +327,8 @@ def cutoff():
 )
 def ranked_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outreach list: best client leads of the last 30 days, top 20."""
-    top = rank.ranked(rescored(spark, sf_dir), cutoff=cutoff(), limit=20)
+    leads = scored_leads(spark, sf_dir, *rank.EXPORT_COLUMNS, "first_seen", "id")
+    top = rank.ranked(leads, cutoff=cutoff(), limit=20)
     return top.select(*rank.EXPORT_COLUMNS).withColumn("posted_at", ts_text("posted_at"))
 
 
@@ -362,7 +372,7 @@ def recent_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def filtered_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows under a category and an age filter."""
-    return rank.count_matching(rescored(spark, sf_dir), "job_posting", cutoff())
+    return rank.count_matching(scored_leads(spark, sf_dir, "category", "posted_at", "first_seen"), "job_posting", cutoff())
 
 
 @query("row_count", f"{q.with_ctes(*UPSERT_SQL)} SELECT count(*) AS n FROM merged")
@@ -391,7 +401,8 @@ def point_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def all_but_the_first_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lead after the first 25 of the ranking, without a limit."""
-    return rank.page(rescored(spark, sf_dir), rank.rank_order(), offset=25).select("post_url", "lead_score")
+    leads = scored_leads(spark, sf_dir, "post_url", "lead_score", "first_seen", "id")
+    return rank.page(leads, rank.rank_order(), offset=25).select("post_url", "lead_score")
 
 
 _LOOKED_UP = "https://social.example/posts/user-3_10"
