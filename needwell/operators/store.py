@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from needwell import schemas
 from needwell.operators import ingest, merge
+from needwell.session import spread
 
 _COMMITS = "version LONG, batch_id STRING"
 
@@ -62,11 +63,13 @@ def store_batch(spark: SparkSession, root: str, raw: DataFrame, now: Column, bat
 
     The tagged rows are staged once as files that both outputs read, so the
     cleaning pass runs once and a lost executor costs no recomputation of it.
+    Cleaning is bound by CPU and batches come as few files: rows are dealt out by
+    number and URL, so neither a file nor a frequent URL is one task.
     """
     if is_committed(spark, root, batch_id):
         return False
     staged_path = f"{root}/staged/batch={batch_id}"
-    tagged = ingest.tag_posts(raw)
+    tagged = ingest.tag_posts(spread(raw, "seq", "source_url", rounds=3))
     slim = tagged.select(
         "seq", "source", "source_url", "data", "reject_stage", "reject_reason", *ingest.ARRIVAL_COLUMNS
     )

@@ -172,6 +172,26 @@ def test_feeds_share_a_store(spark, tmp_path):
     assert store.read_leads(spark, str(tmp_path / "s")).count() == 10
 
 
+def test_one_file_and_one_url_are_cleaned_by_all_cores(spark, tmp_path):
+    rows = [post(i, "same", text=f"We need help number {i} with tea and cake.") for i in range(200)]
+    raw(spark, *rows, post(200, "bad", author="")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store.store_batch(spark, str(tmp_path), read_raw_posts(spark, str(tmp_path / "in")), clock(NOW), "b")
+    staged = spark.read.parquet(str(tmp_path / "staged")).groupBy(F.input_file_name()).count().collect()
+    assert len(staged) >= 4 and sum(r["count"] for r in staged) == 201 and max(r["count"] for r in staged) < 100
+    lead = store.read_leads(spark, str(tmp_path)).first()
+    assert (lead.post_url, lead.post_text) == ("same", "We need help number 199 with tea and cake.")
+    assert store.read_rejects(spark, str(tmp_path)).count() == 1
+
+
+def test_every_batch_has_a_file_per_core(spark, tmp_path):
+    from workload.streams import BATCHES, _landed
+
+    cores = spark.sparkContext.defaultParallelism
+    assert _landed(spark.range(1000), str(tmp_path / "in"), "id") == cores
+    assert len(list((tmp_path / "in").glob("part-*"))) == BATCHES * cores
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 1000
+
+
 def test_rejects_follow_commits(spark, tmp_path):
     root = str(tmp_path)
     store.store_batch(spark, root, raw(spark, post(1, "u1", author="")), clock(NOW), "2025-05-01")

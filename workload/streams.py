@@ -21,9 +21,9 @@ BATCHES = 5
 def _landed(df: DataFrame, path: str, *order: str) -> int:
     """A table as files in the given order of arrival; returns how many make a fifth of them.
 
-    Every file has at most FILE_ROWS rows, so their number follows the data.
+    Every batch has a file per core, and more where files would have over FILE_ROWS rows, so their number follows the data.
     """
-    files = max(BATCHES, -(-df.count() // FILE_ROWS))
+    files = max(BATCHES * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // FILE_ROWS))
     df.repartitionByRange(files, *order).write.parquet(path)
     return -(-files // BATCHES)
 
