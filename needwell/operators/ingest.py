@@ -138,6 +138,12 @@ def tag_posts(raw: DataFrame, platform: Platform = Platform()) -> DataFrame:
     return enrich_posts(assess_posts(map_posts(raw, platform)))
 
 
+def settled(tagged: DataFrame) -> DataFrame:
+    """What valid and rejected rows are read from, to be written down once; only rejects carry their raw payload."""
+    payload = F.when(F.col("reject_reason").isNotNull(), F.col("data")).alias("data")
+    return tagged.select("seq", "source", "source_url", payload, "reject_stage", "reject_reason", *ARRIVAL_COLUMNS)
+
+
 def valid_rows(tagged: DataFrame) -> DataFrame:
     """Rows ready to be stored, with their arrival order."""
     return tagged.where(F.col("reject_reason").isNull()).select("seq", *ARRIVAL_COLUMNS)

@@ -69,10 +69,7 @@ def store_batch(spark: SparkSession, root: str, raw: DataFrame, now: Column, bat
     if is_committed(spark, root, batch_id):
         return False
     staged_path = f"{root}/staged/batch={batch_id}"
-    tagged = ingest.tag_posts(spread(raw, "seq", "source_url", rounds=3))
-    slim = tagged.select(
-        "seq", "source", "source_url", "data", "reject_stage", "reject_reason", *ingest.ARRIVAL_COLUMNS
-    )
+    slim = ingest.settled(ingest.tag_posts(spread(raw, "seq", "source_url", rounds=3)))
     slim.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.schema(slim.schema).parquet(staged_path)
     ingest.reject_rows(staged, now).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")

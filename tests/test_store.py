@@ -183,6 +183,16 @@ def test_one_file_and_one_url_are_cleaned_by_all_cores(spark, tmp_path):
     assert store.read_rejects(spark, str(tmp_path)).count() == 1
 
 
+def test_only_rejects_keep_their_payload(spark):
+    tagged = ingest_rows(spark, post(1, "u1"), post(2, "u2", author="\U0001f680"), post(3, "u3", text=None), post(4, "u4")).cache()
+    settled = ingest.settled(tagged)
+    assert {r.seq: r.data is None for r in settled.collect()} == {1: True, 2: False, 3: False, 4: True}
+    assert sorted(ingest.valid_rows(settled).collect()) == sorted(ingest.valid_rows(tagged).collect())
+    key = lambda r: r.source_url
+    rejects = sorted(ingest.reject_rows(settled, clock(NOW)).collect(), key=key)
+    assert rejects == sorted(ingest.reject_rows(tagged, clock(NOW)).collect(), key=key) and len(rejects) == 2
+
+
 def test_every_batch_has_a_file_per_core(spark, tmp_path):
     from workload.streams import BATCHES, _landed
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from needwell.operators import company, ingest, names, rules, runs
 from needwell.functions.urls import host_name
+from needwell.session import staged
 from workload import dialect as q
 from workload.ingest import tagged
-from workload.leads import RESCORED, UPSERT_SQL, merged_leads, rescored
+from workload.leads import RESCORED, UPSERT_SQL, merged_leads, merged_with_stored, rescored
 from workload.registry import query, table
 from workload.runs import ATTEMPTS_SQL, attempts
 from workload.views import now
@@ -379,11 +380,12 @@ _OWN_HOST = (r"social\.example/posts/(user-\d)_", "www.$1.social.example/")
     UNION ALL SELECT 'progress', count(*) FROM (SELECT DISTINCT source, query, url FROM attempts WHERE outcome = 'ok')""",
 )
 def purged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left in each stored table after an opt-out list."""
+    """Rows left in each stored table after an opt-out list; leads and rejects come from posts that are cleaned once."""
+    posts = staged(ingest.settled(tagged(spark, sf_dir)), "posts")
     tables = {
-        "leads": merged_leads(spark, sf_dir),
+        "leads": merged_with_stored(ingest.valid_rows(posts)),
         "companies": companies(spark, sf_dir),
-        "rejects": ingest.reject_rows(tagged(spark, sf_dir), now()).withColumn("source_url", F.regexp_replace("source_url", *_OWN_HOST)),
+        "rejects": ingest.reject_rows(posts, now()).withColumn("source_url", F.regexp_replace("source_url", *_OWN_HOST)),
         "progress": runs.seen_urls(attempts(spark, sf_dir)),
     }
     left = company.purge_tables(tables, spark.createDataFrame([(d,) for d in _OPTED_OUT], "domain STRING"))

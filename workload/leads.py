@@ -110,7 +110,10 @@ def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrivals = arrived(spark, sf_dir)
+    return merged_with_stored(arrived(spark, sf_dir))
+
+
+def merged_with_stored(arrivals: DataFrame) -> DataFrame:
     return merge.merge_arrivals(stored_leads(arrivals), merge.reduce_arrivals(arrivals), now())
 
 
