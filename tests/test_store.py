@@ -134,6 +134,45 @@ def test_store_round_trip_and_repeat(spark, tmp_path):
     assert [r.source_url for r in store.read_rejects(spark, root).collect()] == ["u2"]
 
 
+def test_a_batch_writes_what_it_touches(spark, tmp_path, monkeypatch):
+    """Versions hold touched leads only, and make the table that whole rewrites make."""
+    days = [f"2025-05-{d:02d}T10:00:00Z" for d in range(1, 6)]
+    batches = [
+        [post(i, f"u{i}", text=f"We need help number {i} with tea and cake.", author_headline="CEO @ Globex") for i in range(40)],
+        [post(40, "u3", need="late"), post(41, "u3", text="We need a baker, write to a@b.example."), post(42, "new")],
+        [post(43, "x1"), post(44, "x2", author="")],
+        [post(45, "u3", need="later"), post(46, "new"), post(47, "x1", need="other")],
+        [post(48, "", author="")],
+    ]
+
+    def run(root, numbers=range(len(batches))):
+        for n in numbers:
+            assert store.store_batch(spark, root, raw(spark, *batches[n]), clock(days[n]), f"b{n}")
+        return store.read_leads(spark, root)
+
+    root, whole = str(tmp_path / "s"), str(tmp_path / "w")
+    leads = run(root, [0, 1, 2])
+    # a batch that failed before its commit leaves files, which count for nothing
+    spark.createDataFrame([("u5", 1)], "post_url STRING, of LONG").write.parquet(f"{root}/replaced/version=4")
+    leads.limit(7).write.parquet(f"{root}/leads/version=4")
+    assert store.read_leads(spark, root).count() == 42
+    leads = run(root, [3, 4])
+    sizes = [spark.read.parquet(f"{root}/leads/version={v}").count() for v in range(1, 6)]
+    assert sizes == [40, 2, 1, 3, 0]
+    monkeypatch.setattr(store, "LIVE_VERSIONS", 1)
+    expected = run(whole)
+    assert spark.read.parquet(f"{whole}/leads/version=5").count() == 42
+    assert leads.count() == 42 and leads.exceptAll(expected).isEmpty() and leads.schema == expected.schema
+    # a table written whole by others, in an older layout, is taken up by the next batch
+    store.commit_leads(spark, root, leads.drop("status", "lead_score"), "import")
+    monkeypatch.setattr(store, "LIVE_VERSIONS", 3)
+    for n in range(6, 10):
+        assert store.store_batch(spark, root, raw(spark, post(n, "u3"), post(n, f"n{n}")), clock(days[0]), f"b{n}")
+    assert [spark.read.parquet(f"{root}/leads/version={v}").count() for v in range(6, 11)] == [42, 43, 2, 2, 46]
+    after = store.read_leads(spark, root)
+    assert after.count() == after.select("post_url").distinct().count() == 46
+
+
 def test_bucketed_table_spares_the_big_shuffle(spark, tmp_path):
     valid = ingest.valid_rows(ingest_rows(spark, *[post(i, f"u{i}") for i in range(20)]))
     leads = merge.upsert(spark.createDataFrame([], schemas.INTENT_LEADS), valid, clock(NOW))
