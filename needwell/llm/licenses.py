@@ -259,8 +259,8 @@ class Scorer:
     def of(self, term: str) -> float:
         return self.weight.get(term, self.unseen)
 
-    def best(self, part: str, around: str) -> tuple[float, str | None]:
-        """The highest cosine that is not refused, and its licence."""
+    def best(self, part: str, around: str | None = None) -> tuple[float, str | None]:
+        """The highest cosine that is not refused, and its licence; a part alone has nothing around it."""
         counts = Counter(terms(part))
         dots: dict[int, float] = {}
         for t in counts.keys() & self.holders.keys():
@@ -270,7 +270,7 @@ class Scorer:
         if not dots:
             return 0.0, None
         norm = math.sqrt(math.fsum((n * self.of(t)) ** 2 for t, n in counts.items()))
-        return self.chosen({v: round(d / norm, 6) for v, d in dots.items()}, part, around)
+        return self.chosen({v: round(d / norm, 6) for v, d in dots.items()}, part, part if around is None else around)
 
     def chosen(self, scores: dict[int, float], part: str, around: str) -> tuple[float, str | None]:
         """The best score below the threshold, or of a licence that the part states."""
